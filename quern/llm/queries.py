@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, mixing, packing, token_counts
+from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, token_counts
 
 TOKEN_LIMIT = 4096
 
@@ -126,6 +126,29 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Every text's shingles meet through an index of shingles; equal word sequences count once.
+OP9_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+docs AS (SELECT doc_id, w, md5(array_to_string(w, ' ')) AS k FROM worded),
+reps AS (SELECT k, min(doc_id) AS rep, any_value(w) AS w FROM docs WHERE len(w) > 0 GROUP BY k),
+sets AS (SELECT k, rep, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM reps),
+items AS (SELECT rep, len(s) AS n, hash(unnest(s)) AS h FROM sets),
+pairs AS (
+  SELECT a.rep AS x, b.rep AS y FROM items a JOIN items b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT rep AS node, rep AS seen FROM reps UNION SELECT r.node, e.y FROM reach r JOIN edges e ON r.seen = e.x),
+comps AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept
+FROM docs d LEFT JOIN sets s ON d.k = s.k AND len(d.w) > 0 LEFT JOIN comps c ON s.rep = c.node
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_mixing": op3_mixing,
@@ -133,6 +156,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op9_near_dedup": op9_near_dedup,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL}
