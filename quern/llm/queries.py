@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, token_counts
+from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, token_counts, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -126,6 +126,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, network)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("q_score").alias("score"), (F.col("q_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -156,6 +163,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
 }
 
