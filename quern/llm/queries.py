@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, token_counts, toxicity
+from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, token_counts, topk_search, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -41,6 +41,20 @@ FROM flagged GROUP BY doc_id
 """
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mixing.mix(docs)
@@ -158,6 +172,7 @@ FROM docs d LEFT JOIN sets s ON d.k = s.k AND len(d.w) > 0 LEFT JOIN comps c ON
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_topk_search": op2_topk_search,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_chat_format": op5_chat_format,
@@ -167,4 +182,4 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL}
