@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, token_counts, topk_search, toxicity
+from . import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, token_counts, topk_search, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -170,6 +170,26 @@ FROM docs d LEFT JOIN sets s ON d.k = s.k AND len(d.w) > 0 LEFT JOIN comps c ON
 """
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP10_SQL = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(list_prepend(NULL, w[:-2])) AS before FROM docs),
+uni AS (SELECT word, count(*) AS n FROM words GROUP BY word),
+bi AS (SELECT before, word, count(*) AS n FROM words WHERE before IS NOT NULL GROUP BY before, word),
+total AS (SELECT greatest(1, count(*)) AS n FROM words),
+scored AS (
+  SELECT w.doc_id, CASE WHEN w.before IS NULL THEN round(1e6 * ln(u.n))::BIGINT - round(1e6 * ln(t.n))::BIGINT
+    WHEN b.n >= 2 THEN round(1e6 * ln(b.n))::BIGINT - round(1e6 * ln(ub.n))::BIGINT
+    ELSE round(1e6 * ln(0.4::DOUBLE))::BIGINT + round(1e6 * ln(u.n))::BIGINT - round(1e6 * ln(t.n))::BIGINT END AS s
+  FROM words w JOIN uni u ON w.word = u.word LEFT JOIN bi b ON w.before = b.before AND w.word = b.word LEFT JOIN uni ub ON w.before = ub.word CROSS JOIN total t),
+sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(s.s, 0)::DOUBLE / 1e6 AS log_score FROM docs d LEFT JOIN sums s USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
@@ -180,6 +200,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL}
