@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,11 @@ CAPACITY = 2048
 #: Low bits of a sequence_id that count a worker's sequences; the worker's number stands above them.
 COUNTER_BITS = 40
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Texts whose new words are encoded together.
+GROUP = 512
+#: Marks that are one pre-token after letters.
+MARKS = ".,;:!?"
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -40,32 +45,75 @@ def _tokenizer(path: str):
     return t
 
 
+def _low(word: str) -> str:
+    """A word as the tokenizer sees it, where lower case is a matter of single letters; else as it is."""
+    return word.lower() if word.isascii() else word
+
+
 class WordTokenizer:
     """Ids of whole texts from a tokenizer whose pre-tokens never span a space or newline.
 
-    Words between spaces and newlines are encoded once and remembered, in bounded number.
+    Words between spaces and newlines are encoded once and remembered, in bounded number; when that is full, further
+    words are remembered for one call only. Words of letters are encoded many at a time, as each is one pre-token and its
+    last id ends a word.
     """
 
+    JOINED = 256
+
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, list[int]] = {"": []}
-
-    def ids(self, text: str, end: int) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = []
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        out.append(end)
-        return np.array(out, dtype="<u4")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters."""
+        out = {}
+        parts = [words[i : i + self.JOINED] for i in range(0, len(words), self.JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(part):
+                data, at = ids.tobytes(), 0
+                for w, stop in zip(part, stops.tolist(), strict=True):
+                    out[w] = data[at:stop]
+                    at = stop
+            else:  # a word that is not one pre-token after all
+                out |= self._single(part)
+        return out
+
+    def _single(self, words: list[str]) -> dict[str, bytes]:
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+    def _encode(self, new: set[str]) -> dict[str, bytes]:
+        plain = {w: _low(w) for w in new if w.isalpha()}
+        other = [w for w in new if w not in plain]
+        marked = {w: (_low(w[:-1]), w[-1]) for w in other if w[-1] in MARKS and w[:-1].isalpha()}
+        lowered = self._letters(list({*plain.values(), *(core for core, _ in marked.values())}))
+        marks = self._single(list(MARKS)) if marked else {}
+        out = {w: lowered[low] for w, low in plain.items()}
+        out |= {w: lowered[core] + marks[mark] for w, (core, mark) in marked.items()}
+        return out | self._single([w for w in other if w not in marked])
+
+    def ids(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
+        """The ids of each text with ``end`` after them."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = {w for words in split for w in words if w not in self.known}
+        found, here = self._encode(new), self.known
+        if len(here) + len(found) <= REMEMBERED:
+            here |= found
+        else:
+            here = ChainMap(found, here)
+        last = np.array([end], "<u4").tobytes()
+        for words in split:
+            yield np.frombuffer(b"".join([here[w] for w in words]) + last, "<u4")
+
+
+@functools.lru_cache(maxsize=1)
+def _word_tokenizer(path: str) -> WordTokenizer:
+    """One per worker process, so that later tasks find the words of earlier ones."""
+    return WordTokenizer(path)
 
 
 class Bins:
@@ -120,15 +168,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, bins = WordTokenizer(tokenizer), Bins(TaskContext.get().partitionId(), capacity)
+        words, bins = _word_tokenizer(tokenizer), Bins(TaskContext.get().partitionId(), capacity)
         table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], COLUMNS)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.ids(text, end_id)
-                for start, length in cuts(len(ids), capacity):
-                    crc = zlib.crc32(ids[start : start + length].tobytes())
-                    rows += bins.add((doc, start, length, crc, len(ids)), length)
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(texts), GROUP):
+                for doc, ids in zip(docs[at : at + GROUP], words.ids(texts[at : at + GROUP], end_id), strict=True):
+                    data = memoryview(ids).cast("B")
+                    for start, length in cuts(len(ids), capacity):
+                        rows += bins.add((doc, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(ids)), length)
             if rows:
                 yield table(rows)
         if rows := [x for full in bins.rest() for x in full]:
