@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: The most entries, and the longest entry, of the table of frequent pre-tokens that each task holds.
-FREQUENT, FREQUENT_CHARS = 100_000, 64
+FREQUENT, FREQUENT_CHARS = 200_000, 64
 #: Distinct pre-tokens that a task counts before it passes them on.
-HELD = 400_000
+HELD = 600_000
 
 _SPLIT = re.compile("[ ▁]+[^ ▁]*")
 
