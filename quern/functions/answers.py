@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .basics import after_first, before_first, char_at, col, contains, count_of, number, squeeze, strip, words
+from .basics import before_first, char_at, col, contains, count_of, number, squeeze, strip, words
 
 # The normaliser's articles, number words, punctuation and contractions.
 ARTICLES = ["a", "an", "the"]
@@ -49,7 +49,7 @@ def normalize_answer(answer: Column | str) -> Column:
         if p in ",?":
             continue
         beside = contains(given, p + " ") | contains(given, " " + p)
-        out = F.when(beside, F.replace(out, F.lit(p), F.lit(""))).otherwise(F.replace(out, F.lit(p), F.lit(" ")))
+        out = F.replace(out, F.lit(p), F.when(beside, "").otherwise(" "))
     out = F.regexp_replace(out, r"\.(?!\d)", "")
     numbers, short = _map(NUMBERS), _map(_contraction_map())
     said = F.filter(F.transform(words(out), lambda w: F.coalesce(F.element_at(numbers, w), w)), lambda w: ~w.isin(*ARTICLES))
@@ -60,8 +60,9 @@ def short_answer(response: Column | str) -> Column:
     """The answer inside a short sentence: up to the first . , or !; after is, are, a, an, the; before of."""
     r = F.lower(F.regexp_extract(strip(response), r"^[^.,!]*", 0))
     for mark in ("is ", "are ", "a ", "an ", "the "):
-        r = F.when(contains(r, mark), after_first(r, mark)).otherwise(r)
-    return strip(F.when(contains(r, " of"), before_first(r, " of")).otherwise(r))
+        # Between the first such mark and the next.
+        r = F.regexp_replace(r, f"(?s)^.*?{mark}(.*?)({mark}.*)?$", "$1")
+    return strip(F.regexp_replace(r, "(?s) of.*$", ""))
 
 
 def final_answer(text: Column | str) -> Column:

@@ -49,11 +49,6 @@ def contains(c: Column, part: Column | str) -> Column:
     return F.contains(c, F.lit(part) if isinstance(part, str) else part)
 
 
-def after_first(c: Column, part: str) -> Column:
-    """What follows the first ``part``, up to the next one."""
-    return F.get(F.split(c, _quoted(part), -1), F.lit(1))
-
-
 def before_first(c: Column, part: str) -> Column:
     return F.get(F.split(c, _quoted(part), -1), F.lit(0))
 
@@ -72,10 +67,6 @@ def word_set(c: Column | str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(r"[A-Za-z0-9_À-ɏ]+"), F.lit(0))
 
 
-def fold(items: Column, start: Column, step) -> Column:
-    return F.aggregate(items, start, step)
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """Null where ``whole`` is 0."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

@@ -9,7 +9,7 @@ from .basics import col, strip
 
 
 def normalize_path(path: Column | str, drop_prefix: bool = False) -> Column:
-    """Stripped, with / for \; ``drop_prefix`` also takes off a leading ./ and then a leading data/."""
+    """Stripped, with forward slashes; ``drop_prefix`` also takes off a leading ./ and then a leading data/."""
     p = F.replace(strip(path), F.lit("\\"), F.lit("/"))
     if drop_prefix:
         p = F.regexp_replace(F.regexp_replace(p, r"^\./", ""), "^data/", "")

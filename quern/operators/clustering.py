@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
+from .joins import settled
 from .routing import nearest
 
 
@@ -139,10 +140,9 @@ def balanced_kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int =
     """Clusters of near-equal size by cosine. Ends early when no centroid moves."""
     spark = rows.sparkSession
     rows = rows.select(key, vector)
-    scratch = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() or _ensure_dir(spark) else df
     now = first_centroids(rows, k, seed, key, vector)
     for _ in range(iterations):
-        assigned = balanced_assignment(rows, now, key, vector, scratch)
+        assigned = balanced_assignment(rows, now, key, vector, settled)
         found = {r.cluster: r.centroid for r in update_centroids(assigned.join(rows, key), vector=vector).collect()}
         new = np.array([found.get(i, now[i]) for i in range(len(now))])
         moved = float(np.abs(new - now).max())
@@ -153,19 +153,6 @@ def balanced_kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int =
     return Clusters(_frame(spark, now), assigned, similarity(final, _frame(spark, now), vector))
 
 
-def _ensure_dir(spark: SparkSession) -> bool:
-    """The checkpoint folder of the session, or a temporary one where the session is local and names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(named)
-    return True
-
-
 def two_stage(rows: DataFrame, fine: int = 1024, coarse: int = 2, iterations: int = 100, runs: int = 1, seed: int = 42, key: str = "vec_id", vector: str = "embedding") -> tuple[Clusters, DataFrame]:
     """Spherical k-means, then balanced k-means on its centroids: the fine clusters, and the mapping fine to coarse."""
     first = spherical_kmeans(rows, fine, iterations, runs, seed, key, vector)

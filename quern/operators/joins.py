@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, normalize_path
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` as a checkpoint in the shared folder of ``spark.checkpoint.dir``: costly columns are computed once, lineage
+    ends, and lost executors lose nothing. A local session that names no folder gets a temporary one."""
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return rows.checkpoint()
+
+
 def last_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one that comes last."""
     rest = [c for c in rows.columns if c not in keys]

@@ -160,7 +160,7 @@ def summed_abilities(rows: DataFrame, ability: str = "ability", score: str = "sc
 def attribute_accuracy(rows: DataFrame, attributes: list[str], arrays: tuple[str, ...] = (), correct: str = "correct") -> DataFrame:
     """Accuracy in percent for each value of each attribute, best first within an attribute."""
     one = [F.struct(F.lit(a).alias("key"), F.col(a).cast("string").alias("value")) for a in attributes]
-    many = [F.transform(F.col(a), lambda v, a=a: F.struct(F.lit(a).alias("key"), v.cast("string").alias("value"))) for a in arrays]
+    many = [F.arrays_zip(F.array_repeat(F.lit(a), F.size(a)).alias("key"), F.col(a).cast("array<string>").alias("value")) for a in arrays]
     long = rows.select(F.explode(F.concat(F.array(*one), *many)).alias("kv"), correct)
     return long.groupBy("kv.key", "kv.value").agg(F.round(100 * F.avg(F.col(correct).cast("double")), 2).alias("accuracy"), F.count("*").alias("n")).orderBy("key", F.desc("accuracy"))
 
@@ -190,9 +190,12 @@ def bleu(rows: DataFrame, key: str = "id", pred: str = "pred", truths: str = "gt
     nearest = F.array_min(F.transform("ts", lambda t: F.struct(F.abs(F.size(t) - F.size("p")).alias("d"), F.size(t).alias("n"))))["n"]
     lengths = rows.agg(F.sum(F.size("p")).alias("c"), F.sum(nearest).alias("r"))
 
+    def run_of(items: Column, n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(items, i, n), " ").alias("g")))
+        return F.when(F.size(items) >= n, runs).otherwise(F.array().cast("array<struct<n: int, g: string>>"))
+
     def grams(items: Column) -> Column:
-        each = [F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1))), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(items, i, n), " ").alias("g")))).otherwise(F.array().cast("array<struct<n: int, g: string>>")) for n in range(1, most + 1)]
-        return F.concat(*each)
+        return F.concat(*(run_of(items, n) for n in range(1, most + 1)))
 
     mine = rows.select("k", F.explode(grams(F.col("p"))).alias("g")).groupBy("k", "g.n", "g.g").agg(F.count("*").alias("have"))
     theirs = rows.select("k", F.posexplode("ts").alias("t", "words")).select("k", "t", F.explode(grams(F.col("words"))).alias("g")).groupBy("k", "t", "g.n", "g.g").agg(F.count("*").alias("c")).groupBy("k", "n", "g").agg(F.max("c").alias("may"))

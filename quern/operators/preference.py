@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import check_answer, fix_answer, parse_answer
 from ..functions.chat import Template, render
+from .joins import settled
 
 KEY = ["image", "question", "answer"]
 
@@ -20,7 +21,8 @@ def grade(rollouts: DataFrame, modes: Column, use_cache: bool = False, repair: b
         fixed = F.when(F.col("answer_pred").isNotNull() & F.coalesce("prompt_version", F.lit("en")).isin("en", "zh"), fix_answer("response", "answer_pred", "answer"))
         out = out.withColumn("response", F.coalesce(fixed, F.col("response")))
     ok = check_answer("answer_pred", "answer", modes, compat) == 1
-    return out.withColumn("label", F.when(F.col("answer_pred").isNull(), "format").when(ok, "pos").otherwise("neg"))
+    # Graders are long expressions and the label is used several times over, so it is computed once.
+    return settled(out.withColumn("label", F.when(F.col("answer_pred").isNull(), "format").when(ok, "pos").otherwise("neg")))
 
 
 def capped(rows: DataFrame, by: list[str], k: int, seed: int, *columns: str) -> DataFrame:
