@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, most_frequent
 
 #: The most entries, and the longest entry, of the table of frequent pre-tokens that each task holds.
 FREQUENT, FREQUENT_CHARS = 200_000, 64
@@ -43,8 +43,9 @@ def pretokens(text: str) -> list[str]:
 
 
 def piece_counts(tokens: list[str], model: str) -> list[int]:
-    """Pieces of each pre-token; the leading space is the one that the library adds itself."""
-    return [len(x) for x in _model(model).encode([t[1:] for t in tokens], num_threads=1)]
+    """Pieces of each pre-token; the leading space is the one that the library adds itself, but to no empty text: a lone
+    space (at a text's end) is one piece."""
+    return [len(x) if len(t) > 1 else 1 for t, x in zip(tokens, _model(model).encode([t[1:] for t in tokens], num_threads=1), strict=True)]
 
 
 def corpus_pretokens(docs: DataFrame, text_col: str) -> DataFrame:
@@ -82,9 +83,9 @@ def count_pieces(tokens: DataFrame, model: str) -> DataFrame:
 
 
 def frequent_table(counted: DataFrame, most: int = FREQUENT) -> dict[str, int]:
-    """Pieces of the ``most`` most frequent pre-tokens of bounded length; a few MB at any size of the corpus."""
-    top = counted.where(F.char_length("token") <= FREQUENT_CHARS).orderBy(F.desc("freq"), "token").limit(most).select("token", "pieces")
-    return {r.token: r.pieces for r in top.toLocalIterator()}
+    """Pieces of the most frequent pre-tokens of bounded length, ``most`` at most; a few MB at any size of the corpus."""
+    top = most_frequent(counted.where(F.char_length("token") <= FREQUENT_CHARS), "freq", most).select("token", "pieces")
+    return {r.token: r.pieces for r in top.collect()}
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
