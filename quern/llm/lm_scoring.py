@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, most_frequent, partitions
 
 #: Bits of the table of frequent words, and how often a bigram must occur to be used.
 FREQUENT_BITS, SEEN, BACKOFF = 17, 2, 0.4
@@ -156,7 +156,7 @@ def heavy_bigrams(docs: DataFrame, frequent: Frequent, text_col: str) -> dict[tu
 
     counted = docs.select(F.lit(0).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     place = np.flatnonzero(frequent.heavy >= 0)
-    return {(int(place[r.code // m]), int(place[r.code % m])): r.n for r in counted.where(F.col("n") * HEAVY > frequent.total).collect()}
+    return {(int(place[r.code // m]), int(place[r.code % m])): r.n for r in counted.where((F.col("n") * HEAVY > frequent.total) & (F.col("n") >= SEEN)).collect()}
 
 
 #: Kinds of occurrences by the words' places: both frequent, before only, word only, neither; a document's first word is
@@ -166,7 +166,8 @@ START = -2
 
 
 def occurrences(docs: DataFrame, frequent: Frequent, heavy: dict[tuple[int, int], int], parts: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two sorts: a document (row, doc, n, score so far), and packed occurrences of one kind and partition."""
+    """Rows of two sorts, each for a group of documents whose numbers begin at row: their ids, words and scores so far; and
+    packed occurrences of one kind and partition."""
     sc = docs.sparkSession.sparkContext
     held, pairs = sc.broadcast(frequent), sc.broadcast(heavy)
 
@@ -211,25 +212,25 @@ def occurrences(docs: DataFrame, frequent: Frequent, heavy: dict[tuple[int, int]
             send(RF, at, part_of(before_h[at] + place[at].astype(_U) * _P), before_h[at], place[at])
             at = np.flatnonzero((before_place == -1) & (place < 0))
             send(RR, at, part_of(h[at]), before_h[at], h[at])
-            rows = row + np.arange(len(n))
-            yield pa.RecordBatch.from_arrays([pa.array(rows % parts, pa.int32()), pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(n), pa.array(score), *(pa.nulls(len(n), k) for k in (pa.int32(), pa.int32(), pa.binary()))], NAMES)
-            if frames:
-                kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*frames, strict=True), kinds, strict=True)], NAMES)
+            frames.append((row % parts, row, ids, n, score, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*frames, strict=True), KINDS, strict=True)], NAMES)
 
     typed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return typed.mapInArrow(run, "part int, row long, doc long, n long, score long, kind int, size int, data binary")
+    return typed.mapInArrow(run, "part int, row long, doc array<long>, n array<long>, score array<long>, kind int, size int, data binary")
 
 
 NAMES = ["part", "row", "doc", "n", "score", "kind", "size", "data"]
+KINDS = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.int32(), pa.int32(), pa.binary()]
 _LAYOUT = {FF: (np.uint32, np.uint8), FR: (np.int32, _U), RF: (_U, np.int32), RR: (_U, _U)}
 
 
 def _unpack(blobs: list[tuple]) -> dict[int, list[np.ndarray]]:
-    """Per kind: documents' rows, then the two columns."""
+    """Per kind: documents' rows, then the two columns. Rows number the groups' documents as they come: groups << 16."""
     out: dict[int, list[list]] = {}
+    places: dict[int, int] = {}
     for row, kind, size, data in blobs:
-        at, columns = 2 * size, [row + np.frombuffer(data, np.uint16, size).astype(np.int64)]
+        group = places.setdefault(row, len(places))
+        at, columns = 2 * size, [(group << 16) + np.frombuffer(data, np.uint16, size).astype(np.int64)]
         for t in _LAYOUT[kind]:
             columns.append(np.frombuffer(data, t, size, at))
             at += size * np.dtype(t).itemsize
@@ -284,29 +285,33 @@ def _scored(blobs: list[tuple], f: Frequent) -> tuple[np.ndarray, np.ndarray, np
 
 
 def partial_scores(packed: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
-    """Documents (row, doc, n, score), sums (row, score), and words whose count is still open (row, word)."""
+    """Per group of documents: their ids, words and scores so far; packed sums of one partition; and (row, word) of which
+    the count is still open."""
     held = packed.sparkSession.sparkContext.broadcast(frequent)
+    names = ["group", "doc", "n", "score", "at", "row", "word"]
+    kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
-        names = ["row", "doc", "n", "score", "word"]
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if blobs:
-                row, total, open_row, open_word = _scored(blobs, held.value)
-                none = lambda k: pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(row), none(len(row)), none(len(row)), pa.array(total), none(len(row))], names)
-                if len(open_row):
-                    k = len(open_row)
-                    yield pa.RecordBatch.from_arrays([pa.array(open_row), none(k), none(k), none(k), pa.array(open_word.view(np.int64))], names)
-                blobs.clear()
+            if not blobs:
+                return
+            row, total, open_row, open_word = _scored(blobs, held.value)
+            groups = list(dict.fromkeys(b[0] for b in blobs))
+            cuts = np.searchsorted(row >> 16, np.arange(len(groups) + 1))
+            rows = [(g, None, None, total[a:b], (row[a:b] & 0xFFFF).astype(np.uint16).tobytes(), None, None) for g, a, b in zip(groups, cuts[:-1], cuts[1:], strict=True)]
+            first = np.array(groups, np.int64)
+            rows += [(None, None, None, None, None, r, w) for r, w in zip((first[open_row >> 16] + (open_row & 0xFFFF)).tolist(), open_word.view(np.int64).tolist(), strict=True)]
+            blobs.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            is_doc = batch.column(7).is_null()
-            docs = batch.filter(is_doc)
+            is_group = batch.column(7).is_null()
+            docs = batch.filter(is_group)
             if len(docs):
-                yield pa.RecordBatch.from_arrays([docs.column(1), docs.column(2), docs.column(3), docs.column(4), pa.nulls(len(docs), pa.int64())], names)
-            rest = batch.filter(pc.invert(is_doc))
+                yield pa.RecordBatch.from_arrays([docs.column(1), docs.column(2), docs.column(3), docs.column(4), *(pa.nulls(len(docs), k) for k in kinds[4:])], names)
+            rest = batch.filter(pc.invert(is_group))
             for part, row, kind, size, data in zip(*(rest.column(i).to_pylist() for i in (0, 1, 5, 6, 7)), strict=True):
                 if part != now:
                     yield from finish()
@@ -314,7 +319,34 @@ def partial_scores(packed: DataFrame, frequent: Frequent, parts: int) -> DataFra
                 blobs.append((row, kind, size, data))
         yield from finish()
 
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "row long, doc long, n long, score long, word long")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "group long, doc array<long>, n array<long>, score array<long>, at binary, row long, word long")
+
+
+def summed(partial: DataFrame, parts: int) -> DataFrame:
+    """Documents with the sums of all partitions: row, doc, n, score. A group holds a bounded number of documents."""
+    names = ["row", "doc", "n", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, words, total = None, None, None, None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if ids is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(now + np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(total)], names)
+
+        for batch in batches:
+            for group, doc, n, score, at in zip(*(batch.column(i) for i in range(5)), strict=True):
+                if group.as_py() != now:
+                    yield from finish()
+                    now, ids, total = group.as_py(), None, np.zeros(DOCS_HELD + 1, np.int64)
+                if doc.is_valid:
+                    ids, words = doc.as_py(), n.as_py()
+                    total = total[: len(ids)] + np.asarray(score.values)
+                else:
+                    total[np.frombuffer(at.as_py(), np.uint16)] += np.asarray(score.values)
+        yield from finish()
+
+    dealt = partial.where("group is not null").select("group", "doc", "n", "score", "at").repartition(parts, "group")
+    return dealt.sortWithinPartitions("group", F.col("doc").isNull()).mapInArrow(run, "row long, doc long, n long, score long")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_bits: int = FREQUENT_BITS) -> DataFrame:
@@ -323,13 +355,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch, parts = Scratch(spark, "lm"), partitions(spark)
     words = scratch.put(word_counts(docs, text_col), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    top = words.where(F.col("n") > 1).orderBy(F.desc("n"), "h").limit(1 << min(frequent_bits, FREQUENT_BITS)).collect()
+    top = most_frequent(words, "n", 1 << min(frequent_bits, FREQUENT_BITS)).collect()
     frequent = Frequent(top, total)
     heavy = heavy_bigrams(docs, frequent, text_col)
     packed = occurrences(docs, frequent, heavy, 2 * parts, id_col, text_col)
     found = scratch.put(partial_scores(packed, frequent, parts), "scores")
     opened = found.where("word is not null").groupBy("row", F.col("word").alias("h")).count().join(words, "h")
-    less = opened.select("row", (-F.col("count") * F.round(F.ln("n") * 1e6)).cast("long").alias("score"))
-    sums = found.where("doc is null and n is null and word is null").select("row", "score").unionByName(less).groupBy("row").agg(F.sum("score").alias("more"))
-    out = found.where("n is not null").join(sums, "row", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_words"), ((F.col("score") + F.coalesce("more", F.lit(0))) / 1e6).alias("log_score"))
+    less = opened.groupBy("row").agg(F.sum((F.col("count") * F.round(F.ln("n") * 1e6)).cast("long")).alias("less"))
+    out = summed(found, parts).join(less, "row", "left")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_words"), ((F.col("score") - F.coalesce("less", F.lit(0))) / 1e6).alias("log_score"))
