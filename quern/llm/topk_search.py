@@ -1,11 +1,11 @@
 """Exact top-k by inner product with an M-tree over pages of vectors.
 
-The inner product becomes a distance by one more dimension: a candidate x of length |x| <= m gets sqrt(m*m - |x|*|x|), a
-query gets 0, and the nearest is then the one with the highest product. Pages are the tree's leaves: vectors dealt by
-their nearest pivot (a bounded sample), cut to a fixed number of rows; each page keeps its centre, its covering radius and
-the distances of its members to the centre. Pages of one pivot form an inner node, with the page centres' distances to
-it. A search takes nodes in the order of their bound and stops at the first that cannot reach the k-th score at hand. The
-stored distances give bounds by the triangle inequality, so most pages need no distance and most members no product.
+The tree lives in the Euclidean metric, and a ball bounds the inner product: for x within r of c, <q, x> <= <q, c> + |q| * r.
+Pages are the leaves: vectors dealt by their nearest pivot (of a bounded sample), cut to a fixed number of rows; each page
+keeps its centre, its covering radius and its members' distances to the centre. Pages of one pivot form an inner node, which
+keeps the page centres' distances to the pivot. A search takes nodes in the order of their bound and stops at the first that
+cannot reach the k-th score at hand. Through the triangle inequality, the stored distances bound pages and members before
+any product with them is computed, so most pages and the inner members of the others are passed over.
 
 Searches run where the pages are: every task holds a part of the tree and searches it for a block of queries at a time;
 the best k of all parts are the result. The queries pass in blocks, so a task holds one block. Pivots are chosen from
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
@@ -193,8 +193,9 @@ class Part:
 def top_k(queries: DataFrame, pages: DataFrame, pivots: dict[int, np.ndarray], parts: int, k: int = K) -> DataFrame:
     """The k best of every part for every query: query_id, vec_id, score. ``queries`` has id, dim and v."""
     # A block is a bounded number of queries; every part of the tree sees each block once.
-    block = F.floor(F.row_number().over(_by_block()) / QUERY_BLOCK)
-    blocks = queries.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(4096))).withColumn("block", block)
+    slots = max(1, -(-queries.count() // (QUERY_BLOCK // 2)))
+    order = Window.partitionBy("slot").orderBy("id")
+    blocks = queries.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots))).withColumn("block", F.floor(F.row_number().over(order) / QUERY_BLOCK))
     grouped = blocks.groupBy("slot", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     sent = grouped.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "queries")
     leaves = pages.withColumn("part", F.pmod(F.xxhash64("centre", "low"), F.lit(parts)).cast("int"))
@@ -221,16 +222,8 @@ def top_k(queries: DataFrame, pages: DataFrame, pivots: dict[int, np.ndarray], p
     return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def _by_block():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("slot").orderBy("id")
-
-
 def search(table: DataFrame, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """For each row whose id is divisible by ``every``: its k best other rows. query_id, rank, vec_id, score."""
-    from pyspark.sql import Window
-
     spark = table.sparkSession
     scratch = Scratch(spark, "search")
     vectors = scratch.put(integer_vectors(table, id_col, vector_col), "vectors")
