@@ -1,13 +1,14 @@
 """Near-duplicate detection by b-bit MinHash over shingles of five words.
 
-Each distinct word sequence gets 96 minima. Four of them at a time make a band; texts that share a band are candidates. A
-text's signature keeps four low bits of each minimum, packed into longs; the share of equal fields, counted by bits and
-corrected for chance agreement, drops unlikely candidates before the full shingle sets are compared exactly.
+Each distinct word sequence gets 352 minima. Eight of them at a time make a band; texts that share a band are candidates. A
+text's signature keeps two low bits of each minimum, packed into longs; the share of equal fields, counted by bits and
+corrected for chance agreement, drops unlikely candidates before the full shingle sets are compared exactly. Bands of eight
+keep texts that only share a passage apart: at a similarity of 0.3, one pair in 350 becomes a candidate.
 
 Copies never form pairs: equal word sequences are one class, by its smallest document. In a bucket, each text is first
 compared with the bucket's smallest; what that links is joined into components. Then only pairs that still lie in
 different components are compared, all of them. Two texts with a Jaccard of 0.85 miss each other in every band with a
-chance of (1 - 0.85**4)**24, below 1e-7.
+chance of (1 - 0.85**8)**44, below 1e-6.
 
 Defined results: a text without words (or null) has no shingles and links with nothing, as does a row with a null id,
 whose component is null and which is kept. Rows that repeat a document are alike. Of rows that share an id but not the
@@ -20,18 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import components
 
-SHINGLE, BANDS, ROWS, BITS = 5, 24, 4, 4
+SHINGLE, BANDS, ROWS, BITS = 5, 44, 8, 2
 HASHES = BANDS * ROWS
 #: Shingles hashed at once, and distinct words whose hash a task remembers.
-CHUNK, WORDS_HELD = 4096, 1_000_000
-#: Estimates so far below the threshold cannot come from a linked pair but with a chance below 1e-9.
-SLACK = 0.25
+CHUNK, WORDS_HELD = 1024, 1_000_000
+#: Estimates so far below the threshold (over five standard deviations) come from a linked pair with a chance below 1e-7.
+SLACK = 0.12
 
 _U = np.uint64
 
@@ -44,7 +45,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _DRAWS = _mix(np.arange(1, 2 * HASHES + 64, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_FACTORS, _SHIFTS, _PLACES = _DRAWS[:HASHES] | _U(1), _DRAWS[HASHES : 2 * HASHES], _DRAWS[2 * HASHES :] | _U(1)
+_FACTORS, _SHIFTS = (_DRAWS[:HASHES] >> _U(32)).astype(np.uint32) | np.uint32(1), (_DRAWS[HASHES : 2 * HASHES] >> _U(32)).astype(np.uint32)
+_PLACES = _DRAWS[2 * HASHES :] | _U(1)
 
 
 class Shingler:
@@ -66,9 +68,8 @@ class Shingler:
         known = self.known
         if len(known) > WORDS_HELD:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), _U, len(words))
         size = min(self.size, len(h))
         n = len(h) - size + 1
@@ -79,10 +80,14 @@ class Shingler:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, np.iinfo(_U).max, _U)
-    for i in range(0, len(shingles), CHUNK):
-        np.minimum(out, (np.multiply.outer(_FACTORS, shingles[i : i + CHUNK]) + _SHIFTS[:, None]).min(axis=1), out=out)
-    return out
+    """The smallest value of each permutation of 32-bit numbers over the upper halves of the hashes."""
+    half = (shingles >> _U(32)).astype(np.uint32)
+    out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(half), CHUNK):
+        values = np.multiply.outer(_FACTORS, half[i : i + CHUNK])
+        values += _SHIFTS[:, None]
+        np.minimum(out, values.min(axis=1), out=out)
+    return out.astype(_U)
 
 
 def packed(low: np.ndarray) -> np.ndarray:
@@ -93,7 +98,7 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     rows = _mix(low.reshape(BANDS, ROWS) * _PLACES[:ROWS])
-    return _mix(rows.sum(axis=1, dtype=_U) + _PLACES[8 : 8 + BANDS]).view(np.int64)
+    return _mix(rows.sum(axis=1, dtype=_U) + _PLACES[ROWS : ROWS + BANDS]).view(np.int64)
 
 
 SIGNATURE = "doc long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
@@ -130,8 +135,15 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     ones = sum(1 << (BITS * i) for i in range(64 // BITS))
     x = F.zip_with("sa", "sb", lambda p, q: p.bitwiseXOR(q))
-    any_bit = lambda v: F.bit_count(F.expr("0L").bitwiseOR(v).bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseOR(F.shiftrightunsigned(v, 3)).bitwiseAND(F.lit(ones)))
-    unequal = F.aggregate(x, F.lit(0), lambda n, v: n + any_bit(v))
+
+    def fields(v: Column) -> Column:
+        """How many fields of ``v`` have a bit set."""
+        some = v
+        for i in range(1, BITS):
+            some = some.bitwiseOR(F.shiftrightunsigned(v, i))
+        return F.bit_count(some.bitwiseAND(F.lit(ones)))
+
+    unequal = F.aggregate(x, F.lit(0), lambda n, v: n + fields(v))
     chance = 2.0**-BITS
     estimate = ((HASHES - unequal) / HASHES - chance) / (1 - chance)
     return both.where(estimate >= threshold - SLACK).select("a", "b")
