@@ -13,6 +13,7 @@ A null doc_id is kept as null.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import ChainMap
 from collections.abc import Iterator
@@ -26,11 +27,10 @@ CAPACITY = 2048
 #: Low bits of a sequence_id that count a worker's sequences; the worker's number stands above them.
 COUNTER_BITS = 40
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 #: Texts whose new words are encoded together.
 GROUP = 512
-#: Marks that are one pre-token after letters.
-MARKS = ".,;:!?"
+_MARK = re.compile("(?<=[a-z])([.,])(?= )")
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -45,9 +45,12 @@ def _tokenizer(path: str):
     return t
 
 
-def _low(word: str) -> str:
-    """A word as the tokenizer sees it, where lower case is a matter of single letters; else as it is."""
-    return word.lower() if word.isascii() else word
+def split_words(text: str) -> list[str]:
+    """Parts between spaces and newlines that the tokenizer treats alike wherever they stand: A-Z in lower case, and a
+    period or comma between a letter and a space on its own. Texts that may hold special strings keep their case."""
+    if "<|" not in text:
+        text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return _MARK.sub(r" \1", text.replace("\n", " ")).split(" ")
 
 
 class WordTokenizer:
@@ -87,19 +90,13 @@ class WordTokenizer:
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
     def _encode(self, new: set[str]) -> dict[str, bytes]:
-        plain = {w: _low(w) for w in new if w.isalpha()}
-        other = [w for w in new if w not in plain]
-        marked = {w: (_low(w[:-1]), w[-1]) for w in other if w[-1] in MARKS and w[:-1].isalpha()}
-        lowered = self._letters(list({*plain.values(), *(core for core, _ in marked.values())}))
-        marks = self._single(list(MARKS)) if marked else {}
-        out = {w: lowered[low] for w, low in plain.items()}
-        out |= {w: lowered[core] + marks[mark] for w, (core, mark) in marked.items()}
-        return out | self._single([w for w in other if w not in marked])
+        letters = {w for w in new if w.isalpha()}
+        return self._letters(list(letters)) | self._single([w for w in new if w not in letters])
 
     def ids(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         """The ids of each text with ``end`` after them."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
+        split = [split_words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
         found, here = self._encode(new), self.known
         if len(here) + len(found) <= REMEMBERED:
             here |= found
@@ -107,7 +104,7 @@ class WordTokenizer:
             here = ChainMap(found, here)
         last = np.array([end], "<u4").tobytes()
         for words in split:
-            yield np.frombuffer(b"".join([here[w] for w in words]) + last, "<u4")
+            yield np.frombuffer(b"".join(map(here.__getitem__, words)) + last, "<u4")
 
 
 @functools.lru_cache(maxsize=1)
