@@ -200,9 +200,10 @@ def bleu(rows: DataFrame, key: str = "id", pred: str = "pred", truths: str = "gt
     mine = rows.select("k", F.explode(grams(F.col("p"))).alias("g")).groupBy("k", "g.n", "g.g").agg(F.count("*").alias("have"))
     theirs = rows.select("k", F.posexplode("ts").alias("t", "words")).select("k", "t", F.explode(grams(F.col("words"))).alias("g")).groupBy("k", "t", "g.n", "g.g").agg(F.count("*").alias("c")).groupBy("k", "n", "g").agg(F.max("c").alias("may"))
     hits = mine.join(theirs, ["k", "n", "g"], "left").groupBy("n").agg(F.sum(F.least("have", F.coalesce("may", F.lit(0)))).alias("hit"), F.sum("have").alias("all"))
-    precision = hits.agg(F.count_if(F.col("hit") > 0).alias("orders"), F.avg(F.when(F.col("hit") > 0, F.ln(F.col("hit") / F.col("all")))).alias("mean"))
+    every = hits.unionByName(lengths, allowMissingColumns=True)
+    row = every.agg(F.count_if(F.col("hit") > 0).alias("orders"), F.avg(F.when(F.col("hit") > 0, F.ln(F.col("hit") / F.col("all")))).alias("mean"), F.max("c").alias("c"), F.max("r").alias("r"))
     brevity = F.when(F.col("c") > F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("r"), F.col("c"))))
-    return precision.crossJoin(lengths).select(F.coalesce(F.when(F.col("orders") == most, brevity * F.exp("mean")), F.lit(0.0)).alias("bleu"), F.col("c").alias("pred_words"), F.col("r").alias("truth_words"))
+    return row.select(F.coalesce(F.when(F.col("orders") == most, brevity * F.exp("mean")), F.lit(0.0)).alias("bleu"), F.col("c").alias("pred_words"), F.col("r").alias("truth_words"))
 
 
 def distinct_values(rows: DataFrame, column: str) -> DataFrame:

@@ -64,7 +64,9 @@ def pair_stats(graded: DataFrame, entailment: bool = False) -> DataFrame:
     by_answer = lambda label, name: graded.where(F.col("label") == label).groupBy(*KEY, F.lower("answer_pred").alias(name)).agg(F.count("*").alias(f"n_{name}"))
     skipped = by_answer("pos", "a").join(by_answer("neg", "b"), KEY).withColumn("w", F.col("n_a") * F.col("n_b")).withColumn("s", F.when(F.contains("b", F.col("a")) & F.lit(not entailment), F.col("w")).otherwise(0))
     per_key = skipped.groupBy(*KEY).agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
-    return totals.crossJoin(per_key.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("entail_skip"), F.count_if(F.col("w") == F.col("s")).alias("keys_without_pairs")))
+    left_out = per_key.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("entail_skip"), F.count_if(F.col("w") == F.col("s")).alias("keys_without_pairs"))
+    both = totals.unionByName(left_out, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in [*totals.columns, *left_out.columns]))
 
 
 def all_wrong_questions(graded: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -92,14 +92,11 @@ def cluster_sizes(assignments: DataFrame, k: int | None = None, by: list[str] |
     by = by or []
     counts = assignments.groupBy(*by, "cluster").agg(F.count("*").alias("n"))
     if k is not None:
-        spark = assignments.sparkSession
-        grid = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
-        if by:
-            grid = assignments.select(*by).distinct().crossJoin(F.broadcast(grid))
+        every = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cluster")
+        grid = assignments.select(*by).distinct().select(*by, every) if by else assignments.sparkSession.range(1).select(every)
         counts = grid.join(counts, [*by, "cluster"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("q_total"))
-    with_total = counts.join(total, by) if by else counts.crossJoin(F.broadcast(total))
-    return with_total.select(*by, "cluster", "n", F.coalesce(F.try_divide(100.0 * F.col("n"), F.col("q_total")), F.lit(0.0)).alias("percent"))
+    total = F.sum("n").over(Window.partitionBy(*by))
+    return counts.select(*by, "cluster", "n", F.coalesce(F.try_divide(100.0 * F.col("n"), total), F.lit(0.0)).alias("percent"))
 
 
 def partition_datasets(rows: DataFrame, features: DataFrame, model: ClusterModel, image: str = "image", drop_prefix: bool | None = None) -> DataFrame:

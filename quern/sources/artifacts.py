@@ -25,9 +25,11 @@ class ClusterModel:
 
 def cluster_metadata(assignments: DataFrame, centroids: DataFrame, method: str, limit: int) -> DataFrame:
     """One row: counts, width, iteration limit, sizes by cluster, method and distance."""
-    sizes = centroids.select("cluster").join(assignments.groupBy("cluster").count(), "cluster", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", F.coalesce("count", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("cluster_sizes"))
-    width = centroids.agg(F.count("*").alias("n_clusters"), F.max(F.size("centroid")).alias("feature_dim"))
-    return sizes.crossJoin(width).select(F.col("n_clusters").cast("int"), F.aggregate("cluster_sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_samples"), "feature_dim", F.lit(limit).alias("iter_limit"), "cluster_sizes", F.lit(method).alias("clustering_method"), F.lit("cosine").alias("distance_metric"))
+    sizes = centroids.select("cluster", F.size("centroid").alias("dim")).join(assignments.groupBy("cluster").count(), "cluster", "left")
+    item = F.struct("cluster", F.coalesce("count", F.lit(0).cast("long")).alias("n"))
+    row = sizes.agg(F.count("*").cast("int").alias("n_clusters"), F.max("dim").alias("feature_dim"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["n"]).alias("cluster_sizes"))
+    total = F.aggregate("cluster_sizes", F.lit(0).cast("long"), lambda s, x: s + x)
+    return row.select("n_clusters", total.alias("n_samples"), "feature_dim", F.lit(limit).alias("iter_limit"), "cluster_sizes", F.lit(method).alias("clustering_method"), F.lit("cosine").alias("distance_metric"))
 
 
 def save_model(root: str, centroids: DataFrame, assignments: DataFrame, mapping: DataFrame | None = None, method: str = "balanced_kmeans", limit: int = 100) -> None:
