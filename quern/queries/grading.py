@@ -44,19 +44,20 @@ def vqa_consensus(t):
     return t("orders").groupBy("o_orderpriority").agg(F.round(F.avg(A.vqa_consensus(pred, truths)), 6).alias("score"))
 
 
-@query("""SELECT p_partkey, round(CASE WHEN s < 0.5 THEN 0 ELSE s END, 6) AS anls FROM (
-  SELECT p_partkey, greatest(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type))::DOUBLE, 1 - levenshtein(lower(p_name), lower(left(p_name, 12))) / greatest(length(p_name), 12)::DOUBLE) AS s
-  FROM part WHERE length(p_name) > 12)""")
+@query("""SELECT page_id, round(CASE WHEN s < 0.5 THEN 0 ELSE s END, 6) AS anls FROM (
+  SELECT page_id, greatest(1 - levenshtein(lower(p), lower(url)) / greatest(length(p), length(url))::DOUBLE, 1 - levenshtein(lower(p), lower(t)) / greatest(length(p), length(t))::DOUBLE) AS s
+  FROM (SELECT page_id, url, upper(left(url, (length(url) - page_id % 20)::BIGINT)) AS p, left(url, 12) AS t FROM pages))""")
 def anls(t):
-    rows = t("part").where("length(p_name) > 12")
-    return rows.select("p_partkey", F.round(A.anls("p_name", F.array("p_type", F.left("p_name", F.lit(12)))), 6).alias("anls"))
+    """Addresses cut short against the whole address and its first characters."""
+    rows = t("pages")
+    pred = F.upper(F.left("url", (F.char_length("url") - F.col("page_id") % 20).cast("int")))
+    return rows.select("page_id", F.round(A.anls(pred, F.array("url", F.left("url", F.lit(12)))), 6).alias("anls"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN f LIKE '%yes%' THEN 'yes' WHEN f LIKE '%no%' THEN 'no' ELSE 'other' END AS answer, CASE WHEN list_has_any(string_split(replace(string_split(text, '.')[1], ',', ''), ' '), ['No', 'not', 'no']) THEN 'no' ELSE 'yes' END AS sentence
-FROM (SELECT *, left(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), 4) AS f FROM conversations WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*'))""")
+FROM (SELECT *, left(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), 4) AS f FROM conversations)""")
 def yes_no_parse(t):
-    rows = t("conversations").where(F.octet_length("text") == F.char_length("text"))
-    return rows.select("conv_id", "turn", A.yes_no_other("text").alias("answer"), A.yes_no_sentence("text").alias("sentence"))
+    return t("conversations").select("conv_id", "turn", A.yes_no_other("text").alias("answer"), A.yes_no_sentence("text").alias("sentence"))
 
 
 @query("""SELECT doc_id, len(regexp_extract_all(text, '-?\\b\\d{1,3}(?:,\\d{3})+\\b'))::INTEGER AS with_commas, len(regexp_extract_all(text, '-?\\d+(?:\\.\\d+)?[eE][+-]?\\d+'))::INTEGER AS scientific FROM documents""")
@@ -80,7 +81,7 @@ def option_parse(t):
     return t("part").select("p_partkey", A.choice_from_response(said, ["A", "B", "C"], F.array("p_brand", "p_type", "p_name"), F.col("p_partkey")).alias("letter"))
 
 
-_ROLLOUTS = """r AS (SELECT user_id % 40 AS image, event_type AS question, '10' AS answer, event_id,
+_ROLLOUTS = """r AS (SELECT event_id % 1000 AS image, event_type AS question, '10' AS answer, event_id,
   CASE WHEN event_id % 11 = 0 THEN 'no answer' ELSE 'step one' || chr(10) || 'step two' || chr(10) || 'Final answer: ' || CASE WHEN event_id % 3 = 0 THEN '10' WHEN event_id % 3 = 1 THEN 'x10' ELSE (event_id % 9)::VARCHAR END END AS response FROM events),
 g AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'format' WHEN event_id % 3 = 0 THEN 'pos' ELSE 'neg' END AS label FROM r)"""
 
@@ -88,7 +89,7 @@ g AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'format' WHEN event_id % 3 = 0
 def _rollouts(t):
     said = F.when(F.col("event_id") % 3 == 0, "10").when(F.col("event_id") % 3 == 1, "x10").otherwise((F.col("event_id") % 9).cast("string"))
     response = F.when(F.col("event_id") % 11 == 0, "no answer").otherwise(F.concat(F.lit("step one\nstep two\nFinal answer: "), said))
-    return t("events").select((F.col("user_id") % 40).alias("image"), F.col("event_type").alias("question"), F.lit("10").alias("answer"), "event_id", response.alias("response"), F.lit("en").alias("prompt_version"))
+    return t("events").select((F.col("event_id") % 1000).alias("image"), F.col("event_type").alias("question"), F.lit("10").alias("answer"), "event_id", response.alias("response"), F.lit("en").alias("prompt_version"))
 
 
 def _graded(t):

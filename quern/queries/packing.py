@@ -12,7 +12,7 @@ _LIMITS = packing.Limits(tokens=4096, images=6, buffers=20, overflow=False)
 
 
 def _samples(t):
-    return t("documents").select(F.col("doc_id").alias("sample"), (F.least(F.col("n_chars") / 4, F.lit(4096)).cast("int") + 1).alias("tokens"), (F.col("doc_id") % 3).cast("int").alias("images")).where("tokens <= 4096")
+    return t("documents").select(F.col("doc_id").alias("sample"), (F.least(F.col("n_chars") / 4, F.lit(4095)).cast("int") + 1).alias("tokens"), (F.col("doc_id") % 3).cast("int").alias("images"))
 
 
 @query()

@@ -114,10 +114,9 @@ normal AS (SELECT *, array_to_string(list_transform(w2, lambda x: coalesce(({pai
 _NORMAL = _normal_sql("text")
 
 
-@query(f"WITH given AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')), {_NORMAL} SELECT conv_id, turn, sha256(normal) AS digest FROM normal")
+@query(f"WITH given AS (SELECT conv_id, turn, text FROM conversations), {_NORMAL} SELECT conv_id, turn, sha256(normal) AS digest FROM normal")
 def answer_normalise(t):
-    ascii_only = t("conversations").where(F.octet_length("text") == F.char_length("text"))
-    return ascii_only.select("conv_id", "turn", F.sha2(normalize_answer("text"), 256).alias("digest"))
+    return t("conversations").select("conv_id", "turn", F.sha2(normalize_answer("text"), 256).alias("digest"))
 
 
 _GRIDS = media.grids(1, 12)
