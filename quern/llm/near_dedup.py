@@ -6,8 +6,8 @@ corrected for chance agreement, drops unlikely candidates before the full shingl
 keep texts that only share a passage apart: at a similarity of 0.3, one pair in 350 becomes a candidate.
 
 Copies never form pairs: equal word sequences are one class, by its smallest document. In a bucket, each text is first
-compared with the bucket's smallest; what that links is joined into components. Then only pairs that still lie in
-different components are compared, all of them. Two texts with a Jaccard of 0.85 miss each other in every band with a
+compared with the bucket's smallest; what that links is joined into components. In buckets that still hold several
+components, pairs across them are found by the rarest shingles, without loss, and compared. Two texts with a Jaccard of 0.85 miss each other in every band with a
 chance of (1 - 0.85**8)**44, below 1e-6.
 
 Defined results: a text without words (or null) has no shingles and links with nothing, as does a row with a null id,
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -149,35 +149,71 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.where(estimate >= threshold - SLACK).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids whose full shingle sets have a Jaccard similarity of at least ``percent`` in a hundred."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Full shingle sets of ``nodes`` (rep, k1, k2): node, s (sorted hashes). Other documents' texts are not hashed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held = Shingler(), {}
-
-        def of(text: str) -> np.ndarray:
-            if text not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[text] = shingler.shingles(shingler.words(text))
-            return held[text]
+        import xxhash
 
+        shingler = Shingler()
         for batch in batches:
-            left, right = [], []
-            for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q = of(s), of(t)
-                if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
-                    continue
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if common and 100 * common >= percent * (len(p) + len(q) - common):
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = shingler.words(text)
+                k = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), np.int64)
+                rows.append((doc, k[0], k[1], shingler.shingles(words).view(np.int64)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "k1", "k2", "s"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    some = texts.join(nodes.select("rep").distinct(), "rep", "left_semi")
+    sets = some.mapInArrow(run, "node long, k1 long, k2 long, s array<long>")
+    named = nodes.select(F.col("rep").alias("node"), "k1", "k2")
+    return sets.dropDuplicates(["node", "k1", "k2"]).join(named, ["node", "k1", "k2"], "left_semi").select("node", "s")
+
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(ids, "doc", "left_semi")
-    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose full shingle sets have a Jaccard similarity of at least ``percent`` in a hundred."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            p, q = batch.column(2), batch.column(3)
+            for i in range(len(batch)):
+                x, y = np.asarray(p[i].values), np.asarray(q[i].values)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
+    near = 100 * F.least(F.size("p"), F.size("q")) >= percent * F.greatest(F.size("p"), F.size("q"))
+    return both.where(near).select("a", "b", "p", "q").mapInArrow(run, "a long, b long").distinct()
+
+
+def crossing_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes in different components that may still link, by the rarest shingles.
+
+    ``placed`` has node and comp. A set's shingles stand in the order of their frequency among ``placed``, rare ones first.
+    Two sets with enough in common share one of the first few of them; where these stand bounds what the sets can have in
+    common. Texts that share a passage, or come from one text by edits of their own, differ in rare shingles and so make no
+    pair, however many they are.
+    """
+    t = percent / 100
+    items = sets.join(placed, "node").select("node", "comp", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = items.groupBy("h").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("node", "n").orderBy("times", "h")
+    first = items.join(often, "h").withColumn("pos", F.row_number().over(order))
+    first = first.where((F.col("times") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * t) + 1))
+    left = first.select("h", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    # The smaller set of a pair needs even fewer: what two sets must share grows with the larger one.
+    right = first.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t))) + 1)
+    right = right.select("h", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+    must = F.ceil((F.col("nx") + F.col("ny")) * (t / (1 + t)) - 1e-9)
+    may = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    on = (left["h"] == right["h"]) & (F.col("cx") != F.col("cy")) & smaller & (F.col("ny") >= F.col("nx") * t - 1e-9) & (may >= must)
+    return left.join(right, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -191,21 +227,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = reps.select("rep", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = scratch.put(members.join(shared.select("band", "leader"), "band"), "buckets")
+    nodes = scratch.put(reps.select("rep", "k1", "k2").join(buckets.select("rep").distinct(), "rep", "left_semi"), "nodes")
+    sets = scratch.put(shingle_sets(docs, nodes, id_col, text_col), "sets")
     star = buckets.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = scratch.put(likely(star, reps, threshold), "tried")
-    links = scratch.put(confirmed(tried, docs, id_col, text_col, percent).distinct(), "links")
+    links = scratch.put(confirmed(likely(star, reps, threshold), sets, percent), "links")
     found = scratch.put(components(links, scratch), "components")
-    # What no leader has linked: pairs of a bucket that lie in different components.
+    # What no leader has linked: nodes of buckets that hold several components.
     placed = buckets.join(found, buckets["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    parts = placed.groupBy("band", "comp").count()
-    split = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("comp", "count").alias("most")).where("parts > 1").drop("parts")
-    placed = placed.join(split, "band")
-    minor = placed.where("comp <> most").select("band", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    crossing = minor.join(placed.select("band", F.col("rep").alias("y"), F.col("comp").alias("cy")), "band").where("cx <> cy")
-    crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = scratch.put(likely(crossing, reps, threshold), "crossing")
+    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    unsettled = scratch.put(placed.join(split, "band", "left_semi").select(F.col("rep").alias("node"), "comp").distinct(), "unsettled")
+    rest = scratch.put(likely(crossing_pairs(sets, unsettled, percent), reps, threshold), "crossing")
     if not rest.isEmpty():
-        more = scratch.put(confirmed(rest, docs, id_col, text_col, percent).distinct(), "links")
+        more = scratch.put(confirmed(rest, sets, percent), "links")
         found = scratch.put(components(links.unionByName(more), scratch), "components")
     classes = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each class that training may see.
 PER_CLASS = 1500
+#: Longer documents are scored like any other but left out of training, so that the sample's size is bounded.
+LONGEST = 100_000
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
@@ -305,7 +307,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len({y for _, y in ids}) < 2:
         return None
     few = docs.sparkSession.createDataFrame(ids, "q_id long, q_y int")
-    rows = docs.join(F.broadcast(few), F.col(id_col) == F.col("q_id")).select("q_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "q_y")
+    short = docs.where(F.coalesce(F.char_length(text_col), F.lit(0)) <= LONGEST)
+    rows = short.join(F.broadcast(few), F.col(id_col) == F.col("q_id")).select("q_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "q_y")
     sample = sorted(set(map(tuple, rows.collect())))
     if len({y for _, _, y in sample}) < 2:
         return None
