@@ -34,6 +34,9 @@ CHUNK, WORDS_HELD = 1024, 1_000_000
 #: Estimates so far below the threshold (over five standard deviations) come from a linked pair with a chance below 1e-7.
 SLACK = 0.12
 
+#: Size of the bitmap of ids whose sets are wanted: 8 MB.
+BITMAP_BITS = 1 << 26
+
 _U = np.uint64
 
 
@@ -149,14 +152,36 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.where(estimate >= threshold - SLACK).select("a", "b")
 
 
+def id_bitmap(nodes: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ``nodes``' ids: BITMAP_BITS / 8 bytes at any number of nodes. More nodes only let more other ids
+    pass."""
+    bit = (_id_bit("rep") + 1).alias("bit")
+    parts = nodes.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in parts.collect():
+        out[(r.at - 1) * 4096 : r.at * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _id_bit(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(BITMAP_BITS))
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full shingle sets of ``nodes`` (rep, k1, k2): node, s (sorted hashes). Other documents' texts are not hashed again."""
+    """Full shingle sets of ``nodes`` (rep, k1, k2): node, s (sorted hashes).
+
+    A bitmap of bounded size tells tasks which texts may be wanted, so that texts stay where they are read; a join of the
+    sets then keeps those of ``nodes``.
+    """
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler = Shingler()
         for batch in batches:
+            bit = np.asarray(batch.column(2))
+            batch = batch.filter(pa.array(((bitmap.value[bit >> 3] >> (bit & 7)) & 1).astype(bool)))
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = shingler.words(text)
@@ -166,9 +191,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str)
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "k1", "k2", "s"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    some = texts.join(nodes.select("rep").distinct(), "rep", "left_semi")
-    sets = some.mapInArrow(run, "node long, k1 long, k2 long, s array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
+    sets = texts.withColumn("bit", _id_bit("rep")).mapInArrow(run, "node long, k1 long, k2 long, s array<long>")
     named = nodes.select(F.col("rep").alias("node"), "k1", "k2")
     return sets.dropDuplicates(["node", "k1", "k2"]).join(named, ["node", "k1", "k2"], "left_semi").select("node", "s")
 
