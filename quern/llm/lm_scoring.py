@@ -33,7 +33,7 @@ FREQUENT_BITS, SEEN, BACKOFF = 17, 2, 0.4
 #: Words above a 1 / HEAVY share of the corpus may form heavy bigrams: fewer than HEAVY of each exist.
 HEAVY = 1024
 #: Occurrences and documents a task gathers before it passes them on; distinct words it remembers.
-GATHERED, DOCS_HELD, WORDS_HELD = 3_000_000, 60_000, 1_000_000
+GATHERED, DOCS_HELD, WORDS_HELD = 1_500_000, 60_000, 500_000
 
 _U = np.uint64
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)

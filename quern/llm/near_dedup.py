@@ -30,7 +30,7 @@ from .components import components
 SHINGLE, BANDS, ROWS, BITS = 5, 44, 8, 2
 HASHES = BANDS * ROWS
 #: Shingles hashed at once, and distinct words whose hash a task remembers.
-CHUNK, WORDS_HELD = 1024, 1_000_000
+CHUNK, WORDS_HELD = 1024, 400_000
 #: Estimates so far below the threshold (over five standard deviations) come from a linked pair with a chance below 1e-7.
 SLACK = 0.12
 

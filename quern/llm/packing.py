@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Low bits of a sequence_id that count a worker's sequences; the worker's number stands above them.
 COUNTER_BITS = 40
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Texts whose new words are encoded together.
 GROUP = 512
 _MARK = re.compile("(?<=[a-z])([.,])(?= )")
