@@ -14,6 +14,10 @@ from quern.llm.common import Scratch
 from quern.llm.queries import tokenizer_path
 
 
+#: Similarity from which the near_dedup stage takes documents for copies; op9 takes 85.
+NEAR_PERCENT = 80
+
+
 def _with_chars(docs: DataFrame, columns: list[str]) -> DataFrame:
     """n_chars follows the text, where the table has it."""
     if "n_chars" in columns:
@@ -32,8 +36,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies."""
-    return near_dedup.drop_near_copies(docs).select(*docs.columns)
+    """The smallest document of each group of near copies, alike in 0.8 or more of their shingles of five words."""
+    return near_dedup.drop_near_copies(docs, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

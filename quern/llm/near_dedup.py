@@ -1,14 +1,14 @@
 """Near-duplicate detection by b-bit MinHash over shingles of five words.
 
-Each distinct word sequence gets 352 minima. Eight of them at a time make a band; texts that share a band are candidates. A
-text's signature keeps two low bits of each minimum, packed into longs; the share of equal fields, counted by bits and
+Each distinct word sequence gets so many minima as the threshold needs (352 at 85 percent, 608 at 80; see ``Plan``). Eight of
+them at a time make a band; texts that share a band are candidates. A text's signature keeps two low bits of each minimum, packed into longs; the share of equal fields, counted by bits and
 corrected for chance agreement, drops unlikely candidates before the full shingle sets are compared exactly. Bands of eight
 keep texts that only share a passage apart: at a similarity of 0.3, one pair in 350 becomes a candidate.
 
 Copies never form pairs: equal word sequences are one class, by its smallest document. In a bucket, each text is first
 compared with the bucket's smallest; what that links is joined into components. In buckets that still hold several
-components, pairs across them are found by the rarest shingles, without loss, and compared. Two texts with a Jaccard of 0.85 miss each other in every band with a
-chance of (1 - 0.85**8)**44, below 1e-6.
+components, pairs across them are found by the rarest shingles, without loss, and compared. Two texts at the threshold miss
+each other in every band with a chance below 1e-6: (1 - 0.85**8)**44 at 85 percent, (1 - 0.80**8)**76 at 80.
 
 Defined results: a text without words (or null) has no shingles and links with nothing, as does a row with a null id,
 whose component is null and which is kept. Rows that repeat a document are alike. Of rows that share an id but not the
@@ -17,7 +17,9 @@ text, each counts by its own text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-SHINGLE, BANDS, ROWS, BITS = 5, 44, 8, 2
-HASHES = BANDS * ROWS
+SHINGLE, ROWS, BITS = 5, 8, 2
+#: Minima that a text has at most, and the chance that a pair at the threshold shares no band.
+MOST_HASHES, MISS = 640, 1e-6
 #: Shingles hashed at once, and distinct words whose hash a task remembers.
 CHUNK, WORDS_HELD = 1024, 400_000
-#: Estimates so far below the threshold (over five standard deviations) come from a linked pair with a chance below 1e-7.
-SLACK = 0.12
+#: Estimates so far below the threshold, or as many standard deviations, come from a linked pair with a chance below 1e-6.
+SLACK, DEVIATIONS = 0.12, 5.3
 
 #: Size of the bitmap of ids whose sets are wanted: 8 MB.
 BITMAP_BITS = 1 << 26
@@ -47,9 +50,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_DRAWS = _mix(np.arange(1, 2 * HASHES + 64, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_FACTORS, _SHIFTS = (_DRAWS[:HASHES] >> _U(32)).astype(np.uint32) | np.uint32(1), (_DRAWS[HASHES : 2 * HASHES] >> _U(32)).astype(np.uint32)
-_PLACES = _DRAWS[2 * HASHES :] | _U(1)
+_DRAWS = _mix(np.arange(1, 3 * MOST_HASHES + 64, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_FACTORS, _SHIFTS = (_DRAWS[:MOST_HASHES] >> _U(32)).astype(np.uint32) | np.uint32(1), (_DRAWS[MOST_HASHES : 2 * MOST_HASHES] >> _U(32)).astype(np.uint32)
+_PLACES = _DRAWS[2 * MOST_HASHES :] | _U(1)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Bands and their rows for a threshold, and how far below it an estimate may lie."""
+
+    percent: int
+    bands: int
+    rows: int
+    slack: float
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+
+def plan(percent: int) -> Plan:
+    """Bands of eight rows, of fewer where a low threshold would take more than MOST_HASHES minima; a threshold that even
+    bands of one row do not hold is refused."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is {percent}, not above 0 and at most 100")
+    t = percent / 100
+    for rows in range(ROWS, 0, -1):
+        # The signature's longs hold 64 // BITS fields each, so that the minima fill whole ones.
+        step = 64 // BITS // math.gcd(rows, 64 // BITS)
+        need = math.log(MISS) / math.log1p(-(t**rows)) if t < 1 else 1
+        bands = step * math.ceil(need / step)
+        if bands * rows <= MOST_HASHES:
+            equal = t + (1 - t) * 2.0**-BITS
+            deviation = math.sqrt(equal * (1 - equal) / (bands * rows)) / (1 - 2.0**-BITS)
+            return Plan(percent, bands, rows, max(SLACK, DEVIATIONS * deviation))
+    raise ValueError(f"no bands of at most {MOST_HASHES} minima find pairs at {percent} percent")
 
 
 class Shingler:
@@ -82,13 +117,13 @@ class Shingler:
         return np.unique(_mix(total))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, hashes: int) -> np.ndarray:
     """The smallest value of each permutation of 32-bit numbers over the upper halves of the hashes."""
     half = (shingles >> _U(32)).astype(np.uint32)
-    out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    out = np.full(hashes, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(half), CHUNK):
-        values = np.multiply.outer(_FACTORS, half[i : i + CHUNK])
-        values += _SHIFTS[:, None]
+        values = np.multiply.outer(_FACTORS[:hashes], half[i : i + CHUNK])
+        values += _SHIFTS[:hashes, None]
         np.minimum(out, values.min(axis=1), out=out)
     return out.astype(_U)
 
@@ -99,15 +134,16 @@ def packed(low: np.ndarray) -> np.ndarray:
     return (fields << (np.arange(64 // BITS, dtype=_U) * _U(BITS))).sum(axis=1, dtype=_U).view(np.int64)
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    rows = _mix(low.reshape(BANDS, ROWS) * _PLACES[:ROWS])
-    return _mix(rows.sum(axis=1, dtype=_U) + _PLACES[ROWS : ROWS + BANDS]).view(np.int64)
+def band_keys(low: np.ndarray, bands: int) -> np.ndarray:
+    rows = low.reshape(bands, -1)
+    n = rows.shape[1]
+    return _mix(_mix(rows * _PLACES[:n]).sum(axis=1, dtype=_U) + _PLACES[n : n + bands]).view(np.int64)
 
 
 SIGNATURE = "doc long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, bands: Plan) -> DataFrame:
     """Per row: doc, n_shingles, k1 and k2 (a hash of the word sequence), sig and bands (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +158,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not len(found):
                     rows.append((doc, 0, None, None, None, None))
                     continue
-                low = minima(found)
+                low = minima(found, bands.hashes)
                 k = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), np.int64)
-                rows.append((doc, len(found), k[0], k[1], packed(low), band_keys(low)))
+                rows.append((doc, len(found), k[0], k[1], packed(low), band_keys(low, bands.bands)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "n_shingles", "k1", "k2", "sig", "bands"])
@@ -132,8 +168,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
 
-def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose signatures leave a similarity of ``threshold`` possible."""
+def likely(pairs: DataFrame, reps: DataFrame, bands: Plan) -> DataFrame:
+    """Pairs (a, b) whose signatures leave a similarity of the plan's threshold possible."""
     sig = reps.select("rep", "sig")
     both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     ones = sum(1 << (BITS * i) for i in range(64 // BITS))
@@ -148,8 +184,8 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
     unequal = F.aggregate(x, F.lit(0), lambda n, v: n + fields(v))
     chance = 2.0**-BITS
-    estimate = ((HASHES - unequal) / HASHES - chance) / (1 - chance)
-    return both.where(estimate >= threshold - SLACK).select("a", "b")
+    estimate = ((bands.hashes - unequal) / bands.hashes - chance) / (1 - chance)
+    return both.where(estimate >= bands.percent / 100 - bands.slack).select("a", "b")
 
 
 def id_bitmap(nodes: DataFrame) -> np.ndarray:
@@ -243,8 +279,8 @@ def crossing_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFram
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id and kept."""
     scratch = Scratch(docs.sparkSession, "near")
-    threshold = percent / 100
-    sigs = scratch.put(signatures(docs, id_col, text_col), "signatures")
+    bands = plan(percent)
+    sigs = scratch.put(signatures(docs, id_col, text_col, bands), "signatures")
     worded = sigs.where("n_shingles > 0 and doc is not null")
     first = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc", "sig", "bands")).alias("m"))
     reps = scratch.put(first.select("k1", "k2", F.col("m.doc").alias("rep"), "m.sig", "m.bands"), "classes")
@@ -254,13 +290,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = scratch.put(reps.select("rep", "k1", "k2").join(buckets.select("rep").distinct(), "rep", "left_semi"), "nodes")
     sets = scratch.put(shingle_sets(docs, nodes, id_col, text_col), "sets")
     star = buckets.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.put(confirmed(likely(star, reps, threshold), sets, percent), "links")
+    links = scratch.put(confirmed(likely(star, reps, bands), sets, percent), "links")
     found = scratch.put(components(links, scratch), "components")
     # What no leader has linked: nodes of buckets that hold several components.
     placed = buckets.join(found, buckets["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
     unsettled = scratch.put(placed.join(split, "band", "left_semi").select(F.col("rep").alias("node"), "comp").distinct(), "unsettled")
-    rest = scratch.put(likely(crossing_pairs(sets, unsettled, percent), reps, threshold), "crossing")
+    rest = scratch.put(likely(crossing_pairs(sets, unsettled, percent), reps, bands), "crossing")
     if not rest.isEmpty():
         more = scratch.put(confirmed(rest, sets, percent), "links")
         found = scratch.put(components(links.unionByName(more), scratch), "components")
@@ -270,7 +306,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """``docs`` with one document of each group of near copies, the smallest id; rows with a null id stay."""
-    gone = near_classes(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("q_gone")).distinct()
+    gone = near_classes(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col(id_col).alias("q_gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("q_gone"), "left_anti")

@@ -3,8 +3,10 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import exact_dedup, line_dedup, near_dedup
 
 DOCS = "doc_id long, text string, n_lines int, q_x string"
@@ -84,7 +86,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {i: shingle_set(t) for i, t in rows if i is not None}
     parent = {i: i for i in sets}
 
@@ -97,7 +99,7 @@ def brute_components(rows):
         for b in sets:
             if a < b and sets[a] and sets[b]:
                 k = len(sets[a] & sets[b])
-                if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+                if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
                     x, y = root(a), root(b)
                     parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in sets}, sets
@@ -126,3 +128,35 @@ def test_near_dedup_matches_brute_force(spark):
     kept = near_dedup.drop_near_copies(docs(spark, rows))
     assert kept.where("doc_id is not null").select("doc_id").distinct().count() == len(set(want.values()))
     assert near_dedup.near_classes(docs(spark, [])).count() == 0
+
+
+def test_the_pipeline_stage_drops_copies_from_a_similarity_of_080(spark):
+    r = random.Random(11)
+    rows = []
+    for g in range(40):
+        text = [f"g{g}w{i}" for i in range(204)]
+        # Each change takes five of 200 shingles: 195/205 = 0.95, 185/215 = 0.86, 180/220 = 0.82, 178/222 = 0.80, 177/223 = 0.79.
+        for changes, extra in ((1, 0), (3, 0), (4, 0), (4, 2), (4, 3)):
+            other = list(text)
+            for i in range(changes):
+                other[10 + 40 * i + r.randrange(5)] = "changed"
+            rows.append((len(rows), " ".join(text)))
+            rows.append((len(rows), " ".join(other[: len(other) - extra] + ["end"] * extra)))
+    want, sets = brute_components(rows, 80)
+    alike = [len(sets[a] & sets[a + 1]) / len(sets[a] | sets[a + 1]) for a in range(0, len(rows), 2)]
+    assert sum(0.8 <= x < 0.85 for x in alike) >= 40 and sum(x < 0.8 for x in alike) >= 40
+    kept = corpus_pipeline.near_dedup_stage(spark, docs(spark, rows), "")
+    assert {x.doc_id for x in kept.collect()} == {i for i, c in want.items() if i == c}
+    assert kept.columns == ["doc_id", "text", "n_lines", "q_x"]
+
+
+@pytest.mark.parametrize("percent", [30, 50, 70, 80, 85, 95, 100])
+def test_bands_hold_their_threshold(percent):
+    p = near_dedup.plan(percent)
+    assert (1 - (percent / 100) ** p.rows) ** p.bands <= 1e-6 and p.hashes <= near_dedup.MOST_HASHES and p.hashes % 32 == 0
+    assert len(near_dedup.band_keys(near_dedup.minima(near_dedup.Shingler().shingles([b"a", b"b"]), p.hashes), p.bands)) == p.bands
+
+
+def test_a_threshold_below_all_bands_is_refused():
+    with pytest.raises(ValueError):
+        near_dedup.plan(1)
