@@ -108,13 +108,17 @@ def pack_samples(samples: DataFrame, limits: Limits, shards: int, order: str = "
 
 
 def cut_packs(packs: DataFrame, limit: int) -> DataFrame:
-    """Packs above the limit in pieces of at most ``limit`` tokens, cut between samples where that fits, else inside one."""
+    """Packs above the limit in pieces of at most ``limit`` tokens, cut between samples where that fits, else inside one.
+
+    ``skipped`` is how many tokens of the sample lie in earlier pieces; its images stay with the first.
+    """
     at = F.col("offset")
     end = at + F.col("tokens")
     piece = F.explode(F.sequence(F.floor(at / limit), F.floor((F.greatest(end, at + 1) - 1) / limit)))
     cut = packs.withColumn("piece", piece)
     start, stop = F.greatest(at, F.col("piece") * limit), F.least(end, (F.col("piece") + 1) * limit)
-    return cut.withColumns({"tokens": (stop - start).cast("int"), "offset": (start - F.col("piece") * limit).cast("int"), "skipped": (start - at).cast("int")})
+    images = F.when(start == at, F.col("images")).otherwise(F.lit(0)).cast("int")
+    return cut.withColumns({"tokens": (stop - start).cast("int"), "images": images, "offset": (start - F.col("piece") * limit).cast("int"), "skipped": (start - at).cast("int")})
 
 
 def split_packed(ids: Column, images_at: Column, limit: int) -> Column:
@@ -157,8 +161,11 @@ def packed_rows(packs: DataFrame, learned: str = "learned", mode: str = "square"
 
 
 def pack_stats(packs: DataFrame, limits: Limits) -> DataFrame:
-    """Samples, packs, and the tokens and images that padding to the limits would add."""
-    each = packs.groupBy("shard", "pack").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("images").alias("m"))
+    """Samples, packs, and the tokens and images that padding to the limits would add. Of ``cut_packs``, each piece is a pack
+    and a sample counts once."""
+    cut = "piece" in packs.columns
+    first = F.col("skipped") == 0 if cut else F.lit(True)
+    each = packs.groupBy("shard", "pack", *(["piece"] if cut else [])).agg(F.count_if(first).alias("n"), F.sum("tokens").alias("t"), F.sum("images").alias("m"))
     return each.agg(F.sum("n").alias("samples"), F.count("*").alias("packs"), F.sum(F.greatest(F.lit(limits.tokens) - F.col("t"), F.lit(0))).alias("padding_tokens"), F.sum(F.greatest(F.lit(limits.images) - F.col("m"), F.lit(0))).alias("padding_images"))
 
 

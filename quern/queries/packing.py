@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 from ..operators import packing
 from .registry import query
 
-_LIMITS = packing.Limits(tokens=4096, images=6, buffers=20, overflow=False)
+_LIMITS = packing.Limits(tokens=4096, images=6, buffers=20, overflow=True)
+#: Documents that a shard packs, about; small tables still have eight shards.
+_SHARD_ROWS = 4096
 
 
 def _samples(t):
-    return t("documents").select(F.col("doc_id").alias("sample"), (F.least(F.col("n_chars") / 4, F.lit(4095)).cast("int") + 1).alias("tokens"), (F.col("doc_id") % 3).cast("int").alias("images"))
+    return t("documents").select(F.col("doc_id").alias("sample"), ((F.col("n_chars") / 4).cast("int") + 1).alias("tokens"), (F.col("doc_id") % 3).cast("int").alias("images"))
+
+
+def _pieces(t):
+    """All tokens of all documents in pieces of at most the limit; long documents go on in the next piece."""
+    shards = max(8, -(-t("documents").count() // _SHARD_ROWS))
+    return packing.cut_packs(packing.pack_samples(_samples(t), _LIMITS, shards), _LIMITS.tokens)
 
 
 @query()
 def pack_sequences(t):
-    return packing.pack_samples(_samples(t), _LIMITS, 8)
+    return _pieces(t)
 
 
 @query()
 def pack_report(t):
-    return packing.pack_stats(packing.pack_samples(_samples(t), _LIMITS, 8), _LIMITS)
+    return packing.pack_stats(_pieces(t), _LIMITS)
 
 
 @query("""WITH p AS (SELECT source AS pack, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, doc_id, (n_chars % 7)::INTEGER AS tokens FROM documents)

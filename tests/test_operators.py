@@ -114,6 +114,34 @@ def test_preference(spark, graded):
     assert [(r.num_correct, r.num_total) for r in preference.step_scores(rolls, ["id"]).orderBy("step").collect()] == [(1, 2), (0, 1), (0, 0)]
 
 
+def test_registered_packing_holds_all_tokens_of_long_documents(spark, tmp_path):
+    from quern.queries import packing as registered
+    from quern.queries.registry import QUERIES
+
+    chars = {i: (i * 37) % 3000 for i in range(300)} | {300: 16_380, 301: 16_384, 302: 100_000, 303: 1_000_001}
+    spark.createDataFrame(list(chars.items()), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["pack_sequences"](spark, str(tmp_path)).collect()
+    tokens, images, pieces = {}, {}, {}
+    for x in out:
+        tokens[x.sample] = tokens.get(x.sample, 0) + x.tokens
+        images[x.sample] = images.get(x.sample, 0) + x.images
+        pieces.setdefault((x.shard, x.pack, x.piece), []).append((x.offset, x.tokens, x.images))
+    assert tokens == {i: n // 4 + 1 for i, n in chars.items()} and images == {i: i % 3 for i in chars}
+    for spans in pieces.values():
+        ends = [0]
+        for offset, n, _ in sorted(spans):
+            assert offset == ends[-1] and n > 0
+            ends.append(offset + n)
+        assert ends[-1] <= 4096 and sum(m for _, _, m in spans) <= 6
+    report = QUERIES["pack_report"](spark, str(tmp_path)).first()
+    assert (report.samples, report.packs) == (len(chars), len(pieces))
+    assert report.padding_tokens == 4096 * len(pieces) - sum(tokens.values())
+    assert report.padding_images == 6 * len(pieces) - sum(images.values())
+    rows = 9 * registered._SHARD_ROWS
+    spark.range(rows).selectExpr("id AS doc_id", "id % 900 AS n_chars").write.parquet(f"{tmp_path}/more/documents.parquet")
+    assert QUERIES["pack_sequences"](spark, f"{tmp_path}/more").select("shard").distinct().count() == 9
+
+
 def test_packing_bounds_and_rows(spark):
     lengths = [5, 4, 3, 2] * 20
     rows = spark.createDataFrame([(i, n, 1) for i, n in enumerate(lengths)], "sample long, tokens int, images int")
