@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +99,72 @@ def most_frequent(table: DataFrame, count: str, most: int) -> DataFrame:
             break
         taken, least = taken + n, s
     return table.where(F.lit(False)) if least is None else table.where((F.col(count) > 0) & (step >= least))
+
+
+#: Rows of an Arrow batch that a task turns into Python objects at once.
+SLICE_ROWS = 512
+#: Rows that a table may have to be broadcast; beyond it, a join shuffles.
+BROADCAST_ROWS = 100_000
+#: A key with more than one in so many rows is hot; fewer than HOT keys can be.
+HOT = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return memory that Python, Arrow and the C library hold free, so that a reused worker starts the next task small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` (for mapInArrow), with its memory given back at the end of the task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+class Memo(dict):
+    """Values of a function by key, computed when first asked for; ``bound`` keeps it small between uses."""
+
+    def __init__(self, function: Callable, most: int):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key):
+        value = self[key] = self.function(key)
+        return value
+
+    def bound(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+
+def broadcast_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` (written, with short rows), marked for broadcast if it has ``rows`` rows at most."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join with groups: ``right`` has a row per key and its number of rows in ``size``, ``total`` is their sum.
+
+    Hot groups (fewer than HOT) are broadcast, so that their rows stay where they are; all others meet in a shuffle.
+    """
+    hot, cold = right.where(F.col(size) * HOT > total), right.where(F.col(size) * HOT <= total)
+    apart = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return left.join(F.broadcast(hot), keys).unionByName(apart)

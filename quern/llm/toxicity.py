@@ -3,13 +3,15 @@
 A word enters as the sum of two inputs: a learned vector of the whole word and the mean of learned vectors of its
 character four-grams, both by hash. Over a window of words, one recurrent pass runs forward and one backward; attention
 weighs their states, and the pooled state gives the window's score. Windows overlap and cover the whole text; a document
-scores as its highest window. Training sees a bounded sample of labelled documents (``PER_CLASS`` of each label, whole
-texts) and learns from the highest-scoring windows of each.
+scores as its highest window. Training sees a bounded sample of labelled documents of any length, ``PER_CLASS`` of each
+label, and learns from the highest-scoring windows of each. Of a document with more than ``WINDOWS`` windows it sees so
+many: executors score all of its windows with a network fitted on the others, and pass on the highest.
 
 Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0. Language, source, id and label are no inputs.
 
 Defined results: a text without words (or null) scores as one empty window. If the sample lacks a label, all scores are 0.
-Labels that are null or neither 0 nor 1 are left out. Rows that repeat a document score alike.
+Labels that are null or neither 0 nor 1 are left out. Rows that repeat a document score alike. A column of the input that
+has the name of the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,16 +22,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .common import fresh, slices, tidy
 
 #: Labelled documents of each class that training may see.
 PER_CLASS = 1500
-#: Longer documents are scored like any other but left out of training, so that the sample's size is bounded.
-LONGEST = 100_000
+#: Windows of one document, and bytes of one window, that training may see.
+WINDOWS, WINDOW_BYTES = 64, 4096
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
-#: Distinct words whose projected inputs a task holds.
-HELD = 150_000
+#: Distinct words whose projected inputs a task holds: 25 MB.
+HELD = 100_000
+#: Size of a step where training goes on with the highest windows of long documents, and passes over them.
+LATER_RATE, LATER_EPOCHS = 0.003, 3
 #: Passes over the sample (more where that makes fewer steps), windows a step, step size, share of word vectors left out.
 EPOCHS, STEPS, BATCH, RATE, LEFT_OUT = 9, 600, 48, 0.01, 0.3
 _TRIM = b".,;:!?\"'()[]{}<>-*_"
@@ -166,26 +173,23 @@ class Network:
         dx = np.concatenate([self._back_pass("f", ds[..., :h], k["f"], mask, g), self._back_pass("b", ds[..., h:], k["b"], mask, g)], axis=2)
         return g, dx
 
-    def fit(self, texts: list[str], labels: list[int], seed: int = 7) -> Network:
-        docs = [tokens(t) for t in texts]
-        vocabulary = list(dict.fromkeys(w for d in docs for w in d)) or [b"?"]
+    def fit(self, docs: list[list[list[bytes]]], labels: list[int], seed: int = 7, later: bool = False) -> Network:
+        """Train on documents, each a list of windows of words. ``later``: go on from what was learned before."""
+        vocabulary = list(dict.fromkeys(w for d in docs for part in d for w in part)) or [b"?"]
         place = {w: i + 1 for i, w in enumerate(vocabulary)}
         rows, grams, starts = word_keys(vocabulary)
         bounds = np.append(starts, len(grams))
-        windows, owner = [], []
-        for i, d in enumerate(docs):
-            ids = [place[w] for w in d]
-            for s in window_starts(len(ids)):
-                part = ids[s : s + WINDOW]
-                windows.append(part + [0] * (WINDOW - len(part)))
-                owner.append(i)
-        windows, owner, y = np.array(windows), np.array(owner), np.array(labels, np.float32)
+        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        windows = np.zeros((len(owner), WINDOW), np.int32)
+        for at, part in enumerate(part for d in docs for part in d):
+            windows[at, : len(part)] = [place[w] for w in part]
+        y = np.array(labels, np.float32)
         first = np.searchsorted(owner, np.arange(len(docs) + 1))
         r, moments, step = np.random.default_rng(seed), {}, 0
-        weight = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1).astype(np.float32) / np.float32(2)
-        epochs = max(EPOCHS, round(STEPS * BATCH / (2 * len(docs))))
+        weight = np.where(y == 1, (y == 0).sum() / max(1, (y == 1).sum()), 1).astype(np.float32) / np.float32(2)
+        epochs = LATER_EPOCHS if later else max(EPOCHS, round(STEPS * BATCH / (2 * len(docs))))
         for epoch in range(epochs):
-            if epoch < epochs / 4:
+            if epoch < epochs / 4 and not later:
                 picks = np.concatenate([r.integers(a, b, 2) for a, b in zip(first[:-1], first[1:], strict=True)])
             else:
                 logit = self._logits(vocabulary, windows)
@@ -197,14 +201,14 @@ class Network:
             for at in range(0, len(picks), BATCH):
                 step += 1
                 some = picks[at : at + BATCH]
-                self._step(windows[some], y[owner[some]], weight[owner[some]], rows, grams, bounds, moments, step, r)
+                self._step(windows[some], y[owner[some]], weight[owner[some]], rows, grams, bounds, moments, step, r, LATER_RATE if later else RATE)
         return self
 
     def _logits(self, vocabulary: list[bytes], windows: np.ndarray) -> np.ndarray:
         table = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), self.project(self.features(vocabulary))])
         return np.concatenate([self.forward(table[w], w > 0) for w in np.array_split(windows, max(1, len(windows) // 2048))])
 
-    def _step(self, windows: np.ndarray, y: np.ndarray, weight: np.ndarray, rows: np.ndarray, grams: np.ndarray, bounds: np.ndarray, moments: dict, step: int, r: np.random.Generator) -> None:
+    def _step(self, windows: np.ndarray, y: np.ndarray, weight: np.ndarray, rows: np.ndarray, grams: np.ndarray, bounds: np.ndarray, moments: dict, step: int, r: np.random.Generator, rate: float) -> None:
         words, at = np.unique(windows, return_inverse=True)
         at, real = at.reshape(windows.shape), words[words > 0] - 1
         pad = len(words) - len(real)
@@ -230,7 +234,7 @@ class Network:
             m, v = moments.setdefault(name, [np.zeros_like(self.p[name]), np.zeros_like(self.p[name])])
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
-            self.p[name] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+            self.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
 
 
 class Scorer:
@@ -297,6 +301,47 @@ class Scorer:
         flush()
         return _sigmoid(best)
 
+    def window_scores(self, words: list[bytes]) -> np.ndarray:
+        """The logit of each window of a text, in order."""
+        starts, out = window_starts(len(words)), []
+        for at in range(0, len(starts), 1024):
+            part = [words[s : s + WINDOW] for s in starts[at : at + 1024]]
+            if self.size + sum(map(len, part)) > HELD:
+                self._clear()
+            windows = np.zeros((len(part), WINDOW), np.int64)
+            for i, x in enumerate(part):
+                windows[i, : len(x)] = self._ids(x)
+            out.append(self.network.forward(self.table[windows], windows > 0))
+        return np.concatenate(out)
+
+
+def sample_windows(docs: DataFrame, id_col: str, text_col: str, network: Network | None = None, most: int = WINDOWS) -> dict[int, tuple[int, list[list[bytes]], bool]]:
+    """Windows of the documents of ``docs`` (a bounded sample with a label in q_y), by document and text: label, windows, and
+    whether these are all. At most ``most`` of a document: those that ``network`` scores highest, or evenly spaced ones."""
+    held = docs.sparkSession.sparkContext.broadcast(network)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value) if held.value is not None else None
+        for batch in slices(batches, 32):
+            rows = []
+            for doc, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = tokens(text)
+                starts = np.array(window_starts(len(words)))
+                if len(starts) > most:
+                    picked = np.linspace(0, len(starts) - 1, most).astype(int) if scorer is None else np.sort(np.argsort(-scorer.window_scores(words), kind="stable")[:most])
+                else:
+                    picked = range(len(starts))
+                parts = [b" ".join(words[s : s + WINDOW]) for s in starts[picked].tolist()]
+                rows.append((doc, y, [x for x in parts if len(x) <= WINDOW_BYTES], len(starts) <= most))
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["q_id", "q_y", "windows", "whole"])
+
+    typed = docs.select(F.col(id_col).cast("long"), "q_y", F.coalesce(F.col(text_col), F.lit("")))
+    found = typed.mapInArrow(run, "q_id long, q_y int, windows array<binary>, whole boolean").collect()
+    texts = sorted({(r.q_id, r.q_y, tuple(map(bytes, r.windows)), r.whole) for r in found if r.windows})
+    return {i: (y, [w.split() for w in windows], whole) for i, (_, y, windows, whole) in enumerate(texts)}
+
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Network | None:
     """A network fitted on at most ``per_class`` documents of each label, those with the smallest hash of their id."""
@@ -307,32 +352,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len({y for _, y in ids}) < 2:
         return None
     few = docs.sparkSession.createDataFrame(ids, "q_id long, q_y int")
-    short = docs.where(F.coalesce(F.char_length(text_col), F.lit(0)) <= LONGEST)
-    rows = short.join(F.broadcast(few), F.col(id_col) == F.col("q_id")).select("q_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "q_y")
-    sample = sorted(set(map(tuple, rows.collect())))
-    if len({y for _, _, y in sample}) < 2:
+    sample = docs.select(id_col, text_col).join(F.broadcast(few), F.col(id_col) == F.col("q_id"))
+    windows = sample_windows(sample, id_col, text_col)
+    # Evenly spaced windows may miss what a document is labelled toxic for, so long ones wait for a network if they can.
+    whole = [v for v in windows.values() if v[2]]
+    begin = whole if {y for y, *_ in whole} == {0, 1} else list(windows.values())
+    if {y for y, *_ in begin} != {0, 1}:
         return None
-    return Network().fit([t for _, t, _ in sample], [y for _, _, y in sample])
-
-
-def score(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with a score column (q_score)."""
+    network = Network().fit([w for _, w, _ in begin], [y for y, *_ in begin])
+    if len(whole) < len(windows):
+        mined = sample_windows(sample, id_col, text_col, network).values()
+        network.fit([w for _, w, _ in mined], [y for y, *_ in mined], later=True)
+    return network
+
+
+def score(docs: DataFrame, network: Network | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with the column ``score_col``."""
+    kept = [c for c in docs.columns if c.lower() != score_col.lower() or c == text_col]
+    if score_col.lower() == text_col.lower():
+        raise ValueError("the score cannot take the text's column")
+    docs = docs.select(*kept)
     if network is None:
-        return docs.withColumn("q_score", F.lit(0.0))
-    held = docs.sparkSession.sparkContext.broadcast(network)
+        return docs.withColumn(score_col, F.lit(0.0))
+    held, at = docs.sparkSession.sparkContext.broadcast(network), docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+        for batch in slices(batches):
             found = scorer.scores(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "q_score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("q_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that score 0.5 or more."""
-    return score(docs, train(docs, labels, id_col, text_col), text_col).where("q_score < 0.5").drop("q_score")
+    name = fresh(docs) + "score"
+    return score(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) < 0.5).drop(name)

@@ -75,13 +75,64 @@ def test_classifier_learns_and_never_sees_held_out_labels(spark):
     labels = spark.createDataFrame([(i, y if zlib.crc32(str(i).encode()) % 5 else 1 - y) for i, _, y in rows] + [(None, 1), (7, None), (8, 5)], "doc_id long, toxic int")
     net = toxicity.train(table, labels)
     scored = toxicity.score(table.withColumn("held", toxicity.held_out(F.col("doc_id"))), net).collect()
-    held = [(x.q_score >= 0.5) == (x.doc_id % 3 == 0) for x in scored if x.held]
+    held = [(x.score >= 0.5) == (x.doc_id % 3 == 0) for x in scored if x.held]
     assert len(held) == sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(500)) and np.mean(held) > 0.9
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 10_000), (4, "vileak " * 3000), (None, "a")], "doc_id long, text string")
-    got = {x.doc_id: x.q_score for x in toxicity.score(odd, net).collect()}
+    got = {x.doc_id: x.score for x in toxicity.score(odd, net).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and got[1] == got[2] and got[4] > 0.5
     assert toxicity.train(table, labels.limit(0)) is None
-    assert toxicity.score(odd, None).agg(F.sum("q_score")).first()[0] == 0
+    clash = odd.select("doc_id", "text", F.lit("kept").alias("q_score"), F.lit("gone").alias("score"))
+    assert toxicity.score(clash, net).columns == ["doc_id", "text", "q_score", "score"]
+    assert toxicity.drop_toxic(clash, labels).columns == clash.columns
+    assert toxicity.score(odd.limit(0), net).count() == 0 and toxicity.train(odd.limit(0), labels) is None
+    assert toxicity.score(odd, None).agg(F.sum("score")).first()[0] == 0
+
+
+def test_long_documents_train_too(spark):
+    """Texts above 150,000 characters, of one label only, and toxic in one place."""
+    r = np.random.default_rng(6)
+    words = [f"wo{a}rd{b}" for a in "abcdefg" for b in "klmnopq"]
+    long = lambda i: " ".join(r.choice(words, 25_000)) if i else None
+    rows = [(i, " ".join(r.choice(words, 40)), 0) for i in range(1, 200, 2)]
+    for i in range(0, 40, 2):
+        text = long(1).split()
+        text[int(r.integers(0, 25_000))] = "vile"
+        rows.append((i, " ".join(text), 1))
+    assert max(len(t) for _, t, _ in rows) > 150_000
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    windows = toxicity.sample_windows(table.withColumn("q_y", F.lit(1)), "doc_id", "text")
+    assert sum(not whole for _, _, whole in windows.values()) == 20 and max(len(w) for _, w, _ in windows.values()) == toxicity.WINDOWS
+    assert toxicity.train(table, labels) is not None
+
+
+def plain_score(net, text):
+    """One window after the other, one word after the other, with the formulas of the network written out."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    words, best, h = toxicity.tokens(text), -np.inf, toxicity.HIDDEN
+    for start in toxicity.window_starts(len(words)):
+        part = words[start : start + toxicity.WINDOW]
+        x = net.project(net.features(part)).astype(float) if part else np.zeros((0, 6 * h))
+        sides = []
+        for way, cols in (("f", x[:, : 3 * h]), ("b", x[::-1, 3 * h :])):
+            state, states, u = np.zeros(h), [], net.p[f"U{way}"].astype(float)
+            for xi in cols:
+                z, k = sig(xi[:h] + state @ u[:, :h]), sig(xi[h : 2 * h] + state @ u[:, h : 2 * h])
+                state = (1 - z) * state + z * np.tanh(xi[2 * h :] + (k * state) @ u[:, 2 * h :])
+                states.append(state)
+            sides.append(states if way == "f" else states[::-1])
+        s = np.array([np.concatenate(p) for p in zip(*sides, strict=True)]) if part else np.zeros((1, 2 * h))
+        e = np.exp(np.tanh(s @ net.p["A"]) @ net.p["v"])
+        best = max(best, float((e / e.sum()) @ s @ net.p["o"] + net.p["o0"][0]))
+    return sig(best)
+
+
+def test_scores_match_a_plain_scorer():
+    net, r = toxicity.Network(seed=3), np.random.default_rng(9)
+    words = [f"{a}{b}o" for a in "abcdefgh" for b in "mnpqrs"]
+    texts = ["", None, "one", " ".join(r.choice(words, 31)), " ".join(r.choice(words, 32)), " ".join(r.choice(words, 33)), " ".join(r.choice(words, 700)), "Ünï, CODE! x"]
+    got = toxicity.Scorer(net).scores(texts)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-5)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
