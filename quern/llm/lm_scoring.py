@@ -1,39 +1,42 @@
-"""Stupid-backoff scores of whole documents from bigram and unigram counts of the whole corpus.
-
-A word scores c(before, word) / c(before) where the corpus holds the bigram at least ``SEEN`` times, else 0.4 * c(word) / N;
-a document's first word scores c(word) / N. The document's score is the sum of the logarithms, kept in whole millionths so
-that sums do not depend on their order.
-
-Counting and scoring are relational: bigram occurrences are exploded per document, partitioned by hash, counted where they
-meet, and each partition sends back one sum per document. Occurrences travel as packed arrays, a row per batch and
-partition. Unigram counts come from a table partitioned by hash; the most frequent words (a bounded number) have theirs in
-every task, and the counts of rarer ones are found in the partition of the word, or by a join. Bigrams that a single
-partition should not hold (a bounded number, since each has its share of the corpus) are counted before and scored where
-they occur, so no partition depends on one of them.
-
-Words are runs of characters outside [\\x20\\x09-\\x0D], A-Z in lower case, told apart by a 64-bit hash. Defined results:
-null and empty texts have no words and score 0. Rows that repeat a document each count and each get a row.
+"""Stupid-backoff scores of whole documents from bigram and unigram counts of a whole corpus.
+
+A word scores c(before, word) / c(before) where the corpus holds the bigram, else 0.4 * c(word) / N; a document's first word
+scores c(word) / N, and c(word) counts as one where the corpus lacks the word. The document's score is the sum of the
+logarithms, kept in whole millionths so that sums do not depend on their order.
+
+The work is relational. A document is exploded into its distinct n-grams, each with how often it occurs and with a weight:
+the logarithm of its count enters the document's score so many times. A bigram weighs as often as it occurs; a word weighs
+minus one for each time it comes before another, and one as a first word. The exploded n-grams are dealt by hash, once. In
+its hash partition, each n-gram's occurrences are summed over the corpus and joined to its rows by a window, which is a
+count table and its join in one shuffle; the products are then summed by document. Words of a bounded table of frequent
+ones have their counts in every task and never travel. Neither do heavy bigrams, which would send a large share of all
+documents to one partition: those above a 1 / HEAVY share of a task's bigrams, summed over tasks, include every bigram
+above 2 / HEAVY of the corpus, and fewer than HEAVY pass the same share of the corpus. They are counted before.
+
+Scored by its own corpus, a document holds no bigram that the corpus lacks, and nothing backs off. By another corpus it
+may: its n-grams are joined to that corpus's count table, and what the join does not find is scored by its word's count.
+
+Words are runs of characters outside [\\x20\\x09-\\x0D], A-Z in lower case. N-grams are told apart by a 64-bit hash. Defined
+results: null and empty texts have no words and score 0. Rows that repeat a document each count and each get a row.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, most_frequent, partitions
+from .common import HOT, Memo, Scratch, most_frequent, partitions, slices, tidy
 
-#: Bits of the table of frequent words, and how often a bigram must occur to be used.
-FREQUENT_BITS, SEEN, BACKOFF = 17, 2, 0.4
-#: Words above a 1 / HEAVY share of the corpus may form heavy bigrams: fewer than HEAVY of each exist.
-HEAVY = 1024
-#: Occurrences and documents a task gathers before it passes them on; distinct words it remembers.
-GATHERED, DOCS_HELD, WORDS_HELD = 1_500_000, 60_000, 500_000
+#: Bits of the table of frequent words, and the backoff factor.
+FREQUENT_BITS, BACKOFF = 17, 0.4
+#: Bigrams above a 1 / HEAVY share of the corpus are counted apart; fewer than HEAVY can be.
+HEAVY = HOT
+#: Words and rows a task gathers before it passes them on; distinct words it remembers.
+GATHERED, ROWS_SENT, WORDS_HELD = 500_000, 100_000, 150_000
 
 _U = np.uint64
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -54,313 +57,220 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class Hasher:
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+def word_hashes() -> Memo:
+    import xxhash
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+    return Memo(xxhash.xxh64_intdigest, WORDS_HELD)
 
-        known = self.known
-        if len(known) > WORDS_HELD:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), _U, len(words))
+
+def bigram_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(_mix(before) * _P + word * _Q)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Hash and count of every word of the corpus: h, n."""
+    """Counts of the corpus: h, n and heavy. Rows with heavy false count words; the others count, in part, bigrams that are
+    frequent in a task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        held: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            h = np.fromiter((xxhash.xxh64_intdigest(w) for w in held), _U, len(held)).view(np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(held.values()), pa.int64())], ["h", "n"])
-            held.clear()
-            return out
-
-        for batch in batches:
+        hashes = word_hashes()
+
+        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+            h = np.concatenate(held)
+            ends = np.cumsum([len(x) for x in held])[:-1]
+            word, place, n = np.unique(h, return_inverse=True, return_counts=True)
+            # A bigram can be heavy only if both of its words are.
+            often = (n * HEAVY > len(h))[place]
+            both = often[:-1] & often[1:]
+            both[ends[ends > 0] - 1] = False
+            g, m = np.unique(bigram_keys(h[:-1][both], h[1:][both]), return_counts=True)
+            g, m = g[m * HEAVY > len(h)], m[m * HEAVY > len(h)]
+            columns = [np.concatenate([word, g]).view(np.int64), np.concatenate([n, m]), np.arange(len(word) + len(g)) >= len(word)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "n", "heavy"])
+
+        held, size = [], 0
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > WORDS_HELD:
-                    yield flush()
+                if words := words_of(text):
+                    held.append(np.fromiter(map(hashes.__getitem__, words), _U, len(words)))
+                    size += len(words)
+                if size >= GATHERED:
+                    yield counted(held)
+                    held, size = [], 0
+            hashes.bound()
         if held:
-            yield flush()
+            yield counted(held)
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h long, n long, heavy boolean")
+    return found.groupBy("h", "heavy").agg(F.sum("n").alias("n"))
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
+class Model:
+    """What every task knows of the corpus: its size, and counts of frequent words and heavy bigrams; bounded at any size."""
 
-class Frequent:
-    """The most frequent words: sorted hashes, their counts, and which of them may form heavy bigrams."""
+    def __init__(self, words: list, heavy: list, total: int):
+        self.total = max(1, total)
+        self.h, self.n = self._sorted(words)
+        self.heavy, self.heavy_n = self._sorted(heavy)
 
-    def __init__(self, rows: list, total: int):
+    @staticmethod
+    def _sorted(rows: list) -> tuple[np.ndarray, np.ndarray]:
         h, n = np.array([r.h for r in rows], np.int64).view(_U), np.array([r.n for r in rows], np.int64)
         order = np.argsort(h)
-        self.h, self.n, self.total = h[order], n[order], total
-        heavy = np.flatnonzero(self.n * HEAVY > total)
-        self.heavy = np.full(len(self.h) + 1, -1, np.int32)  # the last place stands for rarer words
-        self.heavy[heavy] = np.arange(len(heavy))
-
-    def places(self, h: np.ndarray) -> np.ndarray:
-        """Place of each word in the table, -1 for rarer words."""
-        if not len(self.h):
-            return np.full(len(h), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1).astype(np.int32)
-        return np.where(self.h[at] == h, at, np.int32(-1))
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], frequent: Frequent, first_row: int) -> Iterator[tuple]:
-    """Texts in groups: row numbers, ids, words per document, word hashes, places, and each word's document in the group."""
-    hasher, ids, sizes, hashes, count, row = Hasher(), [], [], [], 0, first_row
-
-    def group() -> tuple:
-        n, h = np.array(sizes, np.int64), np.concatenate(hashes) if hashes else np.empty(0, _U)
-        return row, list(ids), n, h, frequent.places(h), np.repeat(np.arange(len(n), dtype=np.int64), n)
-
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            for at in range(0, len(words), GATHERED) if words else ():
-                hashes.append(hasher(words[at : at + GATHERED]))
-            ids.append(doc)
-            sizes.append(len(words))
-            count += len(words)
-            if count >= GATHERED or len(ids) >= DOCS_HELD:
-                yield group()
-                row += len(ids)
-                ids, sizes, hashes, count = [], [], [], 0
-    if ids:
-        yield group()
-
-
-def heavy_bigrams(docs: DataFrame, frequent: Frequent, text_col: str) -> dict[tuple[int, int], int]:
-    """Bigrams above a 1 / HEAVY share of the corpus, by places in the table, with their counts: fewer than HEAVY."""
-    m = int(frequent.heavy.max()) + 1 if len(frequent.heavy) else 0
-    if not m:
-        return {}
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+        return h[order], n[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(m * m, np.int64)
-        for _, _, _, _, place, owner in _gathered(batches, held.value, 0):
-            heavy = held.value.heavy[place].astype(np.int64)
-            a, b = heavy[:-1], heavy[1:]
-            counts += np.bincount((a * m + b)[(a >= 0) & (b >= 0) & (owner[:-1] == owner[1:])], minlength=m * m)
-        code = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(counts[code])], ["code", "n"])
 
-    counted = docs.select(F.lit(0).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    place = np.flatnonzero(frequent.heavy >= 0)
-    return {(int(place[r.code // m]), int(place[r.code % m])): r.n for r in counted.where((F.col("n") * HEAVY > frequent.total) & (F.col("n") >= SEEN)).collect()}
+def places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted table, -1 where it is none of it."""
+    if not len(table):
+        return np.full(len(h), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return np.where(table[at] == h, at, -1)
 
 
-#: Kinds of occurrences by the words' places: both frequent, before only, word only, neither; a document's first word is
-#: of the second or (if frequent, scored at once) of no kind.
-FF, FR, RF, RR = range(4)
-START = -2
+def model_of(corpus: DataFrame, words: DataFrame, text_col: str, frequent_bits: int = FREQUENT_BITS) -> Model:
+    """``words`` is the written table of ``word_counts``."""
+    singles = words.where(~F.col("heavy"))
+    total = singles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    top = most_frequent(singles, "n", 1 << min(frequent_bits, FREQUENT_BITS)).collect()
+    # Every bigram occurrence counts once at most here, so fewer than HEAVY pass.
+    heavy = words.where(F.col("heavy") & (F.col("n") * HEAVY > total)).select("h").collect()
+    return Model(top, heavy_counts(corpus, text_col, [r.h for r in heavy]) if heavy else [], total)
 
 
-def occurrences(docs: DataFrame, frequent: Frequent, heavy: dict[tuple[int, int], int], parts: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two sorts, each for a group of documents whose numbers begin at row: their ids, words and scores so far; and
-    packed occurrences of one kind and partition."""
-    sc = docs.sparkSession.sparkContext
-    held, pairs = sc.broadcast(frequent), sc.broadcast(heavy)
+def heavy_counts(corpus: DataFrame, text_col: str, heavy: list[int]) -> list:
+    """Rows h, n of the given bigrams (fewer than HEAVY), counted over the whole corpus."""
+    keys = np.sort(np.array(heavy, np.int64).view(_U))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        hashes, n = word_hashes(), np.zeros(len(keys), np.int64)
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                h = np.fromiter(map(hashes.__getitem__, words), _U, len(words))
+                at = places(keys, bigram_keys(h[:-1], h[1:]))
+                n += np.bincount(at[at >= 0], minlength=len(keys))
+            hashes.bound()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
 
-        f = held.value
-        log_n, log_total = micro(f.n), int(micro(max(1, f.total)))
-        codes = np.array(sorted((a << FREQUENT_BITS) | b for a, b in pairs.value), np.int64)
-        code_n = np.array([pairs.value[(int(c) >> FREQUENT_BITS, int(c) & ((1 << FREQUENT_BITS) - 1))] for c in codes], np.int64)
-        for row, ids, n, h, place, owner in _gathered(batches, f, TaskContext.get().partitionId() << 36):
-            score = np.zeros(len(n), np.int64)
-            first = np.ones(len(h), bool)
-            first[1:] = owner[1:] != owner[:-1]
-            at_once = first & (place >= 0)
-            np.add.at(score, owner[at_once], log_n[place[at_once]] - log_total)
-            before_place, before_h = np.roll(place, 1), np.roll(h, 1)
-            before_place[first] = START
-            frames = []
-
-            def send(kind: int, at: np.ndarray, part: np.ndarray, *columns: np.ndarray, owner=owner, row=row, frames=frames) -> None:
-                order = np.argsort(part, kind="stable")
-                part, doc = part[order], owner[at][order].astype(np.uint16)
-                columns = [c[order] for c in columns]
-                cuts = np.flatnonzero(np.diff(part)) + 1
-                for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True) if len(part) else ():
-                    frames.append((int(part[a]), row, None, None, None, kind, b - a, b"".join([doc[a:b].tobytes(), *(c[a:b].tobytes() for c in columns)])))
-
-            both = np.flatnonzero((before_place >= 0) & (place >= 0))
-            code = (before_place[both].astype(np.int64) << FREQUENT_BITS) | place[both]
-            if len(codes):
-                near = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                is_heavy = codes[near] == code
-                found = both[is_heavy]
-                np.add.at(score, owner[found], micro(code_n[near[is_heavy]]) - log_n[before_place[found]])
-                both, code = both[~is_heavy], code[~is_heavy]
-            part_of = lambda x: (_mix(x.view(_U)) % _U(parts)).astype(np.int64)
-            send(FF, both, part_of(code), (code & 0xFFFFFFFF).astype(np.uint32), (code >> 32).astype(np.uint8))
-            at = np.flatnonzero((before_place != -1) & (place < 0))
-            send(FR, at, part_of(h[at]), before_place[at], h[at])
-            at = np.flatnonzero((before_place == -1) & (place >= 0))
-            send(RF, at, part_of(before_h[at] + place[at].astype(_U) * _P), before_h[at], place[at])
-            at = np.flatnonzero((before_place == -1) & (place < 0))
-            send(RR, at, part_of(h[at]), before_h[at], h[at])
-            frames.append((row % parts, row, ids, n, score, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*frames, strict=True), KINDS, strict=True)], NAMES)
+    return corpus.select(F.col(text_col).cast("string")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
 
-    typed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return typed.mapInArrow(run, "part int, row long, doc array<long>, n array<long>, score array<long>, kind int, size int, data binary")
-
-
-NAMES = ["part", "row", "doc", "n", "score", "kind", "size", "data"]
-KINDS = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.int32(), pa.int32(), pa.binary()]
-_LAYOUT = {FF: (np.uint32, np.uint8), FR: (np.int32, _U), RF: (_U, np.int32), RR: (_U, _U)}
-
-
-def _unpack(blobs: list[tuple]) -> dict[int, list[np.ndarray]]:
-    """Per kind: documents' rows, then the two columns. Rows number the groups' documents as they come: groups << 16."""
-    out: dict[int, list[list]] = {}
-    places: dict[int, int] = {}
-    for row, kind, size, data in blobs:
-        group = places.setdefault(row, len(places))
-        at, columns = 2 * size, [(group << 16) + np.frombuffer(data, np.uint16, size).astype(np.int64)]
-        for t in _LAYOUT[kind]:
-            columns.append(np.frombuffer(data, t, size, at))
-            at += size * np.dtype(t).itemsize
-        out.setdefault(kind, []).append(columns)
-    return {k: [np.concatenate(c) for c in zip(*v, strict=True)] for k, v in out.items()}
-
-
-def _times(key: np.ndarray) -> np.ndarray:
-    """How often each element's value occurs."""
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    return n[back]
-
-
-def _scored(blobs: list[tuple], f: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A partition's rows and sums, and the (row, word) of which the logarithm of the count is still to be taken off."""
-    log_n, log_total, back = micro(f.n), int(micro(max(1, f.total))), int(micro(BACKOFF))
-    kinds = _unpack(blobs)
-    empty = [np.empty(0, np.int64), np.empty(0, _U), np.empty(0, _U)]
-    rows, sums, open_rows, open_words = [], [], [], []
-    if FF in kinds:
-        row, low, high = kinds[FF]
-        code = low.astype(np.int64) | (high.astype(np.int64) << 32)
-        n = _times(code)
-        rows.append(row)
-        sums.append(np.where(n >= SEEN, micro(n) - log_n[code >> FREQUENT_BITS], back + log_n[code & ((1 << FREQUENT_BITS) - 1)] - log_total))
-    if RF in kinds:
-        row, before, place = kinds[RF]
-        n = _times(_mix(before) + place.astype(_U) * _P)
-        seen = n >= SEEN
-        rows.append(row)
-        sums.append(np.where(seen, micro(n), back + log_n[place] - log_total))
-        open_rows.append(row[seen])
-        open_words.append(before[seen])
-    if FR in kinds or RR in kinds:
-        (r1, place, w1), (r2, before, w2) = kinds.get(FR, empty), kinds.get(RR, empty)
-        place = place.astype(np.int64)
-        word_n = micro(_times(np.concatenate([w1, w2])))
-        n1, n2 = _times(_mix(place.view(_U) * _Q) + w1), _times(_mix(before) + w2 * _P)
-        known = (n1 >= SEEN) & (place >= 0)
-        start = place == START
-        rows += [r1, r2]
-        sums.append(np.where(known, micro(n1) - log_n[np.maximum(place, 0)] if len(log_n) else 0, np.where(start, 0, back) + word_n[: len(r1)] - log_total))
-        seen = n2 >= SEEN
-        sums.append(np.where(seen, micro(n2), back + word_n[len(r1) :] - log_total))
-        open_rows.append(r2[seen])
-        open_words.append(before[seen])
-    row, at = np.unique(np.concatenate(rows), return_inverse=True) if rows else (np.empty(0, np.int64), np.empty(0, int))
-    total = np.zeros(len(row), np.int64)
-    np.add.at(total, at, np.concatenate(sums) if sums else np.empty(0, np.int64))
-    join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return row, total, join(open_rows, np.int64), join(open_words, _U)
-
-
-def partial_scores(packed: DataFrame, frequent: Frequent, parts: int) -> DataFrame:
-    """Per group of documents: their ids, words and scores so far; packed sums of one partition; and (row, word) of which
-    the count is still open."""
-    held = packed.sparkSession.sparkContext.broadcast(frequent)
-    names = ["group", "doc", "n", "score", "at", "row", "word"]
-    kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if not blobs:
-                return
-            row, total, open_row, open_word = _scored(blobs, held.value)
-            groups = list(dict.fromkeys(b[0] for b in blobs))
-            cuts = np.searchsorted(row >> 16, np.arange(len(groups) + 1))
-            rows = [(g, None, None, total[a:b], (row[a:b] & 0xFFFF).astype(np.uint16).tobytes(), None, None) for g, a, b in zip(groups, cuts[:-1], cuts[1:], strict=True)]
-            first = np.array(groups, np.int64)
-            rows += [(None, None, None, None, None, r, w) for r, w in zip((first[open_row >> 16] + (open_row & 0xFFFF)).tolist(), open_word.view(np.int64).tolist(), strict=True)]
-            blobs.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        for batch in batches:
-            is_group = batch.column(7).is_null()
-            docs = batch.filter(is_group)
-            if len(docs):
-                yield pa.RecordBatch.from_arrays([docs.column(1), docs.column(2), docs.column(3), docs.column(4), *(pa.nulls(len(docs), k) for k in kinds[4:])], names)
-            rest = batch.filter(pc.invert(is_group))
-            for part, row, kind, size, data in zip(*(rest.column(i).to_pylist() for i in (0, 1, 5, 6, 7)), strict=True):
-                if part != now:
-                    yield from finish()
-                    now = part
-                blobs.append((row, kind, size, data))
-        yield from finish()
-
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "group long, doc array<long>, n array<long>, score array<long>, at binary, row long, word long")
-
-
-def summed(partial: DataFrame, parts: int) -> DataFrame:
-    """Documents with the sums of all partitions: row, doc, n, score. A group holds a bounded number of documents."""
-    names = ["row", "doc", "n", "score"]
+#: Rows of two sorts. An n-gram of a document: key, row (the document), times, weight, and if asked for its words (before and
+#: word; before is null for a single word). And a document: doc, its number of words in times, and in base the part of its
+#: score that needs no other count; its weight is null and its key is its row.
+EXPLODED = "key long, row long, times long, weight int, doc long, base long"
+WITH_WORDS = EXPLODED + ", before long, word long"
+
+
+def explode_ngrams(docs: DataFrame, model: Model, id_col: str, text_col: str, with_words: bool = False) -> DataFrame:
+    """Documents and their distinct n-grams (see EXPLODED). What the model counts is in the documents' base instead."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    schema = WITH_WORDS if with_words else EXPLODED
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, words, total = None, None, None, None
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if ids is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(now + np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(total)], names)
-
-        for batch in batches:
-            for group, doc, n, score, at in zip(*(batch.column(i) for i in range(5)), strict=True):
-                if group.as_py() != now:
-                    yield from finish()
-                    now, ids, total = group.as_py(), None, np.zeros(DOCS_HELD + 1, np.int64)
-                if doc.is_valid:
-                    ids, words = doc.as_py(), n.as_py()
-                    total = total[: len(ids)] + np.asarray(score.values)
-                else:
-                    total[np.frombuffer(at.as_py(), np.uint16)] += np.asarray(score.values)
-        yield from finish()
-
-    dealt = partial.where("group is not null").select("group", "doc", "n", "score", "at").repartition(parts, "group")
-    return dealt.sortWithinPartitions("group", F.col("doc").isNull()).mapInArrow(run, "row long, doc long, n long, score long")
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_bits: int = FREQUENT_BITS) -> DataFrame:
-    """Per row of ``docs``: its id, n_words and log_score."""
-    spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "lm"), partitions(spark)
-    words = scratch.put(word_counts(docs, text_col), "words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    top = most_frequent(words, "n", 1 << min(frequent_bits, FREQUENT_BITS)).collect()
-    frequent = Frequent(top, total)
-    heavy = heavy_bigrams(docs, frequent, text_col)
-    packed = occurrences(docs, frequent, heavy, 2 * parts, id_col, text_col)
-    found = scratch.put(partial_scores(packed, frequent, parts), "scores")
-    opened = found.where("word is not null").groupBy("row", F.col("word").alias("h")).count().join(words, "h")
-    less = opened.groupBy("row").agg(F.sum((F.col("count") * F.round(F.ln("n") * 1e6)).cast("long")).alias("less"))
-    out = summed(found, parts).join(less, "row", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_words"), ((F.col("score") - F.coalesce("less", F.lit(0))) / 1e6).alias("log_score"))
+        from pyspark import TaskContext
+
+        m, hashes = held.value, word_hashes()
+        log_n, log_heavy, log_total = micro(m.n), micro(m.heavy_n), int(micro(m.total))
+        row = TaskContext.get().partitionId() << 36
+        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        documents: list[tuple] = []
+
+        def send(key: np.ndarray, times: np.ndarray, weight: np.ndarray, *words: np.ndarray) -> None:
+            for part, x in zip(parts, (key.view(np.int64), np.full(len(key), row), times, weight, *words), strict=False):
+                part.append(x)
+
+        def batch_of() -> pa.RecordBatch:
+            key, rows, times, weight, before, word = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
+            n, k, doc = len(key), len(documents), [x[1] for x in documents]
+            join = lambda a, b, kind: pa.concat_arrays([pa.array(a, kind), pa.array(b, kind)])
+            null = lambda size, kind: pa.nulls(size, kind)
+            own = np.array([x[0] for x in documents], np.int64)
+            columns = [join(key, own, pa.int64()), join(rows, own, pa.int64()), join(times, [x[2] for x in documents], pa.int64()), pa.concat_arrays([pa.array(weight, pa.int32()), null(k, pa.int32())])]
+            columns += [pa.concat_arrays([null(n, pa.int64()), pa.array(x, pa.int64())]) for x in (doc, [x[3] for x in documents])]
+            if with_words:
+                columns += [pa.concat_arrays([pa.array(x.view(np.int64), pa.int64(), mask=x == 0), null(k, pa.int64())]) for x in (before.astype(_U), word.astype(_U))]
+            for p in parts:
+                p.clear()
+            documents.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        sent = 0
+        for batch in slices(batches):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                base = 0
+                if words:
+                    h = np.fromiter(map(hashes.__getitem__, words), _U, len(words))
+                    place = places(m.h, h)
+                    # The first word weighs one, every word that comes before another minus one.
+                    base = -log_total + (int(log_n[place[0]]) if place[0] >= 0 else 0) - int(log_n[place[:-1][place[:-1] >= 0]].sum())
+                    rare, at, n = np.unique(h[place < 0], return_inverse=True, return_counts=True)
+                    weight = -n
+                    if place[-1] < 0:
+                        weight[at[-1]] += 1
+                    if place[0] < 0:
+                        weight[at[0]] += 1
+                    send(rare, n, weight, np.zeros(len(rare), _U), rare)
+                    key, first, n = np.unique(bigram_keys(h[:-1], h[1:]), return_index=True, return_counts=True)
+                    heavy = places(m.heavy, key)
+                    if len(m.heavy):
+                        base += int((n * log_heavy[heavy])[heavy >= 0].sum())
+                        key, first, n = key[heavy < 0], first[heavy < 0], n[heavy < 0]
+                    send(key, n, n, h[:-1][first], h[1:][first])
+                    sent += len(rare) + len(key)
+                documents.append((row, doc, len(words), base))
+                row += 1
+                if sent + len(documents) >= ROWS_SENT:
+                    yield batch_of()
+                    sent = 0
+            hashes.bound()
+        yield batch_of()
+
+    typed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return typed.mapInArrow(run, schema)
+
+
+def _micro(n: Column) -> Column:
+    return F.round(F.ln(n) * 1e6).cast("long")
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_bits: int = FREQUENT_BITS, corpus: DataFrame | None = None) -> DataFrame:
+    """Per row of ``docs``: its id, n_words, log_score and mean_log_score (by word; null without words).
+
+    Counts come from ``corpus`` (its ``text_col``), or from ``docs`` themselves.
+    """
+    scratch = Scratch(docs.sparkSession, "lm")
+    source = docs if corpus is None else corpus
+    words = scratch.put(word_counts(source, text_col), "words")
+    model = model_of(source, words, text_col, frequent_bits)
+    if corpus is None:
+        dealt = explode_ngrams(docs, model, id_col, text_col).repartition(partitions(docs.sparkSession), "key")
+        count = F.sum("times").over(Window.partitionBy("key"))
+        # A document's own row is no n-gram: what it brings is its base.
+        rows = dealt.withColumn("count", count).withColumn("part", F.coalesce("base", F.col("weight") * _micro(F.col("count"))))
+    else:
+        exploded = scratch.put(explode_ngrams(docs, model, id_col, text_col, with_words=True), "exploded")
+        rows = _by_other(exploded, explode_ngrams(corpus.withColumn(id_col, F.lit(None).cast("long")), model, id_col, text_col), words, model)
+    total = rows.groupBy("row").agg(F.max("doc").alias("doc"), F.max(F.when(F.col("weight").isNull(), F.col("times"))).alias("n_words"), F.sum("part").alias("score"))
+    score = F.col("score") / 1e6
+    return total.select(F.col("doc").alias(id_col), "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
+
+
+def _by_other(exploded: DataFrame, corpus: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """``exploded`` with each row's part of the score by the count table of another corpus."""
+    table = corpus.where("weight is not null").groupBy("key").agg(_micro(F.sum("times")).alias("log_n"))
+    singles = words.where(~F.col("heavy"))
+    log_of = lambda name: singles.select(F.col("h").alias(name), _micro(F.col("n")).alias(f"log_{name}"))
+    found = exploded.join(table, "key", "left")
+    # What is no bigram, or is one that the corpus holds; a word that it lacks counts as one, and its logarithm is 0.
+    plain = found.where(F.col("before").isNull() | F.col("log_n").isNotNull()).withColumn("part", F.coalesce("base", F.col("weight") * F.coalesce("log_n", F.lit(0))))
+    # A bigram that it lacks gives back what the word before has taken off, and its word's share comes in.
+    lost = found.where(F.col("before").isNotNull() & F.col("log_n").isNull()).join(log_of("before"), "before", "left").join(log_of("word"), "word", "left")
+    share = F.coalesce("log_before", F.lit(0)) + F.coalesce("log_word", F.lit(0)) + F.lit(int(micro(BACKOFF)) - int(micro(model.total)))
+    columns = ["row", "doc", "weight", "times", "part"]
+    return plain.select(*columns).unionByName(lost.withColumn("part", F.col("weight") * share).select(*columns))

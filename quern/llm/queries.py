@@ -144,7 +144,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     network = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, network)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("q_score").alias("score"), (F.col("q_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +182,12 @@ bi AS (SELECT before, word, count(*) AS n FROM words WHERE before IS NOT NULL GR
 total AS (SELECT greatest(1, count(*)) AS n FROM words),
 scored AS (
   SELECT w.doc_id, CASE WHEN w.before IS NULL THEN round(1e6 * ln(u.n))::BIGINT - round(1e6 * ln(t.n))::BIGINT
-    WHEN b.n >= 2 THEN round(1e6 * ln(b.n))::BIGINT - round(1e6 * ln(ub.n))::BIGINT
+    WHEN b.n > 0 THEN round(1e6 * ln(b.n))::BIGINT - round(1e6 * ln(ub.n))::BIGINT
     ELSE round(1e6 * ln(0.4::DOUBLE))::BIGINT + round(1e6 * ln(u.n))::BIGINT - round(1e6 * ln(t.n))::BIGINT END AS s
   FROM words w JOIN uni u ON w.word = u.word LEFT JOIN bi b ON w.before = b.before AND w.word = b.word LEFT JOIN uni ub ON w.before = ub.word CROSS JOIN total t),
 sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(s.s, 0)::DOUBLE / 1e6 AS log_score FROM docs d LEFT JOIN sums s USING (doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(s.s, 0)::DOUBLE / 1e6 AS log_score,
+       CASE WHEN len(d.w) > 0 THEN coalesce(s.s, 0)::DOUBLE / 1e6 / len(d.w)::DOUBLE END AS mean_log_score FROM docs d LEFT JOIN sums s USING (doc_id)
 """
 
 

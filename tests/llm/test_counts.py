@@ -67,6 +67,32 @@ def test_packing_keeps_every_id_once(spark):
         packing.pack(table, path, capacity=100)
 
 
+def test_packing_keeps_documents_whole(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    r = np.random.default_rng(1)
+    rows = [(i, " ".join(["word"] * int(n)), "x", 5) for i, n in enumerate(r.integers(1, 900, 1500))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, length string, start int").repartition(2)
+    got = packing.pack(table, path).collect()
+    tokens = sum(len(t.split()) + 1 for _, t, *_ in rows)
+    assert sum(x.length for x in got) == tokens
+    ends = Counter()
+    for x in got:
+        ends[x.sequence_id] = max(ends[x.sequence_id], x.offset + x.length)
+    full = [n for n in ends.values() if n == 2048]
+    assert len(full) >= tokens // 2048 - 1 and all(n & (n - 1) == 0 for n in ends.values())
+    # One cut for each sequence at most, besides what the workers' last sequences need.
+    assert len(got) <= len(rows) + len(ends) + 2 * 11
+
+
+@pytest.mark.parametrize("text", ["", "a", "no-space" * 40, "ab cd\n" * 50, " " * 70, "x " * 9 + "y" * 90 + " z"])
+def test_blocks_of_a_long_text_give_its_ids(text):
+    words = packing.WordTokenizer(tokenizer_path("word_bpe_49k.json"))
+    whole = next(iter(words.ids([text], 1)))
+    parts = [packing.split_words(b) for b in packing.blocks(text, 16)]
+    assert "".join(packing.blocks(text, 16)) == text
+    assert b"".join(words._joined(parts)) == whole[:-1].tobytes()
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -101,37 +127,76 @@ def test_mixing_meets_its_targets(spark):
         assert abs(taken[s] - want[s]) <= max(2 * longest[s], 4), s
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table.repartition(5)).collect()))
     assert mixing.take_mix(table).columns == table.columns
+    clash = table.selectExpr("*", "999 as size", "'t' as target", "'u' as times", "5 as q_size", "'x' as source_size")
+    taken = mixing.take_mix(clash)
+    assert taken.columns == clash.columns and taken.select("size", "target", "times", "q_size").distinct().collect() == [(999, "t", "u", 5)]
+    assert sorted(map(str, mixing.mix(clash).drop("q_size").collect())) == sorted(map(str, got))
     assert mixing.take_mix(table).count() == sum(x.times for x in got)
     assert mixing.mix(table.limit(0)).count() == 0
 
 
-def test_language_model_scores_match_brute_force(spark):
-    texts = ["a b a b c", "A B d e f", None, "", "a", "rare word a b", "f e d", "a b " * 30, "rare word again"]
-    table = spark.createDataFrame(list(enumerate(texts)) + [(None, "a b"), (1, "A B d e f")], "doc_id long, text string")
-    said = [(i, (t or "").encode().lower().split()) for i, t in map(tuple, table.collect())]
-    uni, bi = Counter(w for _, ws in said for w in ws), Counter(p for _, ws in said for p in zip(ws, ws[1:], strict=False))
-    total = sum(uni.values())
+def brute_scores(said, corpus):
+    """Plain stupid backoff: c(before, word) / c(before) where the bigram occurs at all, else 0.4 * c(word) / N."""
+    uni, bi = Counter(w for ws in corpus for w in ws), Counter(p for ws in corpus for p in zip(ws, ws[1:], strict=False))
+    total = max(1, sum(uni.values()))
     m = lambda x: round(1e6 * math.log(x))
 
     def one(ws):
         s = 0
         for i, w in enumerate(ws):
             if i == 0:
-                s += m(uni[w]) - m(total)
-            elif bi[(ws[i - 1], w)] >= 2:
+                s += m(uni[w] or 1) - m(total)
+            elif bi[(ws[i - 1], w)]:
                 s += m(bi[(ws[i - 1], w)]) - m(uni[ws[i - 1]])
             else:
-                s += m(0.4) + m(uni[w]) - m(total)
+                s += m(0.4) + m(uni[w] or 1) - m(total)
         return s / 1e6
 
-    want = sorted(((i, len(ws), one(ws)) for i, ws in said), key=str)
+    return sorted(((i, len(ws), one(ws)) for i, ws in said), key=str)
+
+
+def assert_scores(got, want):
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(math.isclose(a[2], b[2], abs_tol=2e-6) for a, b in zip(got, want, strict=True))
+    assert all(a[3] is None if not a[1] else math.isclose(a[3], a[2] / a[1], abs_tol=1e-9) for a in got)
+
+
+def lm_table(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_words int, key string")
+
+
+def test_language_model_scores_match_brute_force(spark):
+    r = np.random.default_rng(3)
+    texts = ["a b a b c", "A B d e f", None, "", "a", "rare word a b", "f e d", "a b " * 30, "rare word again", "once seen", " ".join(f"w{x}" for x in r.zipf(1.3, 3000))]
+    table = lm_table(spark, [*enumerate(texts), (None, "a b"), (1, "A B d e f"), (1, "another text of one")])
+    said = [(x.doc_id, (x.text or "").encode().lower().split()) for x in table.collect()]
+    want = brute_scores(said, [ws for _, ws in said])
     for bits in (0, 1, 2, 17):
-        got = sorted(map(tuple, lm_scoring.score_documents(table, frequent_bits=bits).collect()), key=str)
-        assert [x[:2] for x in got] == [x[:2] for x in want]
-        assert all(math.isclose(a[2], b[2], abs_tol=1e-6) for a, b in zip(got, want, strict=True))
+        assert_scores(lm_scoring.score_documents(table, frequent_bits=bits), want)
     assert lm_scoring.score_documents(table.limit(0)).count() == 0
 
 
+def test_language_model_backs_off_where_another_corpus_lacks_a_bigram(spark):
+    corpus = lm_table(spark, [(0, "a b c d a b"), (1, "b a c"), (2, None), (3, "only here once")])
+    rows = [(5, "a b c"), (6, "c b a unseen a"), (7, "unseen unseen"), (8, None), (9, "d b d b only"), (None, "here a")]
+    said = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    want = brute_scores(said, [(x.text or "").encode().lower().split() for x in corpus.collect()])
+    for bits in (0, 2, 17):
+        assert_scores(lm_scoring.score_documents(lm_table(spark, rows), frequent_bits=bits, corpus=corpus), want)
+    assert_scores(lm_scoring.score_documents(lm_table(spark, rows), corpus=corpus.limit(0)), brute_scores(said, []))
+
+
+def test_heavy_bigrams_are_counted_apart(spark):
+    rows = [(i, f"to be or{i} not{i} so{i} on{i} and{i} on{i} till{i} it{i} ends{i} there{i}") for i in range(300)]
+    table = lm_table(spark, rows)
+    words = lm_scoring.word_counts(table, "text").persist()
+    model = lm_scoring.model_of(table, words, "text")
+    assert model.heavy_n.tolist() == [300]
+    said = [(i, t.encode().split()) for i, t in rows]
+    assert_scores(lm_scoring.score_documents(table), brute_scores(said, [ws for _, ws in said]))
+
+
 CHAT = "conv_id long, turn long, role string, text string, step string"
 
 
