@@ -1,18 +1,23 @@
 """Near-duplicate detection by b-bit MinHash over shingles of five words.
 
 Each distinct word sequence gets so many minima as the threshold needs (352 at 85 percent, 608 at 80; see ``Plan``). Eight of
-them at a time make a band; texts that share a band are candidates. A text's signature keeps two low bits of each minimum, packed into longs; the share of equal fields, counted by bits and
-corrected for chance agreement, drops unlikely candidates before the full shingle sets are compared exactly. Bands of eight
-keep texts that only share a passage apart: at a similarity of 0.3, one pair in 350 becomes a candidate.
+them at a time make a band; texts that share a band are candidates. A text's signature keeps two low bits of each minimum,
+packed into longs; the share of equal fields, counted by bits and corrected for chance agreement, drops unlikely candidates
+before the full shingle sets are compared exactly. Bands of eight keep texts that only share a passage apart: at a
+similarity of 0.3, one pair in 350 becomes a candidate.
 
-Copies never form pairs: equal word sequences are one class, by its smallest document. In a bucket, each text is first
-compared with the bucket's smallest; what that links is joined into components. In buckets that still hold several
-components, pairs across them are found by the rarest shingles, without loss, and compared. Two texts at the threshold miss
-each other in every band with a chance below 1e-6: (1 - 0.85**8)**44 at 85 percent, (1 - 0.80**8)**76 at 80.
+Copies never form pairs: equal word sequences are one class, a node named by the hash of its words. In a bucket, each node
+is first compared with the bucket's least; what that links is joined into components. In buckets that still hold several
+components, pairs across them are found by the rarest shingles, without loss, and compared. Were the minima independent, two
+texts at the threshold would miss each other in every band with a chance below 1e-6: (1 - 0.85**8)**44 at 85 percent,
+(1 - 0.80**8)**76 at 80. Tests measure it.
+
+A class may hold a third of all rows, a band a third of all nodes: such joins stand between written tables, so that adaptive
+execution splits the large partition, and the other side of it is a row per key.
 
 Defined results: a text without words (or null) has no shingles and links with nothing, as does a row with a null id,
 whose component is null and which is kept. Rows that repeat a document are alike. Of rows that share an id but not the
-text, each counts by its own text.
+text, each counts by its own text. Columns other than the id and the text are not read, and none is replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Memo, Scratch, fresh, slices, text_or_empty, tidy
 from .components import components
 
 SHINGLE, ROWS, BITS = 5, 8, 2
 #: Minima that a text has at most, and the chance that a pair at the threshold shares no band.
 MOST_HASHES, MISS = 640, 1e-6
 #: Shingles hashed at once, and distinct words whose hash a task remembers.
-CHUNK, WORDS_HELD = 1024, 400_000
+CHUNK, WORDS_HELD = 1024, 150_000
 #: Estimates so far below the threshold, or as many standard deviations, come from a linked pair with a chance below 1e-6.
 SLACK, DEVIATIONS = 0.12, 5.3
 
@@ -91,7 +96,9 @@ class Shingler:
     """Hashed shingle sets of texts."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.known = size, {}
+        import xxhash
+
+        self.size, self.known = size, Memo(xxhash.xxh64_intdigest, WORDS_HELD)
 
     def words(self, text: str | None) -> list[bytes]:
         """Words of the text in lower case; bytes.lower and bytes.split touch just A-Z and [\\x20\\x09-\\x0D]."""
@@ -99,16 +106,10 @@ class Shingler:
 
     def shingles(self, words: list[bytes]) -> np.ndarray:
         """Sorted distinct hashes of the shingles; fewer words than a shingle has make one."""
-        import xxhash
-
         if not words:
             return np.empty(0, _U)
-        known = self.known
-        if len(known) > WORDS_HELD:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), _U, len(words))
+        self.known.bound()
+        h = np.fromiter(map(self.known.__getitem__, words), _U, len(words))
         size = min(self.size, len(h))
         n = len(h) - size + 1
         total = np.full(n, size, _U)
@@ -140,38 +141,45 @@ def band_keys(low: np.ndarray, bands: int) -> np.ndarray:
     return _mix(_mix(rows * _PLACES[:n]).sum(axis=1, dtype=_U) + _PLACES[n : n + bands]).view(np.int64)
 
 
-SIGNATURE = "doc long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
+SIGNATURE = "doc long, t1 long, t2 long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
+_NAMES = [c.split()[0] for c in SIGNATURE.split(", ")]
+
+
+def _typed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """The id, two hashes of the text as it is, and the text."""
+    text = text_or_empty(text_col)
+    return [F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text")]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: Plan) -> DataFrame:
-    """Per row: doc, n_shingles, k1 and k2 (a hash of the word sequence), sig and bands (null without words)."""
+    """Per row: doc, t1 and t2 (a hash of the text), n_shingles, k1 and k2 (a hash of the word sequence), sig and bands (null
+    without words)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, t1, t2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = shingler.words(text)
                 found = shingler.shingles(words)
                 if not len(found):
-                    rows.append((doc, 0, None, None, None, None))
+                    rows.append((doc, t1, t2, 0, None, None, None, None))
                     continue
                 low = minima(found, bands.hashes)
                 k = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), np.int64)
-                rows.append((doc, len(found), k[0], k[1], packed(low), band_keys(low, bands.bands)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "n_shingles", "k1", "k2", "sig", "bands"])
+                rows.append((doc, t1, t2, len(found), k[0], k[1], packed(low), band_keys(low, bands.bands)))
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNATURE)
+    return docs.select(*_typed(docs, id_col, text_col)).mapInArrow(run, SIGNATURE)
 
 
 def likely(pairs: DataFrame, reps: DataFrame, bands: Plan) -> DataFrame:
     """Pairs (a, b) whose signatures leave a similarity of the plan's threshold possible."""
-    sig = reps.select("rep", "sig")
-    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    both = pairs.join(reps.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     ones = sum(1 << (BITS * i) for i in range(64 // BITS))
     x = F.zip_with("sa", "sb", lambda p, q: p.bitwiseXOR(q))
 
@@ -189,8 +197,8 @@ def likely(pairs: DataFrame, reps: DataFrame, bands: Plan) -> DataFrame:
 
 
 def id_bitmap(nodes: DataFrame) -> np.ndarray:
-    """Bits of the hashes of ``nodes``' ids: BITMAP_BITS / 8 bytes at any number of nodes. More nodes only let more other ids
-    pass."""
+    """Bits of the hashes of ``nodes``' documents (rep): BITMAP_BITS / 8 bytes at any number of nodes. More nodes only let more
+    other documents pass."""
     bit = (_id_bit("rep") + 1).alias("bit")
     parts = nodes.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = np.zeros(BITMAP_BITS // 8, np.uint8)
@@ -204,40 +212,41 @@ def _id_bit(doc: str) -> Column:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full shingle sets of ``nodes`` (rep, k1, k2): node, s (sorted hashes).
+    """Full shingle sets of ``nodes`` (node, k2, rep): node, s (sorted hashes).
 
     A bitmap of bounded size tells tasks which texts may be wanted, so that texts stay where they are read; a join of the
     sets then keeps those of ``nodes``.
     """
     bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(nodes))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             bit = np.asarray(batch.column(2))
             batch = batch.filter(pa.array(((bitmap.value[bit >> 3] >> (bit & 7)) & 1).astype(bool)))
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = shingler.words(text)
-                k = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), np.int64)
-                rows.append((doc, k[0], k[1], shingler.shingles(words).view(np.int64)))
+                if words:
+                    k = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), np.int64)
+                    rows.append((doc, k[0], k[1], shingler.shingles(words).view(np.int64)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["node", "k1", "k2", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["rep", "node", "k2", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    sets = texts.withColumn("bit", _id_bit("rep")).mapInArrow(run, "node long, k1 long, k2 long, s array<long>")
-    named = nodes.select(F.col("rep").alias("node"), "k1", "k2")
-    return sets.dropDuplicates(["node", "k1", "k2"]).join(named, ["node", "k1", "k2"], "left_semi").select("node", "s")
+    sets = texts.withColumn("bit", _id_bit("rep")).mapInArrow(run, "rep long, node long, k2 long, s array<long>")
+    return sets.dropDuplicates(["rep", "node", "k2"]).join(nodes.select("rep", "node", "k2"), ["rep", "node", "k2"], "left_semi").select("node", "s")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes whose full shingle sets have a Jaccard similarity of at least ``percent`` in a hundred."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             p, q = batch.column(2), batch.column(3)
             for i in range(len(batch)):
@@ -276,37 +285,51 @@ def crossing_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFram
     return left.join(right, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: its id, n_shingles, component_id and kept."""
+def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Per row of ``docs``: doc, t1, t2 (a hash of its text), n_shingles and component_id."""
     scratch = Scratch(docs.sparkSession, "near")
     bands = plan(percent)
     sigs = scratch.put(signatures(docs, id_col, text_col, bands), "signatures")
     worded = sigs.where("n_shingles > 0 and doc is not null")
     first = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc", "sig", "bands")).alias("m"))
-    reps = scratch.put(first.select("k1", "k2", F.col("m.doc").alias("rep"), "m.sig", "m.bands"), "classes")
-    members = reps.select("rep", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    # Links are between nodes, told apart by k1; two of 10**9 classes share one with a chance of 3 percent.
+    reps = scratch.put(first.select(F.col("k1").alias("node"), "k2", F.col("m.doc").alias("rep"), "m.sig", "m.bands"), "classes")
+    members = reps.select("node", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = scratch.put(members.join(shared.select("band", "leader"), "band"), "buckets")
-    nodes = scratch.put(reps.select("rep", "k1", "k2").join(buckets.select("rep").distinct(), "rep", "left_semi"), "nodes")
+    nodes = scratch.put(reps.select("node", "k2", "rep").join(buckets.select("node").distinct(), "node", "left_semi"), "nodes")
     sets = scratch.put(shingle_sets(docs, nodes, id_col, text_col), "sets")
-    star = buckets.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    star = buckets.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.put(confirmed(likely(star, reps, bands), sets, percent), "links")
     found = scratch.put(components(links, scratch), "components")
     # What no leader has linked: nodes of buckets that hold several components.
-    placed = buckets.join(found, buckets["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = buckets.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
     split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    unsettled = scratch.put(placed.join(split, "band", "left_semi").select(F.col("rep").alias("node"), "comp").distinct(), "unsettled")
+    unsettled = scratch.put(placed.join(split, "band", "left_semi").select("node", "comp").distinct(), "unsettled")
     rest = scratch.put(likely(crossing_pairs(sets, unsettled, percent), reps, bands), "crossing")
     if not rest.isEmpty():
         more = scratch.put(confirmed(rest, sets, percent), "links")
         found = scratch.put(components(links.unionByName(more), scratch), "components")
-    classes = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
-    return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+    linked = reps.select("node", "k2", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = scratch.put(linked.join(least, "component").select(F.col("node").alias("k1"), "k2", "component_id"), "named")
+    out = sigs.select("doc", "t1", "t2", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    return out.select("doc", "t1", "t2", "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("component_id") == F.col("doc"), F.lit(True))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """Per row of ``docs``: its id, n_shingles, component_id and kept."""
+    return _classified(docs, id_col, text_col, percent).select(F.col("doc").alias(id_col), "n_shingles", "component_id", _kept().alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the smallest id; rows with a null id stay."""
-    gone = near_classes(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col(id_col).alias("q_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("q_gone"), "left_anti")
+    """``docs`` with one document of each group of near copies, the smallest id; rows with a null id stay. A row goes by its id
+    and its text, so another text under the same id is judged by itself."""
+    p = fresh(docs)
+    gone = _classified(docs, id_col, text_col, percent).where(~_kept()).select(*(F.col(c).alias(p + c) for c in ("doc", "t1", "t2"))).distinct()
+    doc, t1, t2, _ = _typed(docs, id_col, text_col)
+    return docs.join(gone, (doc == F.col(p + "doc")) & (t1 == F.col(p + "t1")) & (t2 == F.col(p + "t2")), "left_anti")
