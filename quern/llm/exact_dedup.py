@@ -7,6 +7,9 @@ in the same way, until every document has one name. Equal names at a level mean
 choose the bucket and find a block's name again, and where two blocks share even their 128-bit hash, the join compares
 their text.
 
+A block or text may have copies in a third of all rows. Names of blocks come from a join of written tables, whose large
+partitions adaptive execution splits; groups of many copies are joined by broadcast, and there are fewer than HOT of them.
+
 Defined results: null counts as the empty text, which is one empty block. Rows with a null doc_id take part; a group's
 largest doc_id is null only if all its rows have none. Of rows that repeat both doc_id and text, one is kept.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, fresh, spread_join, text_or_empty
 
 BLOCK_CHARS = 8192
 #: Low bits of a name that hold the rank within its bucket; the other 44 bits are the bucket.
@@ -89,9 +92,10 @@ def text_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of ``docs``: its id, keep_id, group_size, kept and text_sha256. Of equal texts, the largest id stays."""
-    ids = text_identities(docs, id_col, text_col, chars)
-    groups = ids.groupBy("level", "name").agg(F.max("doc").alias("keep_id"), F.sum("copies").alias("group_size"))
-    each = ids.join(groups, ["level", "name"]).select("doc", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    scratch = Scratch(docs.sparkSession, "groups")
+    ids = scratch.put(text_identities(docs, id_col, text_col, chars), "ids")
+    groups = scratch.put(ids.groupBy("level", "name").agg(F.max("doc").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("rows")), "groups")
+    each = spread_join(ids, groups, ["level", "name"], "rows", ids.count()).select("doc", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return each.select(
         F.col("doc").alias(id_col),
         "keep_id",
@@ -103,7 +107,8 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text a row with a larger id repeats; repeated rows stay once."""
-    kept = dedup_exact(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("q_keep"), F.unhex("text_sha256").alias("q_sha"))
-    hashed = docs.withColumn("q_hash", F.unhex(F.sha2(text_or_empty(text_col), 256)))
-    once = hashed.dropDuplicates([id_col, "q_hash"])
-    return once.join(kept, F.col(id_col).eqNullSafe(F.col("q_keep")) & (F.col("q_hash") == F.col("q_sha")), "left_semi").drop("q_hash")
+    p = fresh(docs)
+    kept = dedup_exact(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(p + "keep"), F.unhex("text_sha256").alias(p + "sha"))
+    hashed = docs.withColumn(p + "hash", F.unhex(F.sha2(text_or_empty(text_col), 256)))
+    once = hashed.dropDuplicates([id_col, p + "hash"])
+    return once.join(kept, F.col(id_col).eqNullSafe(F.col(p + "keep")) & (F.col(p + "hash") == F.col(p + "sha")), "left_semi").drop(p + "hash")
