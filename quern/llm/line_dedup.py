@@ -73,8 +73,9 @@ def _dense(drops: str) -> Column:
     return F.flatten(fill)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """``docs`` with each repeated line kept only in the smallest document that holds it, and n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, counts: bool = True) -> DataFrame:
+    """``docs`` with each repeated line kept only in the smallest document that holds it, and with ``counts`` also n_lines and
+    n_dropped, which replace columns of these names.
 
     A key of at least ``min_chars`` code points that two or more documents hold loses all its lines elsewhere.
     """
@@ -92,5 +93,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = F.filter(lines, lambda x, i: F.coalesce(F.getbit(F.get(bits, F.floor(i / WORD).cast("int")), F.pmod(i, F.lit(WORD))), F.lit(0)) == 0)
     out = joined.withColumn(p + "text", F.when(bits.isNull(), text).otherwise(F.array_join(stays, "\n")))
     out = out.withColumns({p + "lines": F.size(lines).cast("long"), p + "n": F.coalesce(F.col(p + "n"), F.lit(0).cast("long"))})
-    keep = [F.col(p + "text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*keep, F.col(p + "lines").alias("n_lines"), F.col(p + "n").alias("n_dropped"))
+    new = [F.col(p + "lines").alias("n_lines"), F.col(p + "n").alias("n_dropped")] if counts else []
+    keep = [F.col(p + "text").alias(c) if c == text_col else F.col(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    return out.select(*keep, *new)

@@ -3,7 +3,8 @@
 Sizes are summed per source, targets follow from the weights by water filling, and each source takes its documents whole
 so many times, plus once more those whose hash lies under a threshold. The threshold comes from histograms: sizes summed
 by source and hash bucket give the bucket in which the budget is met; only that bucket is refined by the next bits. No
-documents are sorted, and no group of documents meets in one task.
+documents are sorted, and no group of documents meets in one task: a plan of few sources is broadcast, after a count of
+them, and sums combine before they move.
 
 Defined results: a null text has size 0. Sources are ordered by code point with null last. Documents that repeat both id
 and text have one hash, so they are taken together. A source of size 0 has target 0. An empty table gives an empty table.
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, text_or_empty
+from .common import BROADCAST_ROWS, Scratch, broadcast_small, fresh, text_or_empty
 
 #: Levels of the histograms and bits refined at each: 48 bits of hash in all.
 LEVELS, BITS = 4, 12
@@ -65,10 +66,11 @@ def thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``docs`` has source, size, hash. Each level sums sizes within the bucket that the level before has found.
     """
+    few = targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     open_ = targets.select(F.col("source").alias("s"), F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("left"))
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        inside = docs.join(open_, docs["source"].eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
+        inside = docs.join(F.broadcast(open_) if few else open_, docs["source"].eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
         cells = inside.groupBy("source", F.shiftright("hash", shift).alias("cell")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
         run = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
         met = cells.withColumn("sum", run).where(F.col("sum") > F.col("left"))
@@ -93,19 +95,28 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), id_col: str =
     return plan
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and times (how often the mix takes the document)."""
+def _mixed(docs: DataFrame, weights: Sequence[int], id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with size, source_size, target and times under a prefix that no column has; and the prefix."""
     plan = plan_mix(docs, weights, id_col, text_col, source_col)
     p = fresh(docs)
-    plan = plan.select(*(F.col(c).alias(p + c) for c in plan.columns))
+    plan = broadcast_small(plan.select(*(F.col(c).alias(p + c) for c in plan.columns)))
     text = text_or_empty(text_col)
-    out = docs.drop("size", "source_size", "target", "times").join(plan, F.col(source_col).eqNullSafe(F.col(p + "source")), "left")
+    out = docs.join(plan, F.col(source_col).eqNullSafe(F.col(p + "source")), "left")
     times = F.col(p + "copies") + (doc_hash(F.col(id_col), text) < F.col(p + "until")).cast("long")
-    return out.withColumns({"size": word_count(text), "source_size": F.col(p + "source_size"), "target": F.col(p + "target"), "times": times}).drop(*plan.columns)
+    return out.withColumns({p + "size": word_count(text), p + "times": times}).drop(p + "source", p + "copies", p + "until"), p
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with size, source_size, target and times (how often the mix takes the document); columns of these names in
+    ``docs`` are replaced."""
+    out, p = _mixed(docs, weights, id_col, text_col, source_col)
+    new = ["size", "source_size", "target", "times"]
+    keep = [c for c in docs.columns if c not in new or c in (id_col, text_col, source_col)]
+    return out.select(*keep, *(F.col(p + c).alias(c) for c in new))
 
 
 def take_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
-    """The mixed documents: each row as often as the mix takes it."""
-    cols = docs.columns
-    mixed = mix(docs, weights).where("times > 0")
-    return mixed.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("q_copy")).drop("q_copy")
+    """The mixed documents with all their columns as they are: each row as often as the mix takes it."""
+    out, p = _mixed(docs, weights, "doc_id", "text", "source")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(p + "times"))).alias(p + "copy")
+    return out.where(F.col(p + "times") > 0).select(*docs.columns, copies).drop(p + "copy")

@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, most_frequent
+from .common import Scratch, most_frequent, slices, tidy
 
 #: The most entries, and the longest entry, of the table of frequent pre-tokens that each task holds.
 FREQUENT, FREQUENT_CHARS = 200_000, 64
 #: Distinct pre-tokens that a task counts before it passes them on.
-HELD = 600_000
+HELD = 300_000
+_MARK = "▁"
 
 _SPLIT = re.compile("[ ▁]+[^ ▁]*")
 
@@ -34,7 +35,10 @@ _SPLIT = re.compile("[ ▁]+[^ ▁]*")
 def _model(path: str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    if spanning := [p for p in map(model.id_to_piece, range(model.get_piece_size())) if _MARK in p.lstrip(_MARK)]:
+        raise ValueError(f"{path} has pieces that cross a space, such as {spanning[0]!r}; texts cannot be counted by pre-token")
+    return model
 
 
 def pretokens(text: str) -> list[str]:
@@ -51,6 +55,7 @@ def piece_counts(tokens: list[str], model: str) -> list[int]:
 def corpus_pretokens(docs: DataFrame, text_col: str) -> DataFrame:
     """Distinct pre-tokens of all texts with their frequency: token, freq."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
 
@@ -59,7 +64,7 @@ def corpus_pretokens(docs: DataFrame, text_col: str) -> DataFrame:
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 held.update(pretokens(text))
                 if len(held) > HELD:
@@ -74,8 +79,9 @@ def corpus_pretokens(docs: DataFrame, text_col: str) -> DataFrame:
 def count_pieces(tokens: DataFrame, model: str) -> DataFrame:
     """``tokens`` (token, freq) with pieces, counted once for each."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pieces = piece_counts(batch.column(0).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int32())], ["token", "freq", "pieces"])
 
@@ -97,11 +103,12 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     scratch.drop(tokens)
     table = spark.sparkContext.broadcast(frequent_table(counted, frequent))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known, row = table.value, TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row += 1

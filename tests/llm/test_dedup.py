@@ -54,6 +54,11 @@ def test_line_dedup_of_an_empty_table_and_a_hot_line(spark):
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert out.agg(F.sum("n_dropped")).first()[0] == 2999
     assert out.where("n_dropped = 0").first().doc_id == 0
+    whole = line_dedup.dedup_lines(docs(spark, [(1, "a line of text\nmine"), (2, "a line of text")]), counts=False)
+    assert whole.columns == ["doc_id", "text", "n_lines", "q_x"] and {x.n_lines for x in whole.collect()} == {7}
+    long = "\n".join(f"line number {i} of a long text" for i in range(20_000))
+    got = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(docs(spark, [(1, long), (2, long + "\nmore")])).collect()}
+    assert got == {1: 0, 2: 20_000}
 
 
 def test_exact_dedup_names_blocks_of_any_length(spark):
@@ -74,6 +79,16 @@ def test_exact_dedup_names_blocks_of_any_length(spark):
     assert exact_dedup.dedup_exact(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_hot_groups_and_clashing_columns(spark):
+    rows = [(i, "copied by many" if i % 3 else f"text {i}", "a", "b", "c") for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, q_hash string, q_keep string, name string")
+    kept = exact_dedup.drop_copies(table)
+    assert kept.columns == table.columns
+    assert {x.doc_id for x in kept.collect()} == {3998} | {i for i in range(4000) if i % 3 == 0}
+    sizes = exact_dedup.dedup_exact(table).groupBy("group_size").count().collect()
+    assert {(x.group_size, x["count"]) for x in sizes} == {(2666, 2666), (1, 1334)}
+
+
 def test_exact_dedup_tells_long_texts_apart(spark):
     a = "x" * 50_000
     rows = [(1, a), (2, a + "y"), (3, a), (4, "y" + a)]
@@ -130,6 +145,36 @@ def test_near_dedup_matches_brute_force(spark):
     assert near_dedup.near_classes(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_judges_texts_that_share_an_id_by_themselves(spark):
+    a, b = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(150))
+    near, nearer = a.replace("w100 ", "x "), b.replace("v50 ", "x ")
+    rows = [(3, a), (5, near), (5, b), (7, nearer), (7, "nothing like it"), (5, near)]
+    table = spark.createDataFrame([(i, t, 1, "y") for i, t in rows], "doc_id long, text string, q_gone int, q_doc string")
+    kept = near_dedup.drop_near_copies(table)
+    assert kept.columns == table.columns
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == sorted([(3, a), (5, b), (7, "nothing like it")])
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_finds_what_lies_at_its_threshold(spark, percent):
+    """Recall on pairs barely above the threshold, each alone, and on families whose members lie just below it."""
+    r, rows, linked = random.Random(percent), [], 0
+    for g in range(250):
+        n = r.randrange(40, 300)
+        text = [f"g{g}w{i}" for i in range(n)]
+        # A cut of c words at the end leaves n - 4 - c of n - 4 shingles.
+        most = (n - 4) * (100 - percent) // 100
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[: n - most]))]
+        linked += most > 0
+    for g in range(3):
+        base = [f"f{g}w{i}" for i in range(400)]
+        for m in range(12):
+            rows.append((len(rows), " ".join(base[: 400 - (396 * (100 - percent) // 100 + 2) // 2] + [f"f{g}m{m}x{i}" for i in range(396 * (100 - percent) // 200)])))
+    want, sets = brute_components(rows, percent)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_classes(docs(spark, rows), percent=percent).collect()}
+    assert got == want and linked > 200
+
+
 def test_the_pipeline_stage_drops_copies_from_a_similarity_of_080(spark):
     r = random.Random(11)
     rows = []
