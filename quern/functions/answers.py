@@ -14,25 +14,33 @@ from .basics import before_first, char_at, col, contains, count_of, number, sque
 ARTICLES = ["a", "an", "the"]
 NUMBERS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 PUNCTUATION = [";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", ",", "?", "!"]
-CONTRACTIONS = """
-ain't aren't can't could've couldn't couldn't've didn't doesn't don't hadn't hadn't've hasn't haven't he'd he'd've he's how'd how'll how's
-isn't it'd it'd've it'll ma'am mightn't mightn't've might've mustn't must've needn't not've o'clock oughtn't shan't she'd've should've
-shouldn't shouldn't've someone'd someone'd've someone'll someone's something'd something'd've something'll that's there'd there'd've there're there's
-they'd they'd've they'll they're they've 'twas wasn't we'd've we've weren't what'll what're what's what've when's where'd where's where've
-who'd who'd've who'll who's who've why'll why're why's won't would've wouldn't wouldn't've y'all y'all'll y'all'd've you'd you'd've you'll you're you've
-""".split()
+CONTRACTIONS = {
+    "aint": "ain't", "arent": "aren't", "cant": "can't", "couldve": "could've", "couldnt": "couldn't", "couldn'tve": "couldn't've",
+    "couldnt've": "couldn't've", "didnt": "didn't", "doesnt": "doesn't", "dont": "don't", "hadnt": "hadn't", "hadnt've": "hadn't've",
+    "hadn'tve": "hadn't've", "hasnt": "hasn't", "havent": "haven't", "hed": "he'd", "hed've": "he'd've", "he'dve": "he'd've",
+    "hes": "he's", "howd": "how'd", "howll": "how'll", "hows": "how's", "Id've": "I'd've", "I'dve": "I'd've", "Im": "I'm", "Ive": "I've",
+    "isnt": "isn't", "itd": "it'd", "itd've": "it'd've", "it'dve": "it'd've", "itll": "it'll", "let's": "let's", "maam": "ma'am",
+    "mightnt": "mightn't", "mightnt've": "mightn't've", "mightn'tve": "mightn't've", "mightve": "might've", "mustnt": "mustn't",
+    "mustve": "must've", "neednt": "needn't", "notve": "not've", "oclock": "o'clock", "oughtnt": "oughtn't", "ow's'at": "'ow's'at",
+    "'ows'at": "'ow's'at", "'ow'sat": "'ow's'at", "shant": "shan't", "shed've": "she'd've", "she'dve": "she'd've", "she's": "she's",
+    "shouldve": "should've", "shouldnt": "shouldn't", "shouldnt've": "shouldn't've", "shouldn'tve": "shouldn't've",
+    "somebody'd": "somebodyd", "somebodyd've": "somebody'd've", "somebody'dve": "somebody'd've", "somebodyll": "somebody'll",
+    "somebodys": "somebody's", "someoned": "someone'd", "someoned've": "someone'd've", "someone'dve": "someone'd've",
+    "someonell": "someone'll", "someones": "someone's", "somethingd": "something'd", "somethingd've": "something'd've",
+    "something'dve": "something'd've", "somethingll": "something'll", "thats": "that's", "thered": "there'd", "thered've": "there'd've",
+    "there'dve": "there'd've", "therere": "there're", "theres": "there's", "theyd": "they'd", "theyd've": "they'd've",
+    "they'dve": "they'd've", "theyll": "they'll", "theyre": "they're", "theyve": "they've", "twas": "'twas", "wasnt": "wasn't",
+    "wed've": "we'd've", "we'dve": "we'd've", "weve": "we've", "werent": "weren't", "whatll": "what'll", "whatre": "what're",
+    "whats": "what's", "whatve": "what've", "whens": "when's", "whered": "where'd", "wheres": "where's", "whereve": "where've",
+    "whod": "who'd", "whod've": "who'd've", "who'dve": "who'd've", "wholl": "who'll", "whos": "who's", "whove": "who've",
+    "whyll": "why'll", "whyre": "why're", "whys": "why's", "wont": "won't", "wouldve": "would've", "wouldnt": "wouldn't",
+    "wouldnt've": "wouldn't've", "wouldn'tve": "wouldn't've", "yall": "y'all", "yall'll": "y'all'll", "y'allll": "y'all'll",
+    "yall'd've": "y'all'd've", "y'alld've": "y'all'd've", "y'all'dve": "y'all'd've", "youd": "you'd", "youd've": "you'd've",
+    "you'dve": "you'd've", "youll": "you'll", "youre": "you're", "youve": "you've",
+}
 OPTIONS = [chr(65 + i) for i in range(26)]
 
 
-def _contraction_map() -> dict[str, str]:
-    """A contraction with one of its apostrophes left out, to the contraction."""
-    out: dict[str, str] = {}
-    for word in CONTRACTIONS:
-        for at in (i for i, c in enumerate(word) if c == "'"):
-            out.setdefault(word[:at] + word[at + 1 :], word)
-    return out
-
-
 def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
@@ -51,7 +59,7 @@ def normalize_answer(answer: Column | str) -> Column:
         beside = contains(given, p + " ") | contains(given, " " + p)
         out = F.replace(out, F.lit(p), F.when(beside, "").otherwise(" "))
     out = F.regexp_replace(out, r"\.(?!\d)", "")
-    numbers, short = _map(NUMBERS), _map(_contraction_map())
+    numbers, short = _map(NUMBERS), _map(CONTRACTIONS)
     said = F.filter(F.transform(words(out), lambda w: F.coalesce(F.element_at(numbers, w), w)), lambda w: ~w.isin(*ARTICLES))
     return F.array_join(F.transform(said, lambda w: F.coalesce(F.element_at(short, w), w)), " ")
 
@@ -179,6 +187,24 @@ def _last_place(text: Column, part: Column) -> Column:
     return F.char_length(text) - F.instr(F.reverse(text), F.reverse(part)) - F.char_length(part) + 1
 
 
+def choice_after_answer(response: Column | str, letters: list[str], texts: Column, key: Column | None = None) -> Column:
+    """The one letter that stands after the last "Answer:"; where there is none or several, (X), X and a space, X and a
+    period, or (over 5 words) an option's text, the last of them; else as ``choice_from_response``."""
+    r = col(response)
+    tail = F.substring_index(r, "Answer:", -1)
+    named = F.filter(F.array(*map(F.lit, letters)), lambda x: F.contains(tail, x))
+    sole = F.when(contains(r, "Answer:") & (F.size(named) == 1), F.get(named, F.lit(0)))
+    said = F.concat(F.lit(" "), F.btrim(r, F.lit(",.!?;:'")), F.lit(" "))
+
+    def last_with(form: str, place: str) -> Column:
+        """The letter whose ``place`` stands last, of those that occur in ``form``; without a place, the first of them."""
+        have = F.array(*(F.struct(F.when(contains(said, form.format(x)), _last_place(said, F.lit(place.format(x)))).alias("at"), F.lit(-i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(letters)))
+        return F.array_max(F.filter(have, lambda s: s["at"].isNotNull()))["x"]
+
+    forms = [("({})", "({})"), ("{} ", " {} "), ("{}.", " {} ")]
+    return F.coalesce(sole, *(last_with(f, p) for f, p in forms), choice_from_response(r, letters, texts, key))
+
+
 COMMA_NUMBERS = r"-?\b\d{1,3}(?:,\d{3})+\b"
 SCIENTIFIC_NUMBERS = r"-?\d+(?:\.\d+)?[eE][+-]?\d+"
 SIMPLE_NUMBERS = r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d])"
@@ -229,7 +255,7 @@ def normal_extraction(extraction: Column | str, choices: Column, question_type:
     e = F.when(letter != "", letter).otherwise(e)
     place = F.ascii(e) - 65
     by_letter = F.when((F.char_length(e) == 1) & place.between(0, F.size(choices) - 1), F.get(choices, place))
-    return F.when(q == "multi_choice", F.coalesce(by_letter, nearest_option(e, choices))).when(a == "integer", number(e).cast("long").cast("string")).when(a == "float", F.bround(number(e) * F.pow(F.lit(10.0), col(precision))).cast("double") / F.pow(F.lit(10.0), col(precision))).otherwise(e)
+    return F.when(q == "multi_choice", F.coalesce(by_letter, nearest_option(e, choices))).when(a == "integer", number(e).cast("long").cast("string")).when(a == "float", (F.bround(number(e) * F.pow(F.lit(10.0), col(precision))).cast("double") / F.pow(F.lit(10.0), col(precision))).cast("string")).otherwise(e)
 
 
 def rule_extraction(response: Column | str, choices: Column, question_type: Column | str, answer_type: Column | str) -> Column:

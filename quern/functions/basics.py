@@ -13,6 +13,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, also where ``f`` uses it inside of another lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """White space off both ends, newlines and tabs included."""
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")

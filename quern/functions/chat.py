@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -63,6 +64,18 @@ def render(rows: Column | str, template: Template) -> Column:
     return F.concat(F.when(own, "").otherwise(head), F.array_join(F.transform(c, one), ""))
 
 
+register_template(Template("joined", "", separator=""))
+register_template(Template("tagged", "", start="<|", end="<|end|>", roles=(("system", "system|>"), ("human", "user|>"), ("gpt", "assistant|>"))))
+
+#: Encoders by template name; a name without its own is rendered by its template.
+ENCODERS: dict[str, Callable[[Column | str], Column]] = {}
+
+
+def encoder(name: str) -> Callable[[Column | str], Column]:
+    """The function that encodes conversations for a template's name; unknown names take the plain template."""
+    return ENCODERS.get(name) or (lambda rows: render(rows, TEMPLATES.get(name, TEMPLATES["plain"])))
+
+
 def mask_turn(ids: Column, learned: Column, prefix: Column | int, ignore: int = -100) -> Column:
     """Labels of a turn's ids: all ignored unless learned, then without the role prefix and the closing newline."""
     prefix = F.lit(prefix) if isinstance(prefix, int) else prefix

@@ -45,18 +45,20 @@ def tile_budget(most: Column | int, images: Column | str, whole: int | None = No
     return F.greatest(F.lit(1), F.floor(most / col(images))).cast("int")
 
 
-def frame_indices(frames: Column | str, count: Column | int, sample: str = "middle", fps: Column | float | None = None, key: Column | None = None) -> Column:
+def frame_indices(frames: Column | str, count: Column | int, sample: str = "middle", fps: Column | float | None = None, key: Column | None = None, most: int = 0) -> Column:
     """Indices of sampled frames: the middle (or, by a hash of ``key``, a random place) of equal intervals, padded with the
-    last index; or ``fpsX``, the centres of steps of 1 / X seconds at a rate of ``fps``."""
+    last index; or ``fpsX``, the centres of steps of 1 / X seconds at a rate of ``fps``, the last of which may reach past the
+    end if its centre does not, and at most ``most`` of them (0: all)."""
     n = col(frames)
     if sample.startswith("fps"):
         rate = float(sample[3:])
         step = F.lit(1 / rate)
         seconds = n / (F.lit(fps) if not isinstance(fps, Column) else fps)
         fps = F.lit(fps) if not isinstance(fps, Column) else fps
-        steps = F.floor(seconds / step).cast("int")
+        steps = F.ceil(seconds / step).cast("int")
         places = F.transform(F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0))), lambda i: F.rint((step / 2 + step * i) * fps).cast("int"))
-        return F.filter(places, lambda p: p < n)
+        inside = F.filter(places, lambda p: p < n)
+        return F.slice(inside, 1, most) if most > 0 else inside
     count = F.lit(count) if isinstance(count, int) else count
     wanted = F.least(count, n)
     edge = lambda i: F.floor(n * i / wanted).cast("int")
@@ -64,7 +66,7 @@ def frame_indices(frames: Column | str, count: Column | int, sample: str = "midd
     def place(i: Column) -> Column:
         a, b = edge(i), edge(i + 1) - 1
         if sample == "rand":
-            return a + F.pmod(F.xxhash64(key if key is not None else F.lit(0), i), F.greatest(b - a + 1, F.lit(1))).cast("int")
+            return a + F.pmod(F.xxhash64(key if key is not None else F.lit(0), i), F.greatest(b - a, F.lit(1))).cast("int")
         return F.floor((a + b) / 2).cast("int")
 
     found = F.transform(F.sequence(F.lit(0), F.greatest(wanted - 1, F.lit(0))), place)

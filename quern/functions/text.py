@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .basics import col, count_of, squeeze, strip, word_set, words
+from .basics import col, count_of, let, squeeze, strip, word_set, words
 
 # The reference's word lists.
 QUANTITY_WORDS = (
@@ -22,18 +22,23 @@ NUMBER_WORDS = (
 
 def ngrams(items: Column, n: int) -> Column:
     """Runs of ``n`` neighbours, joined by a space; none where there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.when(F.size(items) >= n, runs).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(items, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
 def sentence_repetition(text: Column | str, n: int) -> Column:
     """Distinct n-grams that occur more than once, as a share of all n-grams; 0 where there are none.
 
-    In the sorted n-grams, a value repeats where it equals its successor and differs from its predecessor.
+    One pass over the sorted n-grams: a value counts when it is met for the second time.
     """
-    grams = F.array_sort(ngrams(words(text), n))
-    again = F.size(F.filter(grams, lambda g, i: (g == F.get(grams, i + 1)) & ~F.coalesce(g == F.get(grams, i - 1), F.lit(False))))
-    return F.coalesce(F.try_divide(again.cast("double"), F.size(grams).cast("double")), F.lit(0.0))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("again"))
+
+    def step(s: Column, g: Column) -> Column:
+        run = F.when(s["last"] == g, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(g.alias("last"), run.alias("run"), (s["again"] + (run == 2).cast("int")).alias("again"))
+
+    share = lambda grams: F.aggregate(grams, start, step, lambda s: s["again"].cast("double")) / F.size(grams).cast("double")
+    return let(F.sort_array(ngrams(words(text), n)), lambda grams: F.when(F.size(grams) > 0, share(grams)).otherwise(0.0))
 
 
 def truncate_prefix(text: Column | str, share: float) -> Column:
@@ -47,9 +52,12 @@ def split_steps(text: Column | str, separator: str = "\n\n", most: int | None =
     steps = F.split(col(text), "\\Q" + separator + "\\E", -1)
     if not most:
         return steps
-    each = F.ceil(F.size(steps) / F.lit(most)).cast("int")
-    merged = F.transform(F.sequence(F.lit(0), F.size(steps) - 1, each), lambda i: F.array_join(F.slice(steps, i + 1, each), separator))
-    return F.when(F.size(steps) > most, merged).otherwise(steps)
+
+    def merged(s: Column) -> Column:
+        each = F.ceil(F.size(s) / F.lit(most)).cast("int")
+        return F.when(F.size(s) > most, F.transform(F.sequence(F.lit(0), F.size(s) - 1, each), lambda i: F.array_join(F.slice(s, i + 1, each), separator))).otherwise(s)
+
+    return let(steps, merged)
 
 
 def swap_instruction(question: Column | str, suffixes: list[str], template: str) -> Column:

@@ -69,7 +69,7 @@ def similarity(assigned: DataFrame, centroids: DataFrame, vector: str) -> float:
     """Sum of cosines between vectors and their centroids."""
     from ..functions.vectors import dot
 
-    both = assigned.join(F.broadcast(centroids), "cluster")
+    both = assigned.join(centroids, "cluster")
     return both.agg(F.coalesce(F.sum(F.try_divide(dot(vector, "centroid"), norm(vector))), F.lit(0.0))).first()[0]
 
 
@@ -116,7 +116,7 @@ def margins(asked: DataFrame, centroids: DataFrame, vector: str) -> DataFrame:
     """``asked`` with the cosine to its cluster's centroid, in whole billionths so that ties are exact."""
     from ..functions.vectors import dot
 
-    c = F.broadcast(centroids.withColumnRenamed("cluster", "q_c"))
+    c = centroids.withColumnRenamed("cluster", "q_c")
     out = asked.join(c, F.col("cluster") == F.col("q_c"))
     return out.withColumn("margin", F.coalesce(F.rint(F.try_divide(dot(vector, "centroid"), norm(vector) * norm("centroid")) * 1e9), F.lit(-2e9)).cast("long")).drop("q_c", "centroid")
 

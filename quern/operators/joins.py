@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, normalize_path
+from ..sources.writers import shared_folder
 
 
 def settled(rows: DataFrame) -> DataFrame:
@@ -15,12 +14,7 @@ def settled(rows: DataFrame) -> DataFrame:
     ends, and lost executors lose nothing. A local session that names no folder gets a temporary one."""
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     return rows.checkpoint()
 
 

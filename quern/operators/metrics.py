@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions.basics import ratio, strip, words
 from ..functions.boxes import iou, iou_pixels
+from .mixture import numbered
 
 
 def rate(ok: Column) -> Column:
@@ -77,14 +78,14 @@ def macro_f1(rows: DataFrame, category: str = "category", **names: str) -> DataF
     return binary_metrics(rows, [category], **names).agg((F.avg("f1") * 100).alias("f1"))
 
 
-def pair_key(by: list[str], order: str = "line_no") -> Column:
-    """The number of a row's pair: rows two by two in their group."""
-    return F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / 2).cast("long")
+def with_pairs(rows: DataFrame, by: list[str], order: str = "line_no") -> DataFrame:
+    """``rows`` with pair, the number of their pair: rows two by two in their group."""
+    return numbered(rows, order, name="q_rn", by=by).withColumn("pair", F.floor(F.col("q_rn") / 2).cast("long")).drop("q_rn")
 
 
 def pair_accuracy(rows: DataFrame, by: list[str], correct: str = "correct", order: str = "line_no") -> DataFrame:
     """Share of consecutive pairs that are right in both."""
-    pairs = rows.withColumn("pair", pair_key(by, order)).groupBy(*by, "pair").agg(F.min(F.col(correct).cast("int")).alias("both"))
+    pairs = with_pairs(rows, by, order).groupBy(*by, "pair").agg(F.min(F.col(correct).cast("int")).alias("both"))
     return pairs.groupBy(*by).agg(F.avg("both").alias("pair_accuracy"), F.count("*").alias("pairs"))
 
 
@@ -93,7 +94,8 @@ def yes_no_tasks(rows: DataFrame, groups: dict[str, list[str]] | None = None) ->
     pairs, and score 100 * (accuracy + pair accuracy)."""
     p = A.yes_no_other("pred")
     t = F.lower(strip("gt"))
-    rows = rows.withColumns({"p": p, "t": t}).withColumn("ok", (F.col("p") == F.col("t")).cast("int")).withColumn("pair", pair_key(["task"]))
+    rows = rows.withColumns({"p": p, "t": t}).withColumn("ok", (F.col("p") == F.col("t")).cast("int"))
+    rows = with_pairs(rows, ["task"])
     clear = F.col("p") != "other"
     yes = lambda a, b: F.count_if(clear & (F.col("p") == a) & (F.col("t") == b))
     by_pair = rows.groupBy("task", "pair").agg(F.sum("ok").alias("right"), F.count("*").alias("k"), yes("yes", "yes").alias("tp"), yes("yes", "no").alias("fp"), yes("no", "yes").alias("fn"), F.count_if(~clear).alias("other"))
@@ -178,8 +180,8 @@ def rating_summary(rows: DataFrame, rating: str = "rating", index: str = "index"
     return each.rollup("kind").agg(F.avg(rating).alias("rating"), F.avg((F.col(rating) < 3).cast("double")).alias("hallucination"), F.count("*").alias("n"))
 
 
-def mean_words(rows: DataFrame, text: str = "text") -> DataFrame:
-    return rows.agg(F.avg(F.size(words(text))).alias("mean_words"))
+def mean_words(rows: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    return rows.groupBy(*by).agg(F.avg(F.size(words(text))).alias("mean_words"))
 
 
 def bleu(rows: DataFrame, key: str = "id", pred: str = "pred", truths: str = "gts", most: int = 4) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,20 +16,30 @@ def row_number(order: str | list[str], by: list[str] | None = None) -> Column:
     return (F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1).cast("long")
 
 
-def numbered(rows: DataFrame, order: str, buckets: int = 1024, name: str = "rn") -> DataFrame:
-    """``rows`` with their rank from 0 over the whole table, by ``order``, a unique integer column.
+def numbered(rows: DataFrame, order: str, buckets: int = 1024, name: str = "rn", by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with their rank from 0 over the whole table, or in each group of ``by``, in the order of the integer column
+    ``order`` and then ``ties``; together they should be unique.
 
     A row's rank is its rank within a range of the column plus the counts of the ranges before; ranges follow approximate
-    quantiles, so no task sees all rows.
+    quantiles, so no task sees all rows, nor all of a large group.
     """
     cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 100_000).alias("q")).first().q or []
     cuts = sorted(set(cuts))
     place = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col(order))) if cuts else F.lit(0)
     placed = rows.withColumn("q_b", place)
-    sizes = placed.groupBy("q_b").agg(F.count("*").alias("q_n"))
-    before = sizes.withColumn("q_before", F.coalesce(F.sum("q_n").over(Window.orderBy("q_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("q_b", "q_before")
-    inside = placed.withColumn("q_r", F.row_number().over(Window.partitionBy("q_b").orderBy(order)))
-    return inside.join(F.broadcast(before), "q_b").withColumn(name, F.col("q_before") + F.col("q_r") - 1).drop("q_b", "q_r", "q_before")
+    sizes = placed.groupBy(*by, "q_b").agg(F.count("*").alias("q_n"))
+    earlier = Window.partitionBy(*by).orderBy("q_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, "q_b", F.coalesce(F.sum("q_n").over(earlier), F.lit(0)).alias("q_before"))
+    inside = placed.withColumn("q_r", F.row_number().over(Window.partitionBy(*by, "q_b").orderBy(order, *ties)))
+    # Without groups there is a row per range; with them, both sides lie by group and range.
+    joined = inside.join(before if by else F.broadcast(before), [*by, "q_b"])
+    return joined.withColumn(name, F.col("q_before") + F.col("q_r") - 1).drop("q_b", "q_r", "q_before")
+
+
+def _hash_ranked(rows: DataFrame, order: str, by: list[str], seed: int) -> DataFrame:
+    """``rows`` with q_rn, their rank in their group by a seeded hash."""
+    hashed = rows.withColumn("q_h", F.xxhash64(F.lit(seed), *by, order))
+    return numbered(hashed, "q_h", name="q_rn", by=by, ties=[order]).drop("q_h")
 
 
 def shard_balanced(rn: Column, total: Column, n: int) -> Column:
@@ -59,13 +69,12 @@ def repeat_rows(rows: DataFrame, factor: Column | float, order: str, by: list[st
     """Rows of each group as often as the factor says: below 1 a prefix (or, with a seed, a hash-ordered part), above 1
     whole copies. The factor may be a column that is constant in a group."""
     factor = factor if isinstance(factor, Column) else F.lit(float(factor))
-    group = Window.partitionBy(*by)
-    ordering = [F.xxhash64(F.lit(shuffle_seed), *by, order), order] if shuffle_seed is not None else [order]
-    rn, n = F.row_number().over(group.orderBy(*ordering)) - 1, F.count("*").over(group)
-    marked = rows.withColumns({"q_f": factor, "q_rn": rn, "q_n": n})
+    ranked = numbered(rows, order, name="q_rn", by=by) if shuffle_seed is None else _hash_ranked(rows, order, by, shuffle_seed)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("q_n"))
+    marked = ranked.join(sizes, by).withColumn("q_f", factor)
     copies = F.when(F.col("q_f") < 1, (F.col("q_rn") < F.floor(F.col("q_n") * F.col("q_f"))).cast("int")).otherwise(F.floor("q_f").cast("int"))
     kept = marked.withColumn("q_c", copies).where("q_c > 0")
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("q_c") - 1))).drop("q_f", "q_rn", "q_n", "q_c")
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("q_c") - 1))).select(*rows.columns, "copy")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -84,12 +93,13 @@ def weighted_quota(weights: DataFrame, total: int) -> DataFrame:
 
 
 def draw_with_replacement(rows: DataFrame, quotas: DataFrame, order: str, seed: int = 42) -> DataFrame:
-    """Each dataset's quota of rows: all as often as they fit, and the rest in hash order."""
-    group = Window.partitionBy("dataset")
-    ranked = rows.withColumns({"q_rn": F.row_number().over(group.orderBy(F.xxhash64(F.lit(seed), "dataset", order), order)) - 1, "q_n": F.count("*").over(group)})
-    with_quota = ranked.join(F.broadcast(quotas.select("dataset", "quota")), "dataset")
-    times = F.floor(F.col("quota") / F.col("q_n")) + (F.col("q_rn") < F.col("quota") % F.col("q_n")).cast("long")
-    return with_quota.withColumn("q_t", times).where("q_t > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_t") - 1))).drop("q_rn", "q_n", "q_t", "quota")
+    """Each dataset's quota of draws: a seeded hash of the draw's number picks a row, each as likely at every draw, so some
+    rows come several times and some not at all. ``order`` is a unique integer column; a dataset without rows gives none."""
+    ranked = numbered(rows, order, name="q_rn", by=["dataset"])
+    sizes = rows.groupBy("dataset").agg(F.count("*").alias("q_n"))
+    draws = quotas.select("dataset", "quota").join(sizes, "dataset").where("quota > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)))
+    picked = draws.withColumn("q_rn", F.pmod(F.xxhash64(F.lit(seed), "dataset", "draw"), F.col("q_n"))).select("dataset", "q_rn", "draw")
+    return ranked.join(picked, ["dataset", "q_rn"]).select(*rows.columns, "draw")
 
 
 def sample_rows(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -98,13 +108,42 @@ def sample_rows(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def few_shot(rows: DataFrame, pool: DataFrame, k: int, key: str, pool_key: str, text: str, seed: int = 42) -> DataFrame:
-    """``rows`` with k examples drawn by hash from ``pool``, which has a stated bound of rows."""
-    bound = pool.select(pool_key, text).limit(10_001).collect()
-    if len(bound) > 10_000:
-        raise ValueError("the pool of examples is a bounded table of 10,000 rows at most")
-    items = F.array(*(F.struct(F.lit(r[0]).alias("k"), F.lit(r[1]).alias("t")) for r in bound))
-    ordered = F.array_sort(F.transform(items, lambda x: F.struct(F.xxhash64(F.lit(seed), F.col(key), x["k"]).alias("h"), x["t"].alias("t"))))
-    return rows.withColumn("examples", F.transform(F.slice(ordered, 1, k), lambda x: x["t"]))
+    """``rows`` (of a unique ``key``) with k examples of ``pool``, or all of a smaller one: neighbours in the pool's hash order,
+    from a place that a hash of the row's key picks. ``pool_key`` is an integer column."""
+    hashed = pool.select(F.col(pool_key).alias("q_key"), F.col(text).alias("q_text")).withColumn("q_h", F.xxhash64(F.lit(seed), "q_key"))
+    ranked = numbered(hashed, "q_h", name="q_at", ties=["q_key"]).select("q_at", "q_text")
+    total = pool.count()
+    wanted = rows.withColumn("q_i", F.explode(F.sequence(F.lit(0), F.lit(min(k, total) - 1)))) if min(k, total) else rows.withColumn("q_i", F.lit(None).cast("int"))
+    placed = wanted.withColumn("q_at", F.pmod(F.xxhash64(F.lit(seed + 1), key) + F.col("q_i"), F.lit(max(total, 1))))
+    found = placed.join(ranked, "q_at", "left").groupBy(F.col(key).alias("q_row")).agg(F.array_sort(F.collect_list(F.when(F.col("q_i").isNotNull(), F.struct("q_i", "q_text")))).alias("q_list"))
+    return rows.join(found, F.col(key).eqNullSafe(F.col("q_row")), "left").select(*rows.columns, F.transform("q_list", lambda x: x["q_text"]).alias("examples"))
+
+
+def take_from_cursors(rows: DataFrame, cursors: DataFrame, line: str = "line_no") -> tuple[DataFrame, DataFrame]:
+    """The next rows of each dataset from where it stopped, beginning anew at its end: ``rows`` (dataset, numbered from 0)
+    with turn (how often the dataset was begun anew before), and the cursors to go on from.
+
+    ``cursors`` has dataset, position (null: 0) and quota. A dataset without rows gives none and keeps its cursor.
+    """
+    sizes = rows.groupBy("dataset").agg(F.count("*").alias("q_n"))
+    plan = cursors.select("dataset", F.coalesce("position", F.lit(0)).cast("long").alias("q_p"), F.col("quota").cast("long").alias("q_q")).join(sizes, "dataset", "left")
+    met = rows.join(plan, "dataset")
+    first = F.ceil((F.col("q_p") - F.col(line)) / F.col("q_n"))
+    last = F.floor((F.col("q_p") + F.col("q_q") - 1 - F.col(line)) / F.col("q_n"))
+    taken = met.where(last >= first).withColumn("turn", F.explode(F.sequence(first.cast("long"), last.cast("long")))).select(*rows.columns, "turn")
+    after = F.coalesce(F.try_mod(F.col("q_p") + F.col("q_q"), F.col("q_n")), F.col("q_p"))
+    return taken, plan.select("dataset", after.alias("position"), F.col("q_q").alias("quota"))
+
+
+def sorted_rows(rows: DataFrame, *keys: str | Column, descending: bool = False) -> DataFrame:
+    """Rows in the order of the keys, as a total order over range partitions."""
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return rows.orderBy(*(c.desc() if descending else c for c in cols))
+
+
+def first_lines(rows: DataFrame, n: int, line: str = "line_no") -> DataFrame:
+    """The first ``n`` lines of each file, by their number."""
+    return rows.where(F.col(line) < n)
 
 
 def entry_counts(rows: DataFrame) -> DataFrame:

@@ -32,18 +32,26 @@ def capped(rows: DataFrame, by: list[str], k: int, seed: int, *columns: str) ->
 
 
 def build_pairs(graded: DataFrame, k: int = 15, seed: int = 42, entailment: bool = False, rejected: str = "neg") -> DataFrame:
-    """At most ``k`` pairs of chosen and rejected responses per (image, question, answer).
+    """At most ``k`` pairs of chosen and rejected responses per (image, question, answer); fewer only where there are no more.
 
-    A rejected answer that contains the chosen one makes no pair, unless ``entailment`` allows it. A
-    key with very many responses makes many pairs, of which the adaptive skew join shares out the work before the cap.
+    A rejected answer that contains the chosen one makes no pair, unless ``entailment`` allows it. Equal responses count
+    once. Before sides meet, each keeps ``k`` responses of every distinct answer, chosen where the rows lie; then distinct
+    answers are paired, not responses, and a pair of answers gives k pairs of responses at most.
     """
-    side = lambda label, name: graded.where(F.col("label") == label).select(*KEY, F.col("response").alias(name), F.lower("answer_pred").alias(f"q_{name}"), *([F.col("meta").alias(f"{name}_meta")] if "meta" in graded.columns else []))
-    pos, neg = side("pos", "chosen"), side(rejected, "rejected")
-    both = pos.join(neg, KEY)
+    meta = ["meta"] if "meta" in graded.columns else []
+
+    def side(label: str, name: str) -> DataFrame:
+        rows = graded.where(F.col("label") == label).select(*KEY, F.lower("answer_pred").alias(f"q_{name}"), "response", *meta).dropDuplicates([*KEY, f"q_{name}", "response"])
+        few = capped(rows, [*KEY, f"q_{name}"], k, seed, "response")
+        item = F.struct(F.col("response").alias(name), *(F.col(m).alias(f"{name}_meta") for m in meta))
+        return few.groupBy(*KEY, f"q_{name}").agg(F.sort_array(F.collect_list(item)).alias(f"q_{name}s"))
+
+    both = side("pos", "chosen").join(side(rejected, "rejected"), KEY)
     if rejected == "neg" and not entailment:
         both = both.where(~F.contains("q_rejected", F.col("q_chosen")))
-    pairs = capped(both.drop("q_chosen", "q_rejected"), KEY, k, seed, "chosen", "rejected")
-    return unique_pairs(pairs)
+    crossed = F.flatten(F.transform("q_chosens", lambda c: F.transform("q_rejecteds", lambda r: F.struct(c.alias("c"), r.alias("r")))))
+    pairs = both.select(*KEY, F.explode(F.slice(crossed, 1, k)).alias("q_pair")).select(*KEY, "q_pair.c.*", "q_pair.r.*")
+    return unique_pairs(capped(pairs, KEY, k, seed, "chosen", "rejected"))
 
 
 def unique_pairs(pairs: DataFrame) -> DataFrame:

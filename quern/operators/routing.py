@@ -109,6 +109,14 @@ def partition_datasets(rows: DataFrame, features: DataFrame, model: ClusterModel
     return path_cascade(rows, assigned, "cluster", image, drop_prefix=prefix).where("cluster is not null")
 
 
+def skipped_counts(rows: DataFrame, routed: DataFrame) -> DataFrame:
+    """Rows per dataset, those that found a cluster, and those that were skipped for want of one."""
+    found = routed.groupBy("dataset").agg(F.count("*").alias("routed"))
+    out = rows.groupBy("dataset").agg(F.count("*").alias("n")).join(found, "dataset", "left")
+    out = out.withColumn("routed", F.coalesce("routed", F.lit(0).cast("long")))
+    return out.withColumn("skipped", F.col("n") - F.col("routed"))
+
+
 def route_and_write(spark: SparkSession, rows: DataFrame, root: str, out: str, line: str = "line") -> DataFrame:
     """Rows with an embedding go to the partition of their cluster under ``out``; returns the sizes."""
     routed = assigner(load_model(spark, root))(rows)

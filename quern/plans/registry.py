@@ -58,6 +58,39 @@ register(Benchmark("pope", "f1", "f1", lambda rows: metrics.macro_f1(rows.withCo
 register(Benchmark("yesno", "score", "score", lambda rows: metrics.yes_no_tasks(rows).agg(F.sum("score").alias("score"), F.count("*").alias("n")), needs_truth=False, truth="gt"))
 
 
+#: Which keys a benchmark's prediction rows keep: name in the file, and the column it comes from.
+_BY_QUESTION = {"question": "question", "question_id": "question_id", "answer": "answer"}
+_WITH_TRUTH = {"question": "question", "questionId": "question_id", "answer": "answer", "annotation": "annotation"}
+PROJECTIONS: dict[str, dict[str, str]] = {
+    **dict.fromkeys(("vqav2", "okvqa", "textvqa", "vizwiz"), _BY_QUESTION),
+    **dict.fromkeys(("docvqa", "infovqa", "gqa", "chartqa"), _WITH_TRUTH),
+    "ai2d": {"question": "question", "image": "question_id", "answer": "answer", "annotation": "annotation"},
+    "docvqa_test": {"questionId": "question_id", "answer": "answer"},
+}
+
+
+def project_predictions(name: str, rows: DataFrame) -> DataFrame:
+    """The prediction rows of a benchmark as its result file holds them."""
+    if name not in PROJECTIONS:
+        raise ValueError(f"no projection for {name}: one of {sorted(PROJECTIONS)}")
+    return rows.select(*(F.col(c).alias(shown) for shown, c in PROJECTIONS[name].items()))
+
+
+def filter_rows(rows: DataFrame, equal: dict[str, object] | None = None, between: dict[str, tuple] | None = None, ignored: dict[str, list] | None = None, starts: dict[str, str] | None = None, ends: dict[str, str] | None = None) -> DataFrame:
+    """Rows that meet all conditions: equal values, inclusive ranges, values outside a list, prefixes and suffixes."""
+    for c, v in (equal or {}).items():
+        rows = rows.where(F.col(c) == F.lit(v))
+    for c, (low, high) in (between or {}).items():
+        rows = rows.where(F.col(c).between(low, high))
+    for c, values in (ignored or {}).items():
+        rows = rows.where(~F.col(c).isin(*values)) if values else rows
+    for c, v in (starts or {}).items():
+        rows = rows.where(F.startswith(c, F.lit(v)))
+    for c, v in (ends or {}).items():
+        rows = rows.where(F.endswith(c, F.lit(v)))
+    return rows
+
+
 def combine(parts: list[DataFrame]) -> DataFrame:
     """Any number of result files as one table."""
     out = parts[0]

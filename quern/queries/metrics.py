@@ -115,7 +115,7 @@ _LEN = "length(coalesce(text, ''))"
 
 
 @query("""WITH d AS (SELECT doc_id AS k, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS p FROM documents),
-e AS (SELECT a.k, a.p, b.p AS t FROM d a JOIN d b ON b.k = a.k - 1 WHERE a.lang = 'en'),
+e AS (SELECT a.k, a.p, b.p AS t FROM d a JOIN d b ON b.k = a.k - 1 ),
 a AS (SELECT k, n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i + n - 1], ' '))) AS g FROM e CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(p) >= n),
 b AS (SELECT k, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS g FROM e CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(t) >= n),
 ca AS (SELECT k, n, g, count(*) AS c FROM a GROUP BY ALL), cb AS (SELECT k, n, g, count(*) AS c FROM b GROUP BY ALL),
@@ -123,10 +123,10 @@ h AS (SELECT ca.n, sum(least(ca.c, coalesce(cb.c, 0))) AS hit, sum(ca.c) AS tota
 l AS (SELECT sum(len(p)) AS c, sum(len(t)) AS r FROM e), x AS (SELECT count(*) FILTER (hit > 0) AS o, avg(ln(hit / total)) FILTER (hit > 0) AS m FROM h)
 SELECT round(coalesce(CASE WHEN o = 4 THEN CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END * exp(m) END, 0), 6) AS bleu, c::BIGINT AS pred_words, r::BIGINT AS truth_words FROM x, l""")
 def bleu4(t):
-    """Each English document against the one with the id before it."""
+    """Each document against the one with the id before it."""
     docs = t("documents")
     before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
-    rows = docs.where("lang = 'en'").select("doc_id", "text").join(before, "doc_id")
+    rows = docs.select("doc_id", "text").join(before, "doc_id")
     out = metrics.bleu(rows.select(F.col("doc_id").alias("id"), F.col("text").alias("pred"), F.array("before").alias("gts")))
     return out.withColumn("bleu", F.round("bleu", 6))
 
@@ -139,9 +139,7 @@ def grouped_macro(t):
 
 @query("""SELECT source, round(avg(CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END), 6) AS mean_words FROM documents GROUP BY source""")
 def mean_words(t):
-    from ..functions.basics import words
-
-    return t("documents").groupBy("source").agg(F.round(F.avg(F.size(words("text"))), 6).alias("mean_words"))
+    return metrics.mean_words(t("documents"), by=("source",)).withColumn("mean_words", F.round("mean_words", 6))
 
 
 @query("""SELECT d.doc_id, l.quality AS label FROM documents d JOIN labels l USING (doc_id)""")

@@ -96,7 +96,7 @@ def question_profile(t):
 
 def _normal_sql(c: str) -> str:
     """The normaliser for DuckDB, whose patterns have no look-ahead."""
-    from ..functions.answers import ARTICLES, NUMBERS, PUNCTUATION, _contraction_map
+    from ..functions.answers import ARTICLES, CONTRACTIONS, NUMBERS, PUNCTUATION
 
     q = lambda x: "'" + x.replace("'", "''") + "'"
     out = "g"
@@ -108,7 +108,7 @@ def _normal_sql(c: str) -> str:
     return f"""a AS (SELECT *, trim(regexp_replace(trim(replace(replace(replace(lower({c}), ',', ''), '?', ''), '''s', ' ''s'), ' ' || chr(9) || chr(10) || chr(13)), '[\\n\\t]', ' ', 'g')) AS g FROM given),
 b AS (SELECT *, string_split(trim(regexp_replace({dots}, '\\s+', ' ', 'g')), ' ') AS w FROM a),
 n AS (SELECT *, list_filter(list_transform(w, lambda x: coalesce(({pairs(NUMBERS)})[x], x)), lambda x: NOT list_contains({_listed(ARTICLES)}, x)) AS w2 FROM b),
-normal AS (SELECT *, array_to_string(list_transform(w2, lambda x: coalesce(({pairs(_contraction_map())})[x], x)), ' ') AS normal FROM n)"""
+normal AS (SELECT *, array_to_string(list_transform(w2, lambda x: coalesce(({pairs(CONTRACTIONS)})[x], x)), ' ') AS normal FROM n)"""
 
 
 _NORMAL = _normal_sql("text")

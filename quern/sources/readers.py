@@ -10,11 +10,20 @@ from pyspark.sql.types import StructType
 def numbered_lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """Lines of text files: file, line_no (from 0 within its file, in order) and line.
 
-    Spark numbers rows by partition, and a file's splits are partitions in order, so the numbers are ranks within a file.
+    Spark numbers rows by partition, and a file's splits are in order. A line's number is its rank in its split plus the
+    lines of the splits before, so that no task sees a whole file.
     """
     lines = spark.read.options(**options).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    order = Window.partitionBy("file").orderBy("at", "id")
-    return lines.select("file", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")
+    return _numbered_in_splits(lines, ["file"], "at", "id", "line_no").select("file", "line_no", "line")
+
+
+def _numbered_in_splits(rows: DataFrame, by: list[str], split: str, order: str, name: str) -> DataFrame:
+    """``rows`` with their rank from 0 in their group, by the split and the order in it."""
+    sizes = rows.groupBy(*by, split).agg(F.count("*").alias("q_n"))
+    before = F.coalesce(F.sum("q_n").over(Window.partitionBy(*by).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = rows.withColumn("q_r", F.row_number().over(Window.partitionBy(*by, split).orderBy(order)))
+    joined = inside.join(sizes.select(*by, split, before.alias("q_before")), [*by, split])
+    return joined.withColumn(name, (F.col("q_before") + F.col("q_r") - 1).cast("long")).drop("q_r", "q_before")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str, keep_raw: bool = False) -> DataFrame:
@@ -110,6 +119,9 @@ def option_columns(table: DataFrame, letters: str = "ABCDE") -> DataFrame:
     return table.withColumn("options", F.map_filter(pairs, lambda k, v: v.isNotNull()))
 
 
+#: Neighbouring lines that one task numbers.
+NUMBERED_TOGETHER = 1 << 20
+
 MANIFEST_ENTRY = "root string, annotation string, data_augment boolean, max_dynamic_patch int, repeat_time double, length bigint"
 
 
@@ -122,5 +134,6 @@ def drop_system_turn(rows: DataFrame) -> DataFrame:
     """Conversation rows without a leading system turn, renumbered from 0 within their file, in order of line_no."""
     c = F.col("conversations")
     cut = F.when(F.get(c, F.lit(0))["from"] == "system", F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))).otherwise(c)
-    by = Window.partitionBy(*(["file"] if "file" in rows.columns else [])).orderBy("line_no")
-    return rows.withColumn("conversations", cut).withColumn("id", (F.row_number().over(by) - 1).cast("long"))
+    by = ["file"] if "file" in rows.columns else []
+    parts = rows.withColumns({"conversations": cut, "q_split": F.floor(F.col("line_no") / NUMBERED_TOGETHER), "q_all": F.lit(0)})
+    return _numbered_in_splits(parts, [*by, "q_all"], "q_split", "line_no", "id").drop("q_split", "q_all")

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local session that names none gets a
+    temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def write_partitions(rows: DataFrame, path: str, keys: list[str], line: str = "line", mode: str = "errorifexists") -> None:
-    """The lines as they were, in a folder per key. Rows of a large key stay in several files; small keys share a task."""
-    rows.select(*keys, line).repartition(*keys).write.mode(mode).partitionBy(*keys).text(path)
+    """The lines as they were, in a folder per key. Adaptive execution splits the partition of a large key, which gets
+    several files, and lets small keys share a task."""
+    rows.select(*keys, line).hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).text(path)
 
 
 def write_results(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -36,7 +51,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_manifest(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A mixture manifest (a row per dataset) as one JSON object."""
+    """A mixture manifest as one JSON object. It has a row per dataset, so its size does not follow the data."""
     fields = [c for c in entries.columns if c != "dataset"]
     pair = F.struct("dataset", F.struct(*fields))
     entries.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(pair)))).alias("value")).write.mode(mode).text(path)

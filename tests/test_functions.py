@@ -128,3 +128,29 @@ def test_udfs(spark):
     udfs.register_step_expander(spark)
     spark.createDataFrame([("a\n\nb\n\nc",)], "t string").createOrReplaceTempView("q_steps")
     assert [r.step for r in spark.sql("SELECT s.* FROM q_steps, LATERAL split_steps(t, 2) s ORDER BY 1").collect()] == ["a\n\nb", "c"]
+
+
+def test_repetition_of_long_texts_is_one_pass(spark):
+    import time
+    from collections import Counter
+
+    words = [f"w{(i * 7919) % 3001}" for i in range(20_000)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None), (4, "a b"), (5, "a b c a b c a b c")], "i int, t string")
+    began = time.time()
+    got = {r.i: r.x for r in rows.select("i", T.sentence_repetition("t", 3).alias("x")).collect()}
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    assert abs(got[1] - sum(n > 1 for n in grams.values()) / sum(grams.values())) < 1e-12
+    assert got[4] == 0 and got[2] == 0 and abs(got[5] - 3 / 7) < 1e-12
+    assert time.time() - began < 60
+
+
+def test_contractions_by_word(spark):
+    pairs = {"im here": "im here", "Im": "im", "she's": "she 's", "dont": "don't", "yall'll": "y'all'll", "somebodyll": "somebody'll", "theyve two cats": "they've 2 cats", "let's go": "let 's go", "ow's'at": "ow 's'at"}
+    rows = spark.createDataFrame(list(pairs.items()), "a string, b string")
+    bad = [(r.a, r.x, r.b) for r in rows.select("a", "b", A.normalize_answer("a").alias("x")).collect() if r.x != r.b]
+    assert not bad, bad
+
+
+def test_frames_by_rate_keep_a_last_centre_inside(spark):
+    row = spark.range(1).select(media.frame_indices(F.lit(27), 0, "fps1", fps=10.0).alias("a"), media.frame_indices(F.lit(27), 0, "fps1", fps=10.0, most=2).alias("b"), media.frame_indices(F.lit(24), 0, "fps1", fps=10.0).alias("c")).first()
+    assert (row.a, row.b, row.c) == ([5, 15, 25], [5, 15], [5, 15])

@@ -83,10 +83,23 @@ def test_mixture(spark):
     assert mixture.repeat_rows(five, 0.5, "line_no", ["dataset"]).count() == 2 and mixture.repeat_rows(five, 3.0, "line_no", ["dataset"]).count() == 15
     quota = spark.createDataFrame([("d", 23)], "dataset string, quota long")
     drawn = mixture.draw_with_replacement(rows, quota, "line_no")
-    assert drawn.count() == 23 and {r["count"] for r in drawn.groupBy("line_no").count().collect()} == {2, 3}
+    times = {r.line_no: r["count"] for r in drawn.groupBy("line_no").count().collect()}
+    assert sum(times.values()) == 23 and max(times.values()) > 3 and set(times) <= set(range(10))
+    assert mixture.draw_with_replacement(rows.limit(0), quota, "line_no").count() == 0
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, mixture.draw_with_replacement(rows.repartition(3), quota, "line_no").collect()))
+    groups = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(7)], "g string, i long")
+    ranks = mixture.numbered(groups.where("g is not null"), "i", 3, by=["g"]).collect()
+    assert all(r.rn == r.i for r in ranks) and len(ranks) == 14
+    cursors = spark.createDataFrame([("d", 8, 15), ("none", 2, 5)], "dataset string, position long, quota long")
+    taken, after = mixture.take_from_cursors(rows, cursors)
+    assert [(r.line_no, r.turn) for r in taken.orderBy("turn", "line_no").collect()] == [(8, 0), (9, 0)] + [(i, 1) for i in range(10)] + [(0, 2), (1, 2), (2, 2)]
+    assert {r.dataset: r.position for r in after.collect()} == {"d": 3, "none": 2}
     manifest = spark.createDataFrame([("d", "x", 0.5)], "dataset string, annotation string, repeat_time double")
     assert mixture.build_mixture(lambda _: rows.drop("dataset"), manifest).count() == 5
-    assert mixture.few_shot(five, spark.createDataFrame([(i, f"e{i}") for i in range(6)], "k int, t string"), 2, "line_no", "k", "t").where("size(examples) = 2").count() == 5
+    pool = spark.createDataFrame([(i, f"e{i}") for i in range(6)], "k int, t string")
+    assert mixture.few_shot(five, pool, 2, "line_no", "k", "t").where("size(array_distinct(examples)) = 2").count() == 5
+    assert mixture.few_shot(five, pool, 9, "line_no", "k", "t").where("size(array_distinct(examples)) = 6").count() == 5
+    assert mixture.few_shot(five, pool.limit(0), 2, "line_no", "k", "t").where("size(examples) = 0").count() == 5
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +127,26 @@ def test_preference(spark, graded):
     assert [(r.num_correct, r.num_total) for r in preference.step_scores(rolls, ["id"]).orderBy("step").collect()] == [(1, 2), (0, 1), (0, 0)]
 
 
+def test_pairs_are_capped_only_where_there_are_more(spark):
+    """Against all pairs of distinct responses, with answers that hold the right one, and copies."""
+    rows = []
+    for key in range(6):
+        for i in range(key * 4):
+            label, answer = ("pos", "5") if i % 3 == 0 else ("neg", ("15", "7", "8", "9")[i % 4])
+            rows.append((f"i{key}", "q", "5", answer, f"r{key}-{i % 9}-{answer}", label))
+    graded = spark.createDataFrame(rows, "image string, question string, answer string, answer_pred string, response string, label string")
+    got = {}
+    for p in preference.build_pairs(graded, k=5).collect():
+        got.setdefault(p.image, set()).add((p.chosen, p.rejected))
+    want = {}
+    for i, _, _, a, r, la in rows:
+        for j, _, _, b, s, lb in rows:
+            if i == j and la == "pos" and lb == "neg" and a not in b:
+                want.setdefault(i, set()).add((r, s))
+    assert set(got) == set(want)
+    assert all(got[i] <= want[i] and len(got[i]) == min(5, len(want[i])) for i in want)
+
+
 def test_registered_packing_holds_all_tokens_of_long_documents(spark, tmp_path):
     from quern.queries import packing as registered
     from quern.queries.registry import QUERIES
