@@ -13,15 +13,16 @@ SF = "/root/testdata/sf0.01"
 
 
 def brute(rows, k=10, every=1):
-    v = {}
+    """Every row but those of the query's own id is a candidate; equal rows of an id ask once."""
+    v = []
     for i, e in rows:
         if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            x = [int(np.floor(1024 * float(np.float32(y)))) for y in e]
-            v[i] = min(v.get(i, x), x)
+            v.append((i, tuple(int(np.floor(1024 * float(np.float32(y)))) for y in e)))
     out = []
-    for q in v:
+    for q, x in set(v):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q and len(v[c]) == len(v[q]))[:k]
+            score = lambda y: max(min(sum(a * b for a, b in zip(x, y, strict=True)), 2**63 - 1), -(2**63))  # noqa: E731, B023
+            best = sorted((-score(y), c) for c, y in v if c != q and len(y) == len(x))[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     return sorted(out)
 
@@ -30,7 +31,7 @@ def test_search_matches_brute_force(spark):
     r = np.random.default_rng(4)
     rows = [(i, r.normal(0, 1, 6).astype(np.float32).tolist()) for i in range(700)]
     rows += [(i, [0.5] * 6) for i in range(700, 1100)] + [(1200, None), (1201, [1.0] * 5 + [None]), (1202, [float("nan")] * 6), (1203, [float("inf")] * 6), (None, [1.0] * 6), (1300, [0.0] * 6), (1400, [1.0, 2.0]), (5, rows[6][1]), (1500, [])]
-    table = spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<float>, score string")
+    table = spark.createDataFrame([(i, e, "x", 1) for i, e in rows], "vec_id long, embedding array<float>, score string, key int")
     got = sorted(map(tuple, topk_search.search(table, every=100).collect()))
     assert got == brute(rows, every=100)
     assert topk_search.search(table.limit(0)).count() == 0
@@ -38,6 +39,26 @@ def test_search_matches_brute_force(spark):
     assert topk_search.search(few).groupBy("query_id").count().where("count = 2").count() == 3
 
 
+def test_search_keeps_large_components_and_repeated_ids(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, r.normal(0, 1, 3).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(301, [2e12, 0.0, 1.0]), (302, [-3e12, 5.0, 0.25]), (303, [1e30, -1e30, 1.0]), (400, [4e12, 1.0, 1.0]), (3, [1.0, 1.0, 1.0]), (3, [9.0, 1.0, 1.0]), (100, [2.0, 0.0, 0.0]), (200, rows[200][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk_search.search(table, every=100).collect()))
+    assert got == brute(rows, every=100)
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 1.0]), (3, [9.0, 1.0]), (4, [2e12, 0.0])], "vec_id long, embedding array<double>")
+    assert [(x.vec_id, x.score) for x in topk_search.search(two).orderBy("rank").collect()] == [(4, 1024 * 1024 * 2 * 10**12), (3, 9 * 1024 * 1024), (3, 1024 * 1024)]
+
+
+def test_search_passes_over_pages_of_clustered_vectors(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(0, 10, (40, 16))
+    rows = [(i, (centres[i % 40] + r.normal(0, 0.3, 16)).tolist()) for i in range(12_000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    parts, pages = topk_search.visited(table)
+    assert parts < 1 and pages < 0.1, (parts, pages)
+
+
 def test_network_gradients_match_differences():
     net = toxicity.Network(seed=1)
     for k in net.p:
