@@ -3,7 +3,8 @@
 A declarative template gives each role its opening and closing mark and says whether its text is learned. The machine's
 state is the role of the turn before; a table of allowed steps says whether a turn is in order. Each turn becomes three
 segments (opening mark, text, closing mark), of which only the text of a learned role carries the loss flag. Control
-strings inside texts and roles are escaped by a backslash after their first character, which reads back without loss.
+strings inside texts and roles are escaped by a backslash after their first character, which reads back without loss. The
+segments of a conversation become one text with spans of what is learned; it is read back by its marks alone.
 
 Defined results: null text and null role are empty strings; a role without an own rule is formatted like any other, not
 learned, and never in order. Turns are ordered by turn (null first), then role, then text, so repeated turns all stay.
@@ -92,15 +93,38 @@ def read_back(formatted: DataFrame, template: ChatTemplate | None = None) -> Dat
     )
 
 
-def conversation_digests(formatted: DataFrame, template: ChatTemplate | None = None, conv_col: str = "conv_id") -> DataFrame:
-    """Per conversation, from the formatted turns: n_turns, digests of all text and of the learned text, and lengths."""
-    each = read_back(formatted, template)
-    grouped = each.groupBy(conv_col).agg(
-        F.count("*").cast("long").alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("step", "role", "text", "learned"))).alias("turns"),
-        F.sum("chars").alias("formatted_chars"),
-        F.bool_and("in_order").alias("in_order"),
+def join_conversations(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """One row per conversation of formatted turns: formatted (one text), spans (start and size in it of what is learned, in
+    characters from 0) and in_order."""
+    turns = formatted.groupBy(conv_col).agg(F.sort_array(F.collect_list(F.struct("step", "segments"))).alias("turns"), F.bool_and("in_order").alias("in_order"))
+    rows = turns.select(conv_col, "in_order", F.flatten(F.transform("turns", lambda x: x["segments"])).alias("segments"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, size: int>>").alias("spans"))
+
+    def step(s: Column, x: Column) -> Column:
+        size = F.char_length(x["text"])
+        here = F.array(F.struct(s["at"].alias("start"), size.alias("size")))
+        return F.struct((s["at"] + size).alias("at"), F.when(x["loss"], F.concat(s["spans"], here)).otherwise(s["spans"]).alias("spans"))
+
+    return rows.select(conv_col, "in_order", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), F.aggregate("segments", start, step)["spans"].alias("spans"))
+
+
+def parse_conversations(joined: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
+    """``joined`` with roles, texts (found by the marks of the template alone) and learned (what the spans cover), unescaped."""
+    t = template or ChatTemplate()
+    # Texts and roles hold no mark as it is, so the next closing mark ends the turn.
+    shape = f"(?s){re.escape(t.opening[0])}(.*?){re.escape(t.opening[1])}(.*?){re.escape(t.closing)}"
+    found = lambda group: F.regexp_extract_all("formatted", F.lit(shape), F.lit(group))
+    return joined.select(
+        *joined.columns,
+        F.transform(found(1), lambda x: _unflat(unescape(x, t))).alias("roles"),
+        F.transform(found(2), lambda x: unescape(x, t)).alias("texts"),
+        F.transform("spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["size"]), t)).alias("learned"),
     )
-    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform("turns", lambda x: x["learned"]), "")
-    return grouped.select(conv_col, "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars", "in_order")
+
+
+def conversation_digests(formatted: DataFrame, template: ChatTemplate | None = None, conv_col: str = "conv_id") -> DataFrame:
+    """Per conversation, read back from its formatted text: n_turns, digests of all text and of the learned text, and lengths."""
+    each = parse_conversations(join_conversations(formatted, conv_col), template)
+    said = F.array_join(F.zip_with("roles", "texts", lambda r, x: F.concat(r, F.lit("\n"), x, F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return each.select(conv_col, F.size("texts").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "in_order")

@@ -213,6 +213,10 @@ def test_chat_format_reads_back_whatever_it_holds(spark):
     learned = "".join((t or "") for i, t in enumerate(said) if i % 2)
     assert (got[1].n_turns, got[1].turns_sha256) == (8, hashlib.sha256(whole.encode()).hexdigest())
     assert (got[1].loss_chars, got[1].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    joined = {x.conv_id: x for x in chat_format.parse_conversations(chat_format.join_conversations(formatted)).collect()}
+    assert joined[1].texts == [t or "" for t in said] and joined[1].roles == ["user", "assistant"] * 4
+    assert joined[2].roles == ["system", "user", "tool\n<s>\\n"] and joined[1].learned == [t or "" for t in said[1::2]]
+    assert got[1].formatted_chars == len(joined[1].formatted)
     assert got[1].in_order and not got[2].in_order and not got[None].in_order and got[4].n_turns == 2
     marks = [s for x in formatted.where("conv_id = 1").collect() for s in x.segments]
     assert all(c not in s.text for s in marks[1::3] for c in chat_format.ChatTemplate().control)
