@@ -173,16 +173,17 @@ class Network:
         dx = np.concatenate([self._back_pass("f", ds[..., :h], k["f"], mask, g), self._back_pass("b", ds[..., h:], k["b"], mask, g)], axis=2)
         return g, dx
 
-    def fit(self, docs: list[list[list[bytes]]], labels: list[int], seed: int = 7, later: bool = False) -> Network:
-        """Train on documents, each a list of windows of words. ``later``: go on from what was learned before."""
-        vocabulary = list(dict.fromkeys(w for d in docs for part in d for w in part)) or [b"?"]
-        place = {w: i + 1 for i, w in enumerate(vocabulary)}
-        rows, grams, starts = word_keys(vocabulary)
-        bounds = np.append(starts, len(grams))
+    def fit(self, docs: list[list[bytes]], labels: list[int], seed: int = 7, later: bool = False) -> Network:
+        """Train on documents, each a list of windows of words between spaces. ``later``: go on from what was learned before."""
+        place: dict[bytes, int] = {}
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         windows = np.zeros((len(owner), WINDOW), np.int32)
         for at, part in enumerate(part for d in docs for part in d):
-            windows[at, : len(part)] = [place[w] for w in part]
+            words = part.split()
+            windows[at, : len(words)] = [place.setdefault(w, len(place) + 1) for w in words]
+        vocabulary = list(place) or [b"?"]
+        rows, grams, starts = word_keys(vocabulary)
+        bounds = np.append(starts, len(grams))
         y = np.array(labels, np.float32)
         first = np.searchsorted(owner, np.arange(len(docs) + 1))
         r, moments, step = np.random.default_rng(seed), {}, 0
@@ -206,7 +207,7 @@ class Network:
 
     def _logits(self, vocabulary: list[bytes], windows: np.ndarray) -> np.ndarray:
         table = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), self.project(self.features(vocabulary))])
-        return np.concatenate([self.forward(table[w], w > 0) for w in np.array_split(windows, max(1, len(windows) // 2048))])
+        return np.concatenate([self.forward(table[w], w > 0) for w in np.array_split(windows, max(1, len(windows) // 1024))])
 
     def _step(self, windows: np.ndarray, y: np.ndarray, weight: np.ndarray, rows: np.ndarray, grams: np.ndarray, bounds: np.ndarray, moments: dict, step: int, r: np.random.Generator, rate: float) -> None:
         words, at = np.unique(windows, return_inverse=True)
@@ -315,9 +316,9 @@ class Scorer:
         return np.concatenate(out)
 
 
-def sample_windows(docs: DataFrame, id_col: str, text_col: str, network: Network | None = None, most: int = WINDOWS) -> dict[int, tuple[int, list[list[bytes]], bool]]:
-    """Windows of the documents of ``docs`` (a bounded sample with a label in q_y), by document and text: label, windows, and
-    whether these are all. At most ``most`` of a document: those that ``network`` scores highest, or evenly spaced ones."""
+def sample_windows(docs: DataFrame, id_col: str, text_col: str, network: Network | None = None, most: int = WINDOWS) -> list[tuple[int, list[bytes], bool]]:
+    """Windows of the documents of ``docs`` (a bounded sample with a label in q_y), by document and text: label, windows (words
+    between spaces), and whether these are all. At most ``most`` of a document: those that ``network`` scores highest, or evenly spaced ones."""
     held = docs.sparkSession.sparkContext.broadcast(network)
 
     @tidy
@@ -340,7 +341,7 @@ def sample_windows(docs: DataFrame, id_col: str, text_col: str, network: Network
     typed = docs.select(F.col(id_col).cast("long"), "q_y", F.coalesce(F.col(text_col), F.lit("")))
     found = typed.mapInArrow(run, "q_id long, q_y int, windows array<binary>, whole boolean").collect()
     texts = sorted({(r.q_id, r.q_y, tuple(map(bytes, r.windows)), r.whole) for r in found if r.windows})
-    return {i: (y, [w.split() for w in windows], whole) for i, (_, y, windows, whole) in enumerate(texts)}
+    return [(y, list(windows), whole) for _, y, windows, whole in texts]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Network | None:
@@ -355,13 +356,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = docs.select(id_col, text_col).join(F.broadcast(few), F.col(id_col) == F.col("q_id"))
     windows = sample_windows(sample, id_col, text_col)
     # Evenly spaced windows may miss what a document is labelled toxic for, so long ones wait for a network if they can.
-    whole = [v for v in windows.values() if v[2]]
-    begin = whole if {y for y, *_ in whole} == {0, 1} else list(windows.values())
+    whole = [v for v in windows if v[2]]
+    begin = whole if {y for y, *_ in whole} == {0, 1} else windows
     if {y for y, *_ in begin} != {0, 1}:
         return None
     network = Network().fit([w for _, w, _ in begin], [y for y, *_ in begin])
     if len(whole) < len(windows):
-        mined = sample_windows(sample, id_col, text_col, network).values()
+        windows = whole = begin = None  # the sample is held once
+        mined = sample_windows(sample, id_col, text_col, network)
         network.fit([w for _, w, _ in mined], [y for y, *_ in mined], later=True)
     return network
 

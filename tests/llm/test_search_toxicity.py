@@ -123,7 +123,7 @@ def test_long_documents_train_too(spark):
     table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     windows = toxicity.sample_windows(table.withColumn("q_y", F.lit(1)), "doc_id", "text")
-    assert sum(not whole for _, _, whole in windows.values()) == 20 and max(len(w) for _, w, _ in windows.values()) == toxicity.WINDOWS
+    assert sum(not whole for _, _, whole in windows) == 20 and max(len(w) for _, w, _ in windows) == toxicity.WINDOWS
     assert toxicity.train(table, labels) is not None
 
 
