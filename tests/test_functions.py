@@ -137,7 +137,7 @@ def test_repetition_of_long_texts_is_one_pass(spark):
     words = [f"w{(i * 7919) % 3001}" for i in range(20_000)]
     rows = spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None), (4, "a b"), (5, "a b c a b c a b c")], "i int, t string")
     began = time.time()
-    got = {r.i: r.x for r in rows.select("i", T.sentence_repetition("t", 3).alias("x")).collect()}
+    got = {r.i: r.x for r in rows.select("i", text.sentence_repetition("t", 3).alias("x")).collect()}
     grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
     assert abs(got[1] - sum(n > 1 for n in grams.values()) / sum(grams.values())) < 1e-12
     assert got[4] == 0 and got[2] == 0 and abs(got[5] - 3 / 7) < 1e-12
