@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +77,7 @@ class WordTokenizer:
     """Ids of whole texts from a tokenizer whose pre-tokens never span a space or newline.
 
     Words between spaces and newlines are encoded once and remembered, in bounded number; when that is full, further
-    words are remembered for one call only. Words of letters are encoded many at a time, as each is one pre-token and its
+    words are forgotten again after their texts. Words of letters are encoded many at a time, as each is one pre-token and its
     last id ends a word.
     """
 
@@ -115,13 +114,16 @@ class WordTokenizer:
         return self._letters(list(letters)) | self._single([w for w in new if w not in letters])
 
     def _joined(self, split: list[list[str]]) -> Iterator[bytes]:
-        new = set().union(*split).difference(self.known)
-        found, here = self._encode(new), self.known
-        if len(here) + len(found) <= REMEMBERED:
-            here |= {w: x for w, x in found.items() if len(w) <= REMEMBERED_CHARS}
-        here = ChainMap(found, here)
+        known = self.known
+        found = self._encode(set().union(*split).difference(known))
+        full = len(known) + len(found) > REMEMBERED
+        known |= found
+        of = known.__getitem__
         for words in split:
-            yield b"".join(map(here.__getitem__, words))
+            yield b"".join(map(of, words))
+        for w in found:
+            if full or len(w) > REMEMBERED_CHARS:
+                del known[w]
 
     def ids(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         """The ids of each text with ``end`` after them. A long text is encoded in blocks."""
