@@ -7,7 +7,7 @@ before the full shingle sets are compared exactly. Bands of eight keep texts tha
 similarity of 0.3, one pair in 350 becomes a candidate.
 
 Copies never form pairs: equal word sequences are one class, a node named by the hash of its words. In a bucket, each node
-is first compared with the bucket's least; what that links is joined into components. In buckets that still hold several
+is first compared with that of the bucket's smallest document; what that links is joined into components. In buckets that still hold several
 components, pairs across them are found by the rarest shingles, without loss, and compared. Were the minima independent, two
 texts at the threshold would miss each other in every band with a chance below 1e-6: (1 - 0.85**8)**44 at 85 percent,
 (1 - 0.80**8)**76 at 80. Tests measure it.
@@ -294,12 +294,13 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     first = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc", "sig", "bands")).alias("m"))
     # Links are between nodes, told apart by k1; two of 10**9 classes share one with a chance of 3 percent.
     reps = scratch.put(first.select(F.col("k1").alias("node"), "k2", F.col("m.doc").alias("rep"), "m.sig", "m.bands"), "classes")
-    members = reps.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.put(members.join(shared.select("band", "leader"), "band"), "buckets")
+    members = reps.select("node", "rep", F.explode("bands").alias("band"))
+    # The smallest document leads: copies are mostly nearer to it than to each other.
+    shared = members.groupBy("band").agg(F.min(F.struct("rep", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.put(members.join(shared.select("band", F.col("first.node").alias("leader")), "band").select("band", "node", "leader"), "buckets")
     nodes = scratch.put(reps.select("node", "k2", "rep").join(buckets.select("node").distinct(), "node", "left_semi"), "nodes")
     sets = scratch.put(shingle_sets(docs, nodes, id_col, text_col), "sets")
-    star = buckets.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    star = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.put(confirmed(likely(star, reps, bands), sets, percent), "links")
     found = scratch.put(components(links, scratch), "components")
     # What no leader has linked: nodes of buckets that hold several components.
