@@ -32,15 +32,12 @@ class Buffers:
     open: list[tuple[int, int, list]] = field(default_factory=list)
 
     def _choice(self, tokens: int, images: int) -> int | None:
-        over = None
-        for i, (t, m, _) in enumerate(self.open):
-            if m + images > self.limits.images:
-                continue
-            if t + tokens <= self.limits.tokens:
-                return i
-            if self.limits.overflow and len(self.open) >= self.limits.buffers // 2:
-                over = i
-        return over
+        """The first pack with room for both; where there is none and half of the buffers are open, overflow takes the last
+        with room for the images."""
+        room = [i for i, (_, m, _) in enumerate(self.open) if m + images <= self.limits.images]
+        whole = [i for i in room if self.open[i][0] + tokens <= self.limits.tokens]
+        crowded = self.limits.overflow and len(self.open) >= self.limits.buffers // 2
+        return min(whole, default=max(room, default=None) if crowded else None)
 
     def add(self, sample, tokens: int, images: int) -> list[tuple[int, int, list]]:
         """Packs that are ready once a sample has come in. A pack over the token limit is ready too; cut it later."""

@@ -36,11 +36,11 @@ def judge_parse(t):
     return rows.select("event_id", F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(1)).alias("second"), "rating")
 
 
-@query("""WITH a AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL),
+@query("""WITH a AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents),
 l AS (SELECT source, line, min(doc_id) AS label FROM a WHERE doc_id % 2 = 0 GROUP BY ALL)
 SELECT a.doc_id, l.label FROM a JOIN l USING (source, line)""")
 def label_join(t):
-    docs = t("documents").where("text is not null").select("doc_id", F.col("source").alias("image"), "text")
+    docs = t("documents").select("doc_id", F.col("source").alias("image"), "text")
     line = F.substring_index("text", "\n", 1)
     labels = docs.where("doc_id % 2 = 0").groupBy("image", line.alias("text")).agg(F.min("doc_id").alias("label"))
     return joins.label_join(docs, labels).select("doc_id", "label")

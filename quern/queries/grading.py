@@ -74,7 +74,7 @@ def option_letter(t):
     return t("part").select("p_partkey", A.option_letter(pred, F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.array("p_brand", "p_type", "p_name")).alias("letter"))
 
 
-@query()
+@query("SELECT p_partkey, chr((65 + p_partkey % 3)::INTEGER) AS letter FROM part")
 def option_parse(t):
     """Letters out of whole sentences, by the last mention."""
     said = F.concat(F.lit("I think (A) is near but ("), F.char((F.col("p_partkey") % 3 + 65).cast("int")), F.lit(") is right: "), "p_name")

@@ -72,7 +72,7 @@ def spherical_kmeans(t):
     return routing.cluster_sizes(c.assignments, 8)
 
 
-@query()
+@query("""SELECT c::INTEGER AS cluster, (n // 4 + (c < n % 4)::INTEGER)::BIGINT AS n, 100.0::DOUBLE * (n // 4 + (c < n % 4)::INTEGER) / n AS percent FROM (SELECT count(*) AS n FROM embeddings) CROSS JOIN range(4) r(c)""")
 def balanced_kmeans(t):
     c = clustering.balanced_kmeans(t("embeddings"), 4, iterations=2)
     return routing.cluster_sizes(c.assignments, 4)
