@@ -25,6 +25,7 @@ beyond a long counts as the largest or smallest long, and 1024 times a component
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from .common import Scratch, partitions, slices, tidy
 
 SCALE, K = 1024, 10
 #: Pivots, and rows that they are chosen from; vectors of a page, of a subtree built at once, and of a part.
-PIVOTS, SAMPLE, PAGE_ROWS, CHUNK_ROWS, PART_ROWS = 128, 4096, 64, 4096, 65_536
+PIVOTS, SAMPLE, PAGE_ROWS, CHUNK_ROWS, PART_ROWS = 128, 4096, 256, 4096, 65_536
 #: Values of all parts' balls that each task may hold (64 MB); beyond it, queries go to every part.
 BALL_VALUES = 8_000_000
 #: Room for rounding in double precision when a bound is compared with a score.
@@ -207,6 +208,13 @@ def _bound(product: np.ndarray | float, norm: float, reach: np.ndarray | float)
         return np.nan_to_num(product + slack + ROUNDING * (1 + np.abs(product) + slack), nan=np.inf, posinf=np.inf, neginf=np.inf)
 
 
+def _highest(product: float, norm: float, reach: float) -> float:
+    """``_bound`` of one ball."""
+    slack = norm * reach
+    bound = product + slack + ROUNDING * (1 + abs(product) + slack)
+    return bound if bound == bound else math.inf
+
+
 def sent(queries: DataFrame, balls: list | None, parts: int) -> DataFrame:
     """Queries (q_id, key, dim, floor, members) by the part that they go to: those whose ball may hold a score of the floor."""
     held = None
@@ -253,6 +261,7 @@ class Part:
             for i, u in enumerate(t["up"].tolist()):
                 if u >= 0:
                     below[u].append(i)
+            t |= {n: t[n].tolist() for n in ("reach", "apart", "begin", "stop", "low")}
             self.trees.append(t | {"below": below, "small": _small(t["members"])})
         self.pages = sum(not b for t in self.trees for b in t["below"])
         #: Pages whose members were multiplied, over all searches.
@@ -271,12 +280,12 @@ class Part:
             """Whether nothing under this bound, with ids of at least ``low``, can enter the k best."""
             if len(best) < k:
                 return floor is not None and bound < floor
-            return bound < best[0][0] or (np.floor(bound) == best[0][0] and -low < best[0][1])
+            return bound < best[0][0] or (bound < best[0][0] + 1 and -low < best[0][1])
 
         def offer(t: dict, at: int, product: float) -> None:
             nonlocal count
-            bound = float(_bound(product, norm, t["reach"][at]))
-            if not hopeless(bound, int(t["low"][at])):
+            bound = _highest(product, norm, t["reach"][at])
+            if not hopeless(bound, t["low"][at]):
                 heapq.heappush(queue, (-bound, count, t, at, product))
                 count += 1
 
@@ -285,14 +294,14 @@ class Part:
                 offer(t, 0, float(t["centre"][0] @ q))
             while queue:
                 bound, _, t, at, product = heapq.heappop(queue)
-                if hopeless(-bound, int(t["low"][at])):
+                if hopeless(-bound, t["low"][at]):
                     if len(best) == k and -bound < best[0][0] - 1:
                         break  # bounds only fall from here
                     continue
                 if t["below"][at]:
                     for child in t["below"][at]:
                         # What the node above knows of the child, before its own product is computed.
-                        if not hopeless(float(_bound(product, norm, t["apart"][child] + t["reach"][child])), int(t["low"][child])):
+                        if not hopeless(_highest(product, norm, t["apart"][child] + t["reach"][child]), t["low"][child]):
                             offer(t, child, float(t["centre"][child] @ q))
                     continue
                 self._page(t, at, q, product, norm, own_id, k, floor, small, best)
@@ -300,11 +309,13 @@ class Part:
 
     def _page(self, t: dict, at: int, q: np.ndarray, product: float, norm: float, own_id: int, k: int, floor: float | None, small: bool, best: list) -> None:
         self.visited += 1
-        begin, stop = int(t["begin"][at]), int(t["stop"][at])
+        begin, stop = t["begin"][at], t["stop"][at]
         least = best[0][0] if len(best) == k else floor
-        if least is not None:
+        if least is not None and norm:
             # Members lie in the order of their distance to the centre; the near ones cannot reach far above its product.
-            begin += int(np.searchsorted(_bound(product, norm, t["own"][begin:stop]), least))
+            away = (least - product - ROUNDING * (1 + abs(product))) / (norm * (1 + ROUNDING))
+            if away > 0:
+                begin += int(np.searchsorted(t["own"][begin:stop], away * (1 - ROUNDING)))
         rows, ids = t["members"][begin:stop], t["ids"][begin:stop]
         stay = ids != own_id
         rows, ids = rows[stay], ids[stay]

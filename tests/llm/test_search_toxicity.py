@@ -56,7 +56,7 @@ def test_search_passes_over_pages_of_clustered_vectors(spark):
     rows = [(i, (centres[i % 40] + r.normal(0, 0.3, 16)).tolist()) for i in range(12_000)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     parts, pages = topk_search.visited(table)
-    assert parts < 1 and pages < 0.1, (parts, pages)
+    assert parts < 1 and pages < 0.2, (parts, pages)
 
 
 def test_network_gradients_match_differences():
