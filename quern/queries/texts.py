@@ -122,12 +122,14 @@ def answer_normalise(t):
 _GRIDS = media.grids(1, 12)
 
 
-@query(f"""WITH g AS (SELECT unnest({[i for i, _ in _GRIDS]}) AS c, unnest({[j for _, j in _GRIDS]}) AS r, unnest(range({len(_GRIDS)})) AS o),
+_GRID = f"""g AS (SELECT unnest({[i for i, _ in _GRIDS]}) AS c, unnest({[j for _, j in _GRIDS]}) AS r, unnest(range({len(_GRIDS)})) AS o),
 p AS (SELECT p_partkey, (p_partkey % 2000 + 100)::DOUBLE AS w, (p_size * 37 + 50)::DOUBLE AS h FROM part),
 d AS (SELECT p.*, g.*, abs(w / h - c / r) AS gap, min(abs(w / h - c / r)) OVER (PARTITION BY p_partkey) AS least FROM p CROSS JOIN g),
 m AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY o) AS k FROM d WHERE gap = least),
-b AS (SELECT p_partkey, arg_max(struct_pack(c := c, r := r), o) AS g FROM m WHERE k = 1 OR w * h > 0.5 * 448 * 448 * c * r GROUP BY p_partkey)
-SELECT p_partkey, g.c::INTEGER AS cols, g.r::INTEGER AS rows, (g.c * g.r + CASE WHEN g.c * g.r > 1 THEN 1 ELSE 0 END)::INTEGER AS tiles FROM b""")
+b AS (SELECT p_partkey, arg_max(struct_pack(c := c, r := r), o) AS g FROM m WHERE k = 1 OR w * h > 0.5 * 448 * 448 * c * r GROUP BY p_partkey)"""
+
+
+@query(f"""WITH {_GRID} SELECT p_partkey, g.c::INTEGER AS cols, g.r::INTEGER AS rows, (g.c * g.r + CASE WHEN g.c * g.r > 1 THEN 1 ELSE 0 END)::INTEGER AS tiles FROM b""")
 def tile_plan(t):
     sized = t("part").select("p_partkey", (F.col("p_partkey") % 2000 + 100).alias("w"), (F.col("p_size") * 37 + 50).alias("h"))
     grid = sized.withColumn("g", media.tile_grid("w", "h"))
@@ -142,7 +144,9 @@ def frame_plan(t):
     return rows.select("o_orderkey", F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.get("f", F.lit(0)).cast("long").alias("first"), F.element_at("f", -1).cast("long").alias("last"))
 
 
-@query()
+@query(f"""WITH {_GRID}, x AS (SELECT p_partkey, (g.c * g.r + CASE WHEN g.c * g.r > 1 THEN 1 ELSE 0 END) AS own, greatest(1, 12 // (p_partkey % 3 + 1)) AS budget, p_partkey % 3 + 1 AS images FROM b),
+t AS (SELECT p_brand AS dataset, CASE WHEN p_partkey % 5 = 0 THEN least(8, p_size) ELSE least(own, budget + CASE WHEN budget > 1 THEN 1 ELSE 0 END) * images END AS tiles FROM x JOIN part USING (p_partkey))
+SELECT dataset, count(*)::BIGINT AS rows, sum(tiles)::BIGINT AS tiles, (256 * sum(tiles))::BIGINT AS image_tokens FROM t GROUP BY dataset""")
 def media_cost(t):
     rows = t("part").select(F.col("p_brand").alias("dataset"), F.when(F.col("p_partkey") % 5 == 0, "video").otherwise("image").alias("kind"), (F.col("p_partkey") % 2000 + 100).alias("width"), (F.col("p_size") * 37 + 50).alias("height"), (F.col("p_partkey") % 3 + 1).cast("int").alias("images"), F.col("p_size").alias("frames"))
     return quality.media_totals(quality.media_plan(rows))
