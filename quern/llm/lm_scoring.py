@@ -9,9 +9,10 @@ the logarithm of its count enters the document's score so many times. A bigram w
 minus one for each time it comes before another, and one as a first word. The exploded n-grams are dealt by hash, once. In
 its hash partition, each n-gram's occurrences are summed over the corpus and joined to its rows by a window, which is a
 count table and its join in one shuffle; the products are then summed by document. Words of a bounded table of frequent
-ones have their counts in every task and never travel. Neither do heavy bigrams, which would send a large share of all
-documents to one partition: those above a 1 / HEAVY share of a task's bigrams, summed over tasks, include every bigram
-above 2 / HEAVY of the corpus, and fewer than HEAVY pass the same share of the corpus. They are counted before.
+ones have their counts in every task and never travel. Heavy bigrams would send a large share of all documents to one
+partition: those above a 1 / HEAVY share of a task's bigrams, summed over tasks, include every bigram above 2 / HEAVY of the
+corpus, and fewer than HEAVY pass the same share of the corpus. They are dealt by document instead, and their counts are
+summed at the end and joined to the documents by broadcast.
 
 Scored by its own corpus, a document holds no bigram that the corpus lacks, and nothing backs off. By another corpus it
 may: its n-grams are joined to that corpus's count table, and what the join does not find is scored by its word's count.
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import HOT, Memo, Scratch, most_frequent, partitions, slices, tidy
 
 #: Bits of the table of frequent words, and the backoff factor.
-FREQUENT_BITS, BACKOFF = 17, 0.4
-#: Bigrams above a 1 / HEAVY share of the corpus are counted apart; fewer than HEAVY can be.
+FREQUENT_BITS, BACKOFF = 18, 0.4
+#: Bigrams above a 1 / HEAVY share of the corpus are dealt by document; fewer than HEAVY can be.
 HEAVY = HOT
 #: Words and rows a task gathers before it passes them on; distinct words it remembers.
-GATHERED, ROWS_SENT, WORDS_HELD = 500_000, 100_000, 150_000
+GATHERED, ROWS_SENT, WORDS_HELD = 800_000, 100_000, 150_000
 
 _U = np.uint64
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -106,18 +107,13 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Model:
-    """What every task knows of the corpus: its size, and counts of frequent words and heavy bigrams; bounded at any size."""
+    """What every task knows of the corpus: its size, counts of frequent words, and which bigrams are heavy; bounded at any
+    size."""
 
-    def __init__(self, words: list, heavy: list, total: int):
-        self.total = max(1, total)
-        self.h, self.n = self._sorted(words)
-        self.heavy, self.heavy_n = self._sorted(heavy)
-
-    @staticmethod
-    def _sorted(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        h, n = np.array([r.h for r in rows], np.int64).view(_U), np.array([r.n for r in rows], np.int64)
-        order = np.argsort(h)
-        return h[order], n[order]
+    def __init__(self, h: np.ndarray, n: np.ndarray, heavy: np.ndarray, total: int):
+        order = np.argsort(h.view(_U))
+        self.h, self.n, self.total = h.view(_U)[order], n[order], max(1, total)
+        self.heavy = np.sort(heavy.view(_U))
 
 
 def places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -128,44 +124,26 @@ def places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, at, -1)
 
 
-def model_of(corpus: DataFrame, words: DataFrame, text_col: str, frequent_bits: int = FREQUENT_BITS) -> Model:
+def model_of(words: DataFrame, frequent_bits: int = FREQUENT_BITS, with_heavy: bool = True) -> Model:
     """``words`` is the written table of ``word_counts``."""
     singles = words.where(~F.col("heavy"))
     total = singles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    top = most_frequent(singles, "n", 1 << min(frequent_bits, FREQUENT_BITS)).collect()
+    top = most_frequent(singles, "n", 1 << min(frequent_bits, FREQUENT_BITS)).select("h", "n").toArrow()
     # Every bigram occurrence counts once at most here, so fewer than HEAVY pass.
-    heavy = words.where(F.col("heavy") & (F.col("n") * HEAVY > total)).select("h").collect()
-    return Model(top, heavy_counts(corpus, text_col, [r.h for r in heavy]) if heavy else [], total)
-
-
-def heavy_counts(corpus: DataFrame, text_col: str, heavy: list[int]) -> list:
-    """Rows h, n of the given bigrams (fewer than HEAVY), counted over the whole corpus."""
-    keys = np.sort(np.array(heavy, np.int64).view(_U))
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n = word_hashes(), np.zeros(len(keys), np.int64)
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                h = np.fromiter(map(hashes.__getitem__, words), _U, len(words))
-                at = places(keys, bigram_keys(h[:-1], h[1:]))
-                n += np.bincount(at[at >= 0], minlength=len(keys))
-            hashes.bound()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    return corpus.select(F.col(text_col).cast("string")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
+    heavy = words.where(F.col("heavy") & (F.col("n") * HEAVY > total)).select("h").collect() if with_heavy else []
+    column = lambda name: np.asarray(top.column(name).combine_chunks(), np.int64)
+    return Model(column("h"), column("n"), np.array([r.h for r in heavy], np.int64), total)
 
 
-#: Rows of two sorts. An n-gram of a document: key, row (the document), times, weight, and if asked for its words (before and
-#: word; before is null for a single word). And a document: doc, its number of words in times, and in base the part of its
-#: score that needs no other count; its weight is null and its key is its row.
-EXPLODED = "key long, row long, times long, weight int, doc long, base long"
+#: Rows of two sorts. An n-gram of a document: key, row (the document), times, weight, for a heavy bigram its place (its key is
+#: its row then), and if asked for its words (before and word; before is null for a single word). And a document: doc, its
+#: number of words in times, and in base the part of its score that needs no other count; its weight is null, its key its row.
+EXPLODED = "key long, row long, times long, weight int, heavy short, doc long, base long"
 WITH_WORDS = EXPLODED + ", before long, word long"
 
 
 def explode_ngrams(docs: DataFrame, model: Model, id_col: str, text_col: str, with_words: bool = False) -> DataFrame:
-    """Documents and their distinct n-grams (see EXPLODED). What the model counts is in the documents' base instead."""
+    """Documents and their distinct n-grams (see EXPLODED). Words of the model's table are in the documents' base instead."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = WITH_WORDS if with_words else EXPLODED
     names = [c.split()[0] for c in schema.split(", ")]
@@ -175,22 +153,24 @@ def explode_ngrams(docs: DataFrame, model: Model, id_col: str, text_col: str, wi
         from pyspark import TaskContext
 
         m, hashes = held.value, word_hashes()
-        log_n, log_heavy, log_total = micro(m.n), micro(m.heavy_n), int(micro(m.total))
+        log_n, log_total = micro(m.n), int(micro(m.total))
         row = TaskContext.get().partitionId() << 36
-        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
         documents: list[tuple] = []
 
-        def send(key: np.ndarray, times: np.ndarray, weight: np.ndarray, *words: np.ndarray) -> None:
-            for part, x in zip(parts, (key.view(np.int64), np.full(len(key), row), times, weight, *words), strict=False):
+        def send(key: np.ndarray, times: np.ndarray, weight: np.ndarray, before: np.ndarray, word: np.ndarray, heavy: np.ndarray | None = None) -> None:
+            if heavy is None:
+                heavy = np.full(len(key), -1)
+            for part, x in zip(parts, (key.view(np.int64), np.full(len(key), row), times, weight, before, word, heavy), strict=True):
                 part.append(x)
 
         def batch_of() -> pa.RecordBatch:
-            key, rows, times, weight, before, word = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
+            key, rows, times, weight, before, word, heavy = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
             n, k, doc = len(key), len(documents), [x[1] for x in documents]
             join = lambda a, b, kind: pa.concat_arrays([pa.array(a, kind), pa.array(b, kind)])
             null = lambda size, kind: pa.nulls(size, kind)
             own = np.array([x[0] for x in documents], np.int64)
-            columns = [join(key, own, pa.int64()), join(rows, own, pa.int64()), join(times, [x[2] for x in documents], pa.int64()), pa.concat_arrays([pa.array(weight, pa.int32()), null(k, pa.int32())])]
+            columns = [join(key, own, pa.int64()), join(rows, own, pa.int64()), join(times, [x[2] for x in documents], pa.int64()), pa.concat_arrays([pa.array(weight, pa.int32()), null(k, pa.int32())]), pa.concat_arrays([pa.array(heavy, pa.int16(), mask=heavy < 0), null(k, pa.int16())])]
             columns += [pa.concat_arrays([null(n, pa.int64()), pa.array(x, pa.int64())]) for x in (doc, [x[3] for x in documents])]
             if with_words:
                 columns += [pa.concat_arrays([pa.array(x.view(np.int64), pa.int64(), mask=x == 0), null(k, pa.int64())]) for x in (before.astype(_U), word.astype(_U))]
@@ -217,11 +197,10 @@ def explode_ngrams(docs: DataFrame, model: Model, id_col: str, text_col: str, wi
                         weight[at[0]] += 1
                     send(rare, n, weight, np.zeros(len(rare), _U), rare)
                     key, first, n = np.unique(bigram_keys(h[:-1], h[1:]), return_index=True, return_counts=True)
-                    heavy = places(m.heavy, key)
-                    if len(m.heavy):
-                        base += int((n * log_heavy[heavy])[heavy >= 0].sum())
-                        key, first, n = key[heavy < 0], first[heavy < 0], n[heavy < 0]
-                    send(key, n, n, h[:-1][first], h[1:][first])
+                    heavy = places(m.heavy, key) if len(m.heavy) else None
+                    if heavy is not None:
+                        key = np.where(heavy >= 0, _U(row), key)
+                    send(key, n, n, h[:-1][first], h[1:][first], heavy)
                     sent += len(rare) + len(key)
                 documents.append((row, doc, len(words), base))
                 row += 1
@@ -247,16 +226,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "lm")
     source = docs if corpus is None else corpus
     words = scratch.put(word_counts(source, text_col), "words")
-    model = model_of(source, words, text_col, frequent_bits)
+    # The joins with another corpus are split by adaptive execution where a bigram is heavy.
+    model = model_of(words, frequent_bits, with_heavy=corpus is None)
     if corpus is None:
         dealt = explode_ngrams(docs, model, id_col, text_col).repartition(partitions(docs.sparkSession), "key")
         count = F.sum("times").over(Window.partitionBy("key"))
-        # A document's own row is no n-gram: what it brings is its base.
-        rows = dealt.withColumn("count", count).withColumn("part", F.coalesce("base", F.col("weight") * _micro(F.col("count"))))
+        # A document's own row is no n-gram: what it brings is its base. A heavy bigram's count is not known yet.
+        part = F.when(F.col("heavy").isNull(), F.coalesce("base", F.col("weight") * _micro(F.col("count"))))
+        rows = dealt.withColumn("count", count).withColumn("part", part)
     else:
         exploded = scratch.put(explode_ngrams(docs, model, id_col, text_col, with_words=True), "exploded")
         rows = _by_other(exploded, explode_ngrams(corpus.withColumn(id_col, F.lit(None).cast("long")), model, id_col, text_col), words, model)
-    total = rows.groupBy("row").agg(F.max("doc").alias("doc"), F.max(F.when(F.col("weight").isNull(), F.col("times"))).alias("n_words"), F.sum("part").alias("score"))
+    times = F.sum(F.when(F.col("heavy").isNotNull(), F.col("times"))).alias("times")
+    total = rows.groupBy("row", "heavy").agg(F.max("doc").alias("doc"), F.max(F.when(F.col("weight").isNull(), F.col("times"))).alias("n_words"), F.sum("part").alias("score"), times)
+    if len(model.heavy):
+        total = scratch.put(total, "totals")
+        log_n = total.where("heavy is not null").groupBy("heavy").agg(_micro(F.sum("times")).alias("log_n"))
+        total = total.join(F.broadcast(log_n), "heavy", "left").withColumn("score", F.coalesce("score", F.col("times") * F.col("log_n")))
+        total = total.groupBy("row").agg(F.max("doc").alias("doc"), F.max("n_words").alias("n_words"), F.sum("score").alias("score"))
     score = F.col("score") / 1e6
     return total.select(F.col("doc").alias(id_col), "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
 
@@ -272,5 +259,5 @@ def _by_other(exploded: DataFrame, corpus: DataFrame, words: DataFrame, model: M
     # A bigram that it lacks gives back what the word before has taken off, and its word's share comes in.
     lost = found.where(F.col("before").isNotNull() & F.col("log_n").isNull()).join(log_of("before"), "before", "left").join(log_of("word"), "word", "left")
     share = F.coalesce("log_before", F.lit(0)) + F.coalesce("log_word", F.lit(0)) + F.lit(int(micro(BACKOFF)) - int(micro(model.total)))
-    columns = ["row", "doc", "weight", "times", "part"]
+    columns = ["row", "heavy", "doc", "weight", "times", "part"]
     return plain.select(*columns).unionByName(lost.withColumn("part", F.col("weight") * share).select(*columns))
