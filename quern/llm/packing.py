@@ -31,8 +31,8 @@ CAPACITY = 2048
 CLASSES = 32
 #: Low bits of a sequence_id that count a worker's sequences; the worker's number stands above them.
 COUNTER_BITS = 40
-#: Distinct words whose ids a worker remembers between tasks, and their longest: some 60 MB at most.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 32
+#: Distinct words whose ids a worker remembers between tasks, and their longest: some 100 MB at most.
+REMEMBERED, REMEMBERED_CHARS = 450_000, 32
 #: Characters of texts whose new words are encoded together.
 GROUP_CHARS = 1 << 20
 _MARK = re.compile("(?<=[a-z])([.,])(?= )")
