@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, token_counts, topk_search, toxicity
+from . import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, piece_codec, token_counts, topk_search, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -191,6 +191,11 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(s.s, 0)::DOUBLE / 1e6 AS
 """
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_codec.encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.col("n_ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
@@ -202,6 +207,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_piece_codec": op11_piece_codec,
 }
 
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL}
