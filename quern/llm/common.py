@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def bounded_slices(batches: Iterator[pa.RecordBatch], column: str, size: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and ``size`` bytes of a text ``column``, or of one longer row."""
+    for batch in slices(batches, rows):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def give_back() -> None:
     """Return memory that Python, Arrow and the C library hold free, so that a reused worker starts the next task small."""
     gc.collect()

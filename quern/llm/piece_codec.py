@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, tidy
+from .common import bounded_slices, fresh, tidy
 
 #: Pre-tokens that a task remembers (twice as many while it changes over), and the longest that it does.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 #: Longest pre-token, in characters, whose agenda lies in columns; longer ones have a heap.
 COLUMN_CHARS = 64
+#: Bytes of texts that a task works on at once, one longer text apart.
+SLICE_BYTES = 4 << 20
 #: Characters of a text that are worked on at once, up to the next pre-token.
 CHUNK = 1 << 20
 _MARK = "▁"
@@ -296,7 +298,7 @@ def encode_decode(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _remembered(model)
         decode, end = known.model.decode, str(known.model.end_id)
-        for batch in slices(batches):
+        for batch in bounded_slices(batches, name, SLICE_BYTES):
             at = batch.schema.get_field_index(name)
             parts = [list(chunks(t)) for t in batch.column(at).to_pylist()]
             if sum(map(len, parts)) == len(parts):

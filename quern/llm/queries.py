@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, piece_codec, token_counts, topk_search, toxicity
+from . import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, periodic_runs, piece_codec, token_counts, topk_search, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -196,6 +196,56 @@ def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) where one document in ten, by the checksum of its id, repeats a few of its words to its end.
+
+    A document without an id stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    placed = chosen.withColumn("a", F.col("g") % F.size("words")).withColumn("p", F.lit(1) + F.floor((F.size("words") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    # Words up to a + p, then that part's last p words again and again, then what the last turn has too much is cut off.
+    again = F.expr("concat(slice(words, 1, int(a + p)), flatten(array_repeat(slice(words, int(a + 1), int(p)), int((size(words) - a) div p))))")
+    return placed.select("doc_id", F.when(F.size("words") > 0, F.array_join(F.slice(again, 1, F.size("words")), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    top = F.expr("array_max(transform(runs, r -> named_struct('length', r.length, 'start', -r.start, 'period', -r.period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = found.withColumn("top", top)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: A run has five words and more that come again one period later; stretches of such places in a row are runs.
+OP12_SQL = """
+WITH bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits),
+split AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+          xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+          FROM documents, crc),
+planned AS (SELECT *, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+docs AS (SELECT id, doc_id, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0
+           THEN list_transform(range(len(w)), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) END + 1]) ELSE w END AS w
+         FROM planned),
+grams AS (SELECT id, n, unnest(range(n - 4)) AS i, unnest(list_transform(range(n - 4), lambda j: hash(w[j + 1:j + 5]))) AS k FROM docs WHERE n >= 6),
+again AS (SELECT x.id, x.i, y.i - x.i AS d FROM grams x JOIN grams y ON x.id = y.id AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT id, d, min(i) AS s, max(i) - min(i) + 5 + d AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS island FROM again) GROUP BY id, d, island),
+runs AS (SELECT id, s, len, min(d) AS q FROM islands WHERE len >= greatest(6, 4 * d) GROUP BY id, s, len),
+gone AS (SELECT DISTINCT id, unnest(range(s + q, s + len)) AS i FROM runs),
+stays AS (SELECT x.id, string_agg(x.word, ' ' ORDER BY x.i) AS t FROM (SELECT id, unnest(w) AS word, unnest(range(n)) AS i FROM docs) x LEFT JOIN gone g ON x.id = g.id AND x.i = g.i WHERE g.i IS NULL GROUP BY x.id),
+tops AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len DESC, s, q) AS r FROM runs),
+sums AS (SELECT id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY id)
+SELECT d.doc_id, coalesce(m.n_runs, 0)::BIGINT AS n_runs, p.s::BIGINT AS start, p.len::BIGINT AS length, p.q::BIGINT AS period, (1000 * p.len // p.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(m.t, '')) AS runs_sha256, sha256(coalesce(y.t, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN sums m USING (id) LEFT JOIN stays y USING (id) LEFT JOIN (SELECT * FROM tops WHERE r = 1) p USING (id)
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
@@ -208,6 +258,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_piece_codec": op11_piece_codec,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL, "op12_periodic_runs": OP12_SQL}
