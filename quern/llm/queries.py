@@ -203,7 +203,7 @@ def planted_repeats(docs: DataFrame) -> DataFrame:
     """
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     chosen = docs.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
-    placed = chosen.withColumn("a", F.col("g") % F.size("words")).withColumn("p", F.lit(1) + F.floor((F.size("words") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    placed = chosen.withColumn("a", F.when(F.size("words") > 0, F.col("g") % F.size("words"))).withColumn("p", F.lit(1) + F.floor((F.size("words") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
     # Words up to a + p, then that part's last p words again and again, then what the last turn has too much is cut off.
     again = F.expr("concat(slice(words, 1, int(a + p)), flatten(array_repeat(slice(words, int(a + 1), int(p)), int((size(words) - a) div p))))")
     return placed.select("doc_id", F.when(F.size("words") > 0, F.array_join(F.slice(again, 1, F.size("words")), " ")).otherwise(F.col("text")).alias("text"))
