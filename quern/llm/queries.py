@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, periodic_runs, piece_codec, token_counts, topk_search, toxicity
+from . import chat_format, divergence, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, periodic_runs, piece_codec, token_counts, topk_search, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -246,6 +246,34 @@ FROM docs d LEFT JOIN sums m USING (id) LEFT JOIN stays y USING (id) LEFT JOIN (
 """
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence.audit(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+    return found.select("lang", "source", "part", "item", "value", "rank")
+
+
+OP13_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT id, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY w.lang, w.source, w.term),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT g.lang, g.source, coalesce(c.n, 0) AS n, coalesce(s.v, 0) AS v FROM grp g LEFT JOIN sizes s ON g.lang = s.lang
+           LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source) c ON g.lang = c.lang AND g.source = c.source),
+shares AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)::HUGEINT) // (t.n + t.v)::HUGEINT AS p
+           FROM totals t JOIN kept k ON t.lang = k.lang LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+whole AS (SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n) + 1)::HUGEINT) // (any_value(a.n) + any_value(s.v))::HUGEINT AS q
+          FROM counts c JOIN (SELECT lang, sum(n) AS n FROM counts GROUP BY lang) a ON a.lang = c.lang JOIN sizes s ON s.lang = c.lang GROUP BY c.lang, c.term),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT x.lang, x.source, 'term', x.term, ((x.p - w.q) * (x.p - w.q) // w.q)::BIGINT FROM shares x JOIN whole w ON x.lang = w.lang AND x.term = w.term WHERE x.n > 0 AND x.p > w.q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
@@ -259,6 +287,7 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_piece_codec": op11_piece_codec,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL, "op12_periodic_runs": OP12_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op3_mixing": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_divergence": OP13_SQL}

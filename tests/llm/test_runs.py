@@ -36,7 +36,7 @@ def made(draw):
     return draw.choice([" ", "\n", "\t ", " \x0b"]).join(words)
 
 
-ODD = ["", None, " \n", "a", "a a a a a", "a a a a a a", "x" * 9000, "a " * 20000, "ab ba " * 5000 + "end", " a" * 6 + " b" * 6, "A a A a A a A a", "é é é é é é é é"]
+ODD = ["", None, " \n", "a", "a a a a a", "a a a a a a", "x" * 9000, "a " * 3000, "ab ba " * 700 + "end", " a" * 6 + " b" * 6, "A a A a A a A a", "é é é é é é é é"]
 
 
 def test_runs_match_brute_force():
