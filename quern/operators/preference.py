@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import check_answer, fix_answer, parse_answer
 from ..functions.chat import Template, render
 from .joins import settled
+from .pairs import entailed, first_of, pair_up
 
 KEY = ["image", "question", "answer"]
 
@@ -27,31 +28,18 @@ def grade(rollouts: DataFrame, modes: Column, use_cache: bool = False, repair: b
 
 def capped(rows: DataFrame, by: list[str], k: int, seed: int, *columns: str) -> DataFrame:
     """At most ``k`` rows of each group, in hash order of ``columns``."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *columns), *columns))
-    return rows.withColumn("q_rank", rank).where(F.col("q_rank") <= k).drop("q_rank")
+    return first_of(rows, by, k, F.xxhash64(F.lit(seed), *columns), *columns)
 
 
 def build_pairs(graded: DataFrame, k: int = 15, seed: int = 42, entailment: bool = False, rejected: str = "neg") -> DataFrame:
     """At most ``k`` pairs of chosen and rejected responses per (image, question, answer); fewer only where there are no more.
 
-    A rejected answer that contains the chosen one makes no pair, unless ``entailment`` allows it. Equal responses count
-    once. Before sides meet, each keeps ``k`` responses of every distinct answer, chosen where the rows lie; then distinct
-    answers are paired, not responses, and a pair of answers gives k pairs of responses at most.
+    A rejected answer that contains the chosen one makes no pair, unless ``entailment`` allows it or responses are rejected
+    for their format. Equal responses count once; an answer that is null counts as empty.
     """
     meta = ["meta"] if "meta" in graded.columns else []
-
-    def side(label: str, name: str) -> DataFrame:
-        rows = graded.where(F.col("label") == label).select(*KEY, F.lower("answer_pred").alias(f"q_{name}"), "response", *meta).dropDuplicates([*KEY, f"q_{name}", "response"])
-        few = capped(rows, [*KEY, f"q_{name}"], k, seed, "response")
-        item = F.struct(F.col("response").alias(name), *(F.col(m).alias(f"{name}_meta") for m in meta))
-        return few.groupBy(*KEY, f"q_{name}").agg(F.sort_array(F.collect_list(item)).alias(f"q_{name}s"))
-
-    both = side("pos", "chosen").join(side(rejected, "rejected"), KEY)
-    if rejected == "neg" and not entailment:
-        both = both.where(~F.contains("q_rejected", F.col("q_chosen")))
-    crossed = F.flatten(F.transform("q_chosens", lambda c: F.transform("q_rejecteds", lambda r: F.struct(c.alias("c"), r.alias("r")))))
-    pairs = both.select(*KEY, F.explode(F.slice(crossed, 1, k)).alias("q_pair")).select(*KEY, "q_pair.c.*", "q_pair.r.*")
-    return unique_pairs(capped(pairs, KEY, k, seed, "chosen", "rejected"))
+    side = lambda label, name: graded.where(F.col("label") == label).select(*KEY, F.coalesce(F.lower("answer_pred"), F.lit("")).alias(name), "response", *meta)
+    return unique_pairs(pair_up(side("pos", "q_a"), side(rejected, "q_b"), KEY, k, seed, entailment or rejected != "neg", meta))
 
 
 def unique_pairs(pairs: DataFrame) -> DataFrame:
@@ -69,10 +57,13 @@ def pair_stats(graded: DataFrame, entailment: bool = False) -> DataFrame:
         F.count_if((F.col("p") > 0) & (F.col("n") > 0)).alias("both"),
         F.coalesce(F.sum(F.col("p") * F.col("n")), F.lit(0)).cast("long").alias("possible_pairs"),
     )
-    by_answer = lambda label, name: graded.where(F.col("label") == label).groupBy(*KEY, F.lower("answer_pred").alias(name)).agg(F.count("*").alias(f"n_{name}"))
-    skipped = by_answer("pos", "a").join(by_answer("neg", "b"), KEY).withColumn("w", F.col("n_a") * F.col("n_b")).withColumn("s", F.when(F.contains("b", F.col("a")) & F.lit(not entailment), F.col("w")).otherwise(0))
-    per_key = skipped.groupBy(*KEY).agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
-    left_out = per_key.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("entail_skip"), F.count_if(F.col("w") == F.col("s")).alias("keys_without_pairs"))
+    by_answer = lambda label, name: settled(graded.where(F.col("label") == label).groupBy(F.struct(*KEY).alias("q_key"), F.coalesce(F.lower("answer_pred"), F.lit("")).alias(name)).agg(F.count("*").alias(f"n_{name}")))
+    pos, neg = by_answer("pos", "q_a"), by_answer("neg", "q_b")
+    # Counts of answers that contain another, from the index of their parts.
+    skipped = entailed(pos, neg).join(pos, ["q_key", "q_a"]).join(neg, ["q_key", "q_b"]).groupBy("q_key").agg(F.sum(F.col("n_q_a") * F.col("n_q_b")).alias("s"))
+    sides = pos.groupBy("q_key").agg(F.sum("n_q_a").alias("p")).join(neg.groupBy("q_key").agg(F.sum("n_q_b").alias("n")), "q_key").join(skipped, "q_key", "left")
+    s = F.lit(0) if entailment else F.coalesce("s", F.lit(0))
+    left_out = sides.agg(F.coalesce(F.sum(s), F.lit(0)).cast("long").alias("entail_skip"), F.count_if(s == F.col("p") * F.col("n")).alias("keys_without_pairs"))
     both = totals.unionByName(left_out, allowMissingColumns=True)
     return both.agg(*(F.max(c).alias(c) for c in [*totals.columns, *left_out.columns]))
 

@@ -10,7 +10,6 @@ from ..functions.udfs import token_count
 from ..operators import clustering, joins, metrics, mixture, packing, preference, quality, routing
 from ..plans import registry
 from .counting import _TOKENS
-from .grading import _rollouts
 from .packing import _LIMITS, _pieces, _samples
 from .registry import query
 from .roundtrips import _partitioned
@@ -294,16 +293,24 @@ def media_kinds(t):
     return quality.media_totals(quality.media_plan(rows, most=1))
 
 
-_PAIRED = """r AS (SELECT event_id % 20 AS image, event_type AS question, event_id, CASE WHEN event_id % 3 = 0 THEN '10' WHEN event_id % 3 = 1 THEN 'x10' ELSE (event_id % 9)::VARCHAR END AS a FROM events WHERE event_id % 11 <> 0),
-p AS (SELECT DISTINCT image, question, a FROM r WHERE event_id % 3 = 0), n AS (SELECT DISTINCT image, question, a FROM r WHERE event_id % 3 <> 0)"""
+_SKEWED = """CASE WHEN event_id % 3 = 1 THEN 0 ELSE user_id % 500 END"""
+_PAIRED = f"""r AS (SELECT {_SKEWED} AS image, event_type AS question, event_id, CASE event_id % 4 WHEN 0 THEN '10' WHEN 1 THEN 'x10' WHEN 2 THEN (event_id % 9)::VARCHAR ELSE (event_id % 5003)::VARCHAR END AS a,
+  (event_id // 4) % 2 = 0 AS ok FROM events),
+p AS (SELECT DISTINCT image, question, a, event_id FROM r WHERE ok), n AS (SELECT DISTINCT image, question, a, event_id FROM r WHERE NOT ok),
+pa AS (SELECT image, question, a, count(*) AS c FROM p GROUP BY ALL), na AS (SELECT image, question, a, count(*) AS c FROM n GROUP BY ALL)"""
 
 
-@query(f"""WITH {_PAIRED} SELECT p.image, p.question, least(15, count(*))::BIGINT AS pairs, 0::BIGINT AS entailed FROM p JOIN n USING (image, question) WHERE NOT contains(n.a, p.a) GROUP BY ALL""")
+@query(f"""WITH {_PAIRED} SELECT pa.image, pa.question, least(15, sum(pa.c * na.c))::BIGINT AS pairs, 0::BIGINT AS entailed, 0::BIGINT AS strangers FROM pa JOIN na USING (image, question) WHERE NOT contains(na.a, pa.a) GROUP BY ALL""")
 def pair_counts(t):
-    rollouts = _rollouts(t).withColumn("image", F.col("event_id") % 20)
-    pairs = preference.build_pairs(preference.grade(rollouts, F.array(F.lit("vqa"), F.lit("choice"), F.lit("math"))), 15)
-    answer = lambda c: F.substring_index(c, "Final answer: ", -1)
-    return pairs.groupBy("image", "question").agg(F.count("*").alias("pairs"), F.count_if(F.contains(answer("rejected"), answer("chosen"))).alias("entailed"))
+    """Fifteen pairs of each key, or all that there are; one key in each question holds a third of its rows."""
+    i = F.col("event_id")
+    said = F.when(i % 4 == 0, "10").when(i % 4 == 1, "x10").when(i % 4 == 2, (i % 9).cast("string")).otherwise((i % 5003).cast("string"))
+    graded = t("events").select(F.when(i % 3 == 1, 0).otherwise(F.col("user_id") % 500).alias("image"), F.col("event_type").alias("question"), F.lit("a").alias("answer"), said.alias("answer_pred"), F.concat_ws(" answers ", i, said).alias("response"), F.when(F.floor(i / 4) % 2 == 0, "pos").otherwise("neg").alias("label"))
+    pairs = preference.build_pairs(graded, 15)
+    answer = lambda c: F.substring_index(c, " answers ", -1)
+    known = graded.select("image", "question", F.col("response").alias("chosen"), F.lit(1).alias("k")).where("label = 'pos'")
+    both = pairs.join(known, ["image", "question", "chosen"], "left")
+    return both.groupBy("image", "question").agg(F.count("*").alias("pairs"), F.count_if(F.contains(answer("rejected"), answer("chosen"))).alias("entailed"), F.count_if(F.col("k").isNull()).alias("strangers"))
 
 
 @query(f"""WITH {_routed(4)}, i AS (SELECT page_id, page_id % 50 AS image FROM pages)
