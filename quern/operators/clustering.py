@@ -6,22 +6,34 @@ assignment is recomputed from the written vectors, so lineage does not grow and
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
+from ..sources.writers import shared_folder
+from . import auction
 from .joins import settled
-from .routing import nearest
+from .routing import NEAR, TILE_VALUES, best_of_tile, in_order, nearest, unit, vectors_of
+
+#: Parts of a cosine of 1 in which balanced assignment counts.
+UNIT = 1_000_000
 
 
 @dataclass
 class Clusters:
+    """``skipped``: the share of rows whose nearest centroid was known without looking at the others, over all rounds."""
+
     centroids: DataFrame
     assignments: DataFrame
     similarity: float
+    skipped: float = 0.0
+    rounds: int = 0
 
 
 def _frame(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
@@ -44,24 +56,127 @@ def first_centroids(rows: DataFrame, k: int, seed: int, key: str, vector: str) -
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
 
 
+class Rounds:
+    """Rounds of assignment that remember, for each row, its cluster and how near and how far others were.
+
+    By the triangle inequality a row stays where it is while the bound of the distance to its own centroid lies below the
+    bound of the distance to any other; bounds grow and shrink by what centroids moved. Vectors are written once as a table in
+    buckets of a row number, bounds after each round likewise, so that both meet without a shuffle.
+    """
+
+    def __init__(self, rows: DataFrame, vector: str, buckets: int | None = None):
+        self.spark = rows.sparkSession
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.root, self.names = shared_folder(self.spark, f"rounds-{uuid.uuid4().hex[:12]}"), []
+        self.vectors = self._put(rows.select(F.monotonically_increasing_id().alias("q_row"), F.col(vector).cast("array<double>").alias("q_v")))
+        self.state: DataFrame | None = None
+        self.looked = self.seen = 0
+
+    def _put(self, table: DataFrame) -> DataFrame:
+        name = f"q_{uuid.uuid4().hex}"
+        table.write.bucketBy(self.buckets, "q_row").sortBy("q_row").format("parquet").option("path", f"{self.root}/{len(self.names)}").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def assign(self, now: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of unit vectors and numbers of rows by cluster, with every row at its nearest centroid of ``now``."""
+        moved = np.zeros(len(now)) if before is None else np.sqrt(((now - before) ** 2).sum(axis=1))
+        sent = self.spark.sparkContext.broadcast((now, moved))
+        last = self.vectors.withColumns({"q_c": F.lit(-1), "q_up": F.lit(0.0), "q_low": F.lit(0.0)}) if self.state is None else self.vectors.join(self.state.drop("q_looked"), "q_row")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, moved = sent.value
+            for batch in batches:
+                at, x = vectors_of(batch.column(1), now.shape[1])
+                at, x = at[own := (x * x).sum(axis=1) > 0], unit(x[own])
+                c, up, low = (batch.column(i).to_numpy(zero_copy_only=False)[at] for i in (2, 3, 4))
+                c, up, low = bounded_step(x, c.astype(np.int64), up, low, now, moved)
+                row = batch.column(0).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([row, pa.array(c[0]), pa.array(up), pa.array(low), pa.array(c[1])], ["q_row", "q_c", "q_up", "q_low", "q_looked"])
+
+        self.state = self._put(last.select("q_row", "q_v", "q_c", "q_up", "q_low").mapInArrow(run, "q_row long, q_c long, q_up double, q_low double, q_looked boolean"))
+        width = now.shape[1]
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, n, looked = np.zeros((len(sent.value[0]), width)), np.zeros(len(sent.value[0]), np.int64), 0
+            for batch in batches:
+                at, x = vectors_of(batch.column(0), width)
+                c = batch.column(1).to_numpy(zero_copy_only=False)
+                np.add.at(sums, c[at], unit(x))
+                n += np.bincount(c, minlength=len(n))
+                looked += int(batch.column(2).to_numpy(zero_copy_only=False).sum())
+            full = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(list(sums[full]), pa.list_(pa.float64())), pa.array(n[full]), pa.array([looked] + [0] * (len(full) - 1) if len(full) else [], pa.int64())], ["c", "s", "n", "looked"])
+
+        parts = self.vectors.join(self.state, "q_row").select("q_v", "q_c", "q_looked").mapInArrow(partial, "c long, s array<double>, n long, looked long")
+        flat = parts.select("c", "n", "looked", F.posexplode("s").alias("pos", "x"))
+        found = flat.groupBy("c", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("looked").alias("looked"))
+        sums, n = np.zeros(now.shape), np.zeros(len(now), np.int64)
+        for r in found.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"), F.max("n").alias("n"), F.max("looked").alias("looked")).collect():
+            sums[r.c], n[r.c] = [x.x for x in r.s], r.n
+            self.looked += r.looked
+        self.seen += int(n.sum())
+        return sums, n
+
+    def end(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def bounded_step(x: np.ndarray, c: np.ndarray, up: np.ndarray, low: np.ndarray, now: np.ndarray, moved: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """One round for unit vectors ``x``: ((cluster, whether all centroids were looked at), upper bound, lower bound)."""
+    looked = np.ones(len(x), bool)
+    known = np.flatnonzero(c >= 0)
+    if len(known):
+        own, most = c[known], np.sort(moved)[-2:]
+        others = np.where(moved[own] == moved.max(), most[0], moved.max())  # the farthest that another centroid moved
+        up[known] += moved[own]
+        low[known] -= others
+        doubt = known[up[known] + NEAR >= low[known]]
+        up[doubt] = np.sqrt(np.maximum(0, 2 - 2 * in_order(x[doubt], now[c[doubt]])))
+        looked[known] = up[known] + NEAR >= low[known]
+    at = np.flatnonzero(looked)
+    for a in range(0, len(at), 1024):
+        part = at[a : a + 1024]
+        place, cosine = best_of_tile(x[part], now)
+        rest = x[part] @ now.T
+        rest[np.arange(len(part)), place] = -1
+        second = rest.max(axis=1)
+        c[part], up[part], low[part] = place, np.sqrt(np.maximum(0, 2 - 2 * cosine)), np.sqrt(np.maximum(0, 2 - 2 * second))
+    return (c, looked), up, low
+
+
 def spherical_kmeans(rows: DataFrame, k: int, iterations: int = 100, runs: int = 1, seed: int = 42, key: str = "vec_id", vector: str = "embedding") -> Clusters:
-    """The best of ``runs`` runs by total similarity. A run ends early when no centroid moves."""
+    """The best of ``runs`` runs by total similarity. A run ends early when no centroid moves.
+
+    Rows without a vector, with nulls in it or of length zero belong to no cluster. Centroids lie on the driver (k times the
+    width); where a task should not hold them all, ``nearest`` assigns tile by tile, without bounds.
+    """
     spark = rows.sparkSession
     rows = rows.select(key, vector)
     best: Clusters | None = None
     for run in range(runs):
-        now = first_centroids(rows, k, seed + run, key, vector)
+        now, before, done = first_centroids(rows, k, seed + run, key, vector), None, 0
+        bounds = Rounds(rows, vector) if now.size <= TILE_VALUES else None
         for _ in range(iterations):
-            found = {r.cluster: r.centroid for r in update_centroids(nearest(rows, _frame(spark, now), vector).where("cluster is not null"), vector=vector).collect()}
-            new = np.array([found.get(i, now[i]) for i in range(len(now))])
+            done += 1
+            if bounds:
+                sums, n = bounds.assign(now, before)
+                means = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-8)
+                new = np.where((n > 0)[:, None], means, now)
+            else:
+                found = {r.cluster: r.centroid for r in update_centroids(nearest(rows, _frame(spark, now), vector).where("cluster is not null"), vector=vector).collect()}
+                new = np.array([found.get(i, now[i]) for i in range(len(now))])
             moved = float(np.abs(new - now).max())
-            now = new
+            now, before = new, now
             if moved < 1e-9:
                 break
-        assigned = nearest(rows, _frame(spark, now), vector)
-        total = similarity(assigned, _frame(spark, now), vector)
+        if bounds:
+            bounds.end()
+        assigned = nearest(rows, _frame(spark, now), vector, similarity="q_s")
+        total = assigned.agg(F.coalesce(F.sum("q_s"), F.lit(0.0))).first()[0]
         if best is None or total > best.similarity:
-            best = Clusters(_frame(spark, now), assigned.select(key, "cluster"), total)
+            best = Clusters(_frame(spark, now), assigned.select(key, "cluster"), total, 1 - bounds.looked / max(1, bounds.seen) if bounds else 0.0, done)
     return best
 
 
@@ -73,84 +188,50 @@ def similarity(assigned: DataFrame, centroids: DataFrame, vector: str) -> float:
     return both.agg(F.coalesce(F.sum(F.try_divide(dot(vector, "centroid"), norm(vector))), F.lit(0.0))).first()[0]
 
 
-def balanced_assignment(rows: DataFrame, centroids: np.ndarray, key: str, vector: str, scratch) -> DataFrame:
-    """Each row to a cluster, with sizes that differ by one at most (key, cluster).
+def similarities(rows: DataFrame, centroids: np.ndarray, key: str, vector: str) -> DataFrame:
+    """(q_row, tie, sims) of ``rows`` (q_row, key, vector): cosines to all centroids in whole parts of UNIT, and a number that
+    decides between equal bids. Rows without a sound vector are equally near to all."""
+    sent = rows.sparkSession.sparkContext.broadcast(unit(centroids))
 
-    In a round, every open row asks for its nearest open cluster; a cluster takes those it suits best up to its room, and
-    closes when it is full. Each round fills a cluster or places every row, so there are k rounds at most. Room is cut by a
-    histogram of margins and, within one bucket, by rank, so that a cluster with many requests is no single task's work.
-    """
-    spark = rows.sparkSession
-    n, k = rows.count(), len(centroids)
-    room = {i: n // k + (1 if i < n % k else 0) for i in range(k)}
-    open_rows, done = rows.select(key, vector), []
-    while room:
-        ids = sorted(i for i in room if room[i] > 0)
-        if not ids:
-            break
-        subset = spark.createDataFrame([(i, centroids[i].tolist()) for i in ids], "cluster int, centroid array<double>")
-        asked = scratch(margins(nearest(open_rows, subset, vector, compat=True).withColumn("cluster", F.when(F.col("cluster").isin(*ids), F.col("cluster")).otherwise(F.lit(ids[0]))), subset, vector).select(key, vector, "cluster", "margin"))
-        want = {r.cluster: r.n for r in asked.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-        full = {i: want.get(i, 0) > room[i] for i in ids}
-        space = F.create_map(*(F.lit(x) for i in ids for x in (i, room[i])))
-        over = [i for i in ids if full[i]]
-        fits = asked.where(~F.col("cluster").isin(*over)) if over else asked
-        taken = fits.select(key, "cluster")
-        if over:
-            ranked = best_within(asked.where(F.col("cluster").isin(*over)), space, key)
-            taken = taken.unionByName(ranked)
-        taken = scratch(taken)
-        done.append(taken)
-        if not over:
-            break
-        for i in ids:
-            room[i] -= min(want.get(i, 0), room[i])
-        open_rows = asked.select(key, vector).join(taken.select(key), key, "left_anti")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def margins(asked: DataFrame, centroids: DataFrame, vector: str) -> DataFrame:
-    """``asked`` with the cosine to its cluster's centroid, in whole billionths so that ties are exact."""
-    from ..functions.vectors import dot
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for batch in batches:
+            out = np.zeros((len(batch), len(c)), np.int64)
+            at, x = vectors_of(batch.column(2), c.shape[1])
+            if len(at):  # value by value, so that the order of sums is fixed
+                x = unit(x)
+                out[at] = np.rint(sum(x[:, j, None] * c[None, :, j] for j in range(c.shape[1])) * UNIT)
+            sims = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(c)), pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sims], ["q_row", "tie", "sims"])
 
-    c = centroids.withColumnRenamed("cluster", "q_c")
-    out = asked.join(c, F.col("cluster") == F.col("q_c"))
-    return out.withColumn("margin", F.coalesce(F.rint(F.try_divide(dot(vector, "centroid"), norm(vector) * norm("centroid")) * 1e9), F.lit(-2e9)).cast("long")).drop("q_c", "centroid")
+    return rows.select("q_row", F.xxhash64(key).alias("tie"), vector).mapInArrow(run, "q_row long, tie long, sims array<bigint>")
 
 
-def best_within(asked: DataFrame, space, key: str) -> DataFrame:
-    """Of each cluster's requests, as many as it has room for, by margin and then key: rows of whole margin buckets above
-    the cut by a sum over buckets, those of the cut's bucket by rank."""
-    bucket = F.floor(F.col("margin") / 1_000_000).cast("int")
-    asked = asked.withColumn("bucket", bucket)
-    sizes = asked.groupBy("cluster", "bucket").agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = sizes.withColumn("left", F.element_at(space, F.col("cluster")) - above).select("cluster", "bucket", "n", "left").where("left > 0")
-    joined = asked.join(cuts, ["cluster", "bucket"])
-    whole = joined.where("n <= left").select(key, "cluster")
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("margin"), key))
-    edge = joined.where("n > left").withColumn("rank", rank).where("rank <= left").select(key, "cluster")
-    return whole.unionByName(edge)
+def balanced_kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int = 42, key: str = "vec_id", vector: str = "embedding", epsilon: float = 1e-4) -> Clusters:
+    """Clusters whose sizes differ by one at most, each assignment within ``epsilon`` a row of the best total cosine.
 
-
-def balanced_kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int = 42, key: str = "vec_id", vector: str = "embedding") -> Clusters:
-    """Clusters of near-equal size by cosine. Ends early when no centroid moves."""
+    Ends when no centroid moves, or when a round gains less than ``epsilon`` a row; the best round counts.
+    """
     spark = rows.sparkSession
-    rows = rows.select(key, vector)
+    rows = settled(rows.select(F.monotonically_increasing_id().alias("q_row"), key, vector))
     now = first_centroids(rows, k, seed, key, vector)
-    for _ in range(iterations):
-        assigned = balanced_assignment(rows, now, key, vector, settled)
-        found = {r.cluster: r.centroid for r in update_centroids(assigned.join(rows, key), vector=vector).collect()}
+    n, prices, best = rows.count(), None, None
+    for done in range(1, iterations + 1):
+        placed, prices, total = auction.balanced(similarities(rows, now, key, vector), len(now), int(epsilon * UNIT), prices)
+        both = rows.join(placed, "q_row")
+        assigned = both.select(key, "cluster")
+        if best is not None and total / UNIT < best.similarity + epsilon * n:
+            if total / UNIT > best.similarity:
+                best = Clusters(_frame(spark, now), assigned, total / UNIT, 0.0, done)
+            break
+        best = Clusters(_frame(spark, now), assigned, total / UNIT, 0.0, done)
+        found = {r.cluster: r.centroid for r in update_centroids(both, vector=vector).collect()}
         new = np.array([found.get(i, now[i]) for i in range(len(now))])
         moved = float(np.abs(new - now).max())
         now = new
         if moved < 1e-9:
             break
-    final = assigned.join(rows, key)
-    return Clusters(_frame(spark, now), assigned, similarity(final, _frame(spark, now), vector))
+    return best
 
 
 def two_stage(rows: DataFrame, fine: int = 1024, coarse: int = 2, iterations: int = 100, runs: int = 1, seed: int = 42, key: str = "vec_id", vector: str = "embedding") -> tuple[Clusters, DataFrame]:

@@ -6,61 +6,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
 from ..sources.artifacts import ClusterModel, load_model
 from ..sources.writers import write_partitions
-from .joins import path_cascade
+from .joins import path_cascade, settled
 
-#: Centroids beyond which a matrix product in tasks takes the place of column expressions, and the most that are sent out.
-MATRIX_FROM, CENTROID_VALUES = 256, 50_000_000
+#: Values of a tile of centroids that a task holds at once, and how far below the best a similarity is looked at again.
+TILE_VALUES, NEAR = 8_000_000, 1e-9
 
 
-def centroid_rows(centroids: DataFrame) -> list[tuple[int, list[float]]]:
-    """Centroids on the driver, unit length, by cluster. Their number is a setting, and its size is checked."""
-    k = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
-    if (k[0] or 0) * (k[1] or 0) > CENTROID_VALUES:
-        raise ValueError(f"{k[0]} centroids of {k[1]} values are more than a task should hold")
-    rows = sorted((r.cluster, np.array(r.centroid, np.float64)) for r in centroids.collect())
-    return [(c, (v / max(np.sqrt(v @ v), 1e-8)).tolist()) for c, v in rows]
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-8)
 
 
-def _by_columns(rows: DataFrame, centroids: list[tuple[int, list[float]]], vector: str, cluster: str) -> DataFrame:
-    v = F.col(vector)
-    length = F.sqrt(dot(v, v))
-    options = F.array(*(F.struct(dot(v, F.lit(c)).alias("sim"), F.lit(-i).alias("neg")) for i, c in centroids))
-    best = F.array_max(options)
-    return rows.withColumn(cluster, F.when((length > 0) & best["sim"].isNotNull(), -best["neg"]))
+def tiles(centroids: DataFrame, values: int = TILE_VALUES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of ``centroids``, by cluster, in parts of ``values`` values at most. One part is on the driver at a time."""
+    size = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    parts = max(1, -(-(size[0] or 0) * (size[1] or 0) // values))
+    if parts > 1:
+        bounds = centroids.selectExpr(f"percentile(cluster, array({', '.join(str(i / parts) for i in range(1, parts))})) AS p").first().p
+        cuts = [float("-inf"), *bounds, float("inf")]
+    else:
+        cuts = [float("-inf"), float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        part = centroids.where((F.col("cluster") > low) & (F.col("cluster") <= high)) if parts > 1 else centroids
+        rows = sorted((r.cluster, r.centroid) for r in part.select("cluster", "centroid").collect())
+        if rows or parts == 1:
+            yield np.array([c for c, _ in rows], np.int32), unit(np.array([v for _, v in rows], np.float64)) if rows else np.zeros((0, 0))
 
 
-def _by_matrix(rows: DataFrame, centroids: list[tuple[int, list[float]]], vector: str, cluster: str) -> DataFrame:
-    ids, matrix = np.array([i for i, _ in centroids], np.int32), np.array([c for _, c in centroids], np.float64)
-    at = rows.columns.index(vector)
+def vectors_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with ``width`` values and no null among them, and their vectors."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    right = pc.fill_null(pc.equal(pc.list_value_length(lists), width), False)
+    at = np.flatnonzero(right.to_numpy(zero_copy_only=False))
+    flat = pc.list_flatten(lists.filter(right)).cast(pa.float64())
+    values = np.array(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(at), width)
+    sound = np.ones(len(at), bool)
+    if flat.null_count:
+        sound = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), width).any(axis=1)
+    return at[sound], values[sound]
+
+
+def in_order(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Dot products of rows of ``x`` with rows of ``c`` one by one, summed from the first value to the last."""
+    return np.cumsum(x * c, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
+def best_of_tile(x: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place and cosine of the nearest row of ``matrix``, the first of several, for unit vectors.
+
+    A matrix product finds what comes near the best; these are then compared by sums in a fixed order, so that the result
+    doesn't depend on how rows and centroids are divided.
+    """
+    rough = x @ matrix.T
+    row, place = np.nonzero(rough >= rough.max(axis=1, keepdims=True) - NEAR)
+    exact = np.zeros(len(row))
+    for a in range(0, len(row), 4096):
+        exact[a : a + 4096] = in_order(x[row[a : a + 4096]], matrix[place[a : a + 4096]])
+    order = np.lexsort((place, -exact, row))
+    first = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(order) else order
+    return place[first], exact[first]
+
+
+def _with_tile(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, vector: str, cluster: str, sim: str, found: bool) -> DataFrame:
+    """``rows`` with the best cluster of this tile, or of those before (``found``) where that one is at least as near."""
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+    kept = [f for f in rows.schema.fields if not (found and f.name in (cluster, sim))]
+    sent = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
         for batch in batches:
-            given = batch.column(at).to_pylist()
-            found: list[int | None] = [None] * len(given)
-            sound = [i for i, v in enumerate(given) if v is not None and len(v) == matrix.shape[1] and None not in v]
-            if sound:
-                x = np.array([given[i] for i in sound], np.float64)
-                length = np.sqrt((x * x).sum(axis=1))
-                best = ids[(x @ matrix.T).argmax(axis=1)]
-                for i, b, n in zip(sound, best.tolist(), length, strict=True):
-                    found[i] = b if n > 0 else None
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], [*batch.schema.names, cluster])
-
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(cluster, IntegerType())]))
-
-
-def nearest(rows: DataFrame, centroids: DataFrame, vector: str = "embedding", cluster: str = "cluster", compat: bool = False) -> DataFrame:
-    """``rows`` with the cluster of the most similar centroid, the lowest of several; null (compat: 0) for a zero vector."""
-    held = centroid_rows(centroids)
-    out = (_by_matrix if len(held) >= MATRIX_FROM else _by_columns)(rows, held, vector, cluster)
+            best, sims = np.full(len(batch), -1, np.int64), np.full(len(batch), -np.inf)
+            at, x = vectors_of(batch.column(batch.schema.get_field_index(vector)), matrix.shape[1])
+            x, at = x[own := (x * x).sum(axis=1) > 0], at[own]
+            for a in range(0, len(at), 1024) if len(ids) else ():
+                place, value = best_of_tile(unit(x[a : a + 1024]), matrix)
+                best[at[a : a + 1024]], sims[at[a : a + 1024]] = ids[place], value
+            if found:
+                before = pc.fill_null(batch.column(batch.schema.get_field_index(sim)), -np.inf).to_numpy(zero_copy_only=False)
+                held = pc.fill_null(batch.column(batch.schema.get_field_index(cluster)), -1).to_numpy(zero_copy_only=False)
+                stays = before >= sims
+                best, sims = np.where(stays, held, best), np.where(stays, before, sims)
+            none = np.isneginf(sims)
+            own = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(best.astype(np.int32), mask=none), pa.array(sims, mask=none)], [*(f.name for f in kept), cluster, sim])
+
+    return rows.mapInArrow(run, StructType([*kept, StructField(cluster, IntegerType()), StructField(sim, DoubleType())]))
+
+
+def nearest(rows: DataFrame, centroids: DataFrame, vector: str = "embedding", cluster: str = "cluster", compat: bool = False, similarity: str | None = None, values: int = TILE_VALUES) -> DataFrame:
+    """``rows`` with the cluster of the most similar centroid, the lowest of several; null (compat: 0) for a zero vector, one
+    with nulls or one of another width. ``similarity`` names a column for the cosine.
+
+    Any number of centroids: rows meet them in tiles of bounded size, one after the other, and carry the best so far. Between
+    tiles the rows are written, so that a task holds one tile only; where one tile holds all, nothing is written.
+    """
+    out, sim, found = rows, similarity or "q_similarity", False
+    for ids, matrix in tiles(centroids, values):
+        out = _with_tile(settled(out) if found and not rows.isStreaming else out, ids, matrix, vector, cluster, sim, found)
+        found = True
+    out = out if similarity else out.drop(sim)
     return out.withColumn(cluster, F.coalesce(F.col(cluster), F.lit(0))) if compat else out
 
 

@@ -26,10 +26,10 @@ def _answered(t):
 _ANSWERED = "(SELECT doc_id, source, n_chars, lang AS gt, CASE WHEN doc_id % 4 = 0 THEN 'quite wrong' ELSE lang END AS pred FROM documents WHERE lang IS NOT NULL)"
 
 
-@query("""SELECT d.doc_id, l.quality, l.toxic AS third, d.source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id < 100000""")
+@query("""SELECT d.doc_id, l.quality, l.toxic AS third, d.source FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def positional_joins(t):
     """Files side by side by line, three of them with a lookup by a key."""
-    docs, labels = t("documents").select(F.col("doc_id").alias("line_no"), F.col("doc_id").alias("image")), t("labels").where("doc_id < 100000")
+    docs, labels = t("documents").select(F.col("doc_id").alias("line_no"), F.col("doc_id").alias("image")), t("labels")
     first = joins.by_position(docs, labels.select(F.col("doc_id").alias("line_no"), "quality"))
     out = joins.zip_lookup(first, labels.select(F.col("doc_id").alias("line_no"), F.col("toxic").alias("third")), docs.select("line_no"), t("documents").select(F.col("doc_id").alias("image"), "source"))
     return out.select(F.col("image").alias("doc_id"), "quality", "third", "source")
@@ -327,7 +327,7 @@ def split_by_expert(t):
 def spherical_sound(t):
     """Every row has the nearest of eight centroids of length 1, and they are nearer than those of the start."""
     rows = t("embeddings").select("vec_id", "embedding")
-    c = clustering.spherical_kmeans(rows, 8, iterations=5)
+    c = clustering.spherical_kmeans(rows, 8)
     again = routing.nearest(rows, c.centroids).select("vec_id", F.col("cluster").alias("again"))
     both = c.assignments.join(again, "vec_id").agg(F.count("*").alias("rows"), F.count_if(~F.col("cluster").eqNullSafe(F.col("again"))).alias("elsewhere"))
     start = clustering._frame(rows.sparkSession, clustering.first_centroids(rows, 8, 42, "vec_id", "embedding"))
@@ -338,14 +338,14 @@ def spherical_sound(t):
 
 @query("SELECT c::INTEGER AS cluster, (n // 4 + (c < n % 4)::INTEGER)::BIGINT AS rows FROM (SELECT count(*) AS n FROM embeddings) CROSS JOIN range(4) r(c)")
 def balanced_sizes(t):
-    c = clustering.balanced_kmeans(t("embeddings"), 4, iterations=2)
+    c = clustering.balanced_kmeans(t("embeddings"), 4)
     return c.assignments.groupBy("cluster").agg(F.count("*").alias("rows"))
 
 
 @query("SELECT c::INTEGER AS coarse, 8::BIGINT AS fine, (SELECT count(*) FROM embeddings)::BIGINT AS rows FROM range(2) r(c)")
 def two_stage_sound(t):
     """Sixteen fine clusters in two coarse ones of equal number; every row has both."""
-    fine, mapping = clustering.two_stage(t("embeddings"), 16, 2, iterations=2)
+    fine, mapping = clustering.two_stage(t("embeddings"), 16, 2)
     n = fine.assignments.join(mapping, F.col("cluster") == F.col("fine")).count()
     return mapping.groupBy("coarse").agg(F.count("*").alias("fine"), F.lit(n).cast("long").alias("rows"))
 

@@ -68,19 +68,19 @@ def partition_counts(t):
 
 @query()
 def spherical_kmeans(t):
-    c = clustering.spherical_kmeans(t("embeddings"), 8, iterations=4)
+    c = clustering.spherical_kmeans(t("embeddings"), 8)
     return routing.cluster_sizes(c.assignments, 8)
 
 
 @query("""SELECT c::INTEGER AS cluster, (n // 4 + (c < n % 4)::INTEGER)::BIGINT AS n, 100.0::DOUBLE * (n // 4 + (c < n % 4)::INTEGER) / n AS percent FROM (SELECT count(*) AS n FROM embeddings) CROSS JOIN range(4) r(c)""")
 def balanced_kmeans(t):
-    c = clustering.balanced_kmeans(t("embeddings"), 4, iterations=2)
+    c = clustering.balanced_kmeans(t("embeddings"), 4)
     return routing.cluster_sizes(c.assignments, 4)
 
 
 @query()
 def two_stage_kmeans(t):
-    fine, mapping = clustering.two_stage(t("embeddings"), 16, 2, iterations=2)
+    fine, mapping = clustering.two_stage(t("embeddings"), 16, 2)
     return fine.assignments.join(mapping, fine.assignments["cluster"] == mapping["fine"]).groupBy("fine", "coarse").count()
 
 

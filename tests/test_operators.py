@@ -24,8 +24,7 @@ def test_nearest_ties_zeros_and_scale(spark, centroids):
     got = {r.id: r.cluster for r in routing.nearest(rows, centroids).collect()}
     assert got == {1: 0, 2: 1, 3: None, 4: None, 5: 0}
     assert {r.id: r.cluster for r in routing.nearest(rows, centroids, compat=True).collect()}[3] == 0
-    held = routing.centroid_rows(centroids)
-    assert {r.id: r.cluster for r in routing._by_matrix(rows, held, "embedding", "cluster").collect()} == got
+    assert {r.id: r.cluster for r in routing.nearest(rows, centroids, values=2).collect()} == got
     mapping = spark.createDataFrame([(0, 9), (1, 8), (2, 8)], "fine int, coarse int")
     assert {r.id: (r.fine, r.cluster) for r in routing.nearest_two_stage(rows, centroids, mapping).collect()}[2] == (1, 8)
     assert {r.cluster: r.n for r in routing.cluster_sizes(routing.nearest(rows, centroids).where("cluster is not null"), 3).collect()} == {0: 2, 1: 1, 2: 0}
