@@ -151,14 +151,20 @@ def _typed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text")]
 
 
+def word_key(words: list[bytes]) -> tuple[int, int]:
+    """A hash of 128 bits of the word sequence."""
+    import xxhash
+
+    k = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), np.int64)
+    return int(k[0]), int(k[1])
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: Plan) -> DataFrame:
     """Per row: doc, t1 and t2 (a hash of the text), n_shingles, k1 and k2 (a hash of the word sequence), sig and bands (null
     without words)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shingler = Shingler()
         for batch in slices(batches):
             rows = []
@@ -169,8 +175,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: Plan) -> Data
                     rows.append((doc, t1, t2, 0, None, None, None, None))
                     continue
                 low = minima(found, bands.hashes)
-                k = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), np.int64)
-                rows.append((doc, t1, t2, len(found), k[0], k[1], packed(low), band_keys(low, bands.bands)))
+                rows.append((doc, t1, t2, len(found), *word_key(words), packed(low), band_keys(low, bands.bands)))
             kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
@@ -212,7 +217,7 @@ def _id_bit(doc: str) -> Column:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full shingle sets of ``nodes`` (node, k2, rep): node, s (sorted hashes).
+    """Full shingle sets of ``nodes`` (node, k1, k2, rep): node, s (sorted hashes).
 
     A bitmap of bounded size tells tasks which texts may be wanted, so that texts stay where they are read; a join of the
     sets then keeps those of ``nodes``.
@@ -221,8 +226,6 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shingler = Shingler()
         for batch in slices(batches):
             bit = np.asarray(batch.column(2))
@@ -231,15 +234,14 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = shingler.words(text)
                 if words:
-                    k = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), np.int64)
-                    rows.append((doc, k[0], k[1], shingler.shingles(words).view(np.int64)))
+                    rows.append((doc, *word_key(words), shingler.shingles(words).view(np.int64)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["rep", "node", "k2", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["rep", "k1", "k2", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    sets = texts.withColumn("bit", _id_bit("rep")).mapInArrow(run, "rep long, node long, k2 long, s array<long>")
-    return sets.dropDuplicates(["rep", "node", "k2"]).join(nodes.select("rep", "node", "k2"), ["rep", "node", "k2"], "left_semi").select("node", "s")
+    sets = texts.withColumn("bit", _id_bit("rep")).mapInArrow(run, "rep long, k1 long, k2 long, s array<long>")
+    return sets.dropDuplicates(["rep", "k1", "k2"]).join(nodes.select("rep", "k1", "k2", "node"), ["rep", "k1", "k2"]).select("node", "s")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,13 +294,13 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     sigs = scratch.put(signatures(docs, id_col, text_col, bands), "signatures")
     worded = sigs.where("n_shingles > 0 and doc is not null")
     first = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc", "sig", "bands")).alias("m"))
-    # Links are between nodes, told apart by k1; two of 10**9 classes share one with a chance of 3 percent.
-    reps = scratch.put(first.select(F.col("k1").alias("node"), "k2", F.col("m.doc").alias("rep"), "m.sig", "m.bands"), "classes")
+    # Links are between nodes, which are numbers that classes get once, when they are written.
+    reps = scratch.put(first.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("m.doc").alias("rep"), "m.sig", "m.bands"), "classes")
     members = reps.select("node", "rep", F.explode("bands").alias("band"))
     # The smallest document leads: copies are mostly nearer to it than to each other.
     shared = members.groupBy("band").agg(F.min(F.struct("rep", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
     buckets = scratch.put(members.join(shared.select("band", F.col("first.node").alias("leader")), "band").select("band", "node", "leader"), "buckets")
-    nodes = scratch.put(reps.select("node", "k2", "rep").join(buckets.select("node").distinct(), "node", "left_semi"), "nodes")
+    nodes = scratch.put(reps.select("node", "k1", "k2", "rep").join(buckets.select("node").distinct(), "node", "left_semi"), "nodes")
     sets = scratch.put(shingle_sets(docs, nodes, id_col, text_col), "sets")
     star = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.put(confirmed(likely(star, reps, bands), sets, percent), "links")
@@ -311,9 +313,9 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Da
     if not rest.isEmpty():
         more = scratch.put(confirmed(rest, sets, percent), "links")
         found = scratch.put(components(links.unionByName(more), scratch), "components")
-    linked = reps.select("node", "k2", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = reps.select("node", "k1", "k2", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = scratch.put(linked.join(least, "component").select(F.col("node").alias("k1"), "k2", "component_id"), "named")
+    classes = scratch.put(linked.join(least, "component").select("k1", "k2", "component_id"), "named")
     out = sigs.select("doc", "t1", "t2", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     return out.select("doc", "t1", "t2", "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
 

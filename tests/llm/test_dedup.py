@@ -155,6 +155,17 @@ def test_near_dedup_judges_texts_that_share_an_id_by_themselves(spark):
     assert sorted((x.doc_id, x.text) for x in kept.collect()) == sorted([(3, a), (5, b), (7, "nothing like it")])
 
 
+def test_near_dedup_keeps_texts_apart_that_share_half_a_hash(spark, monkeypatch):
+    """All word sequences have the same first half of their hash: links go by classes, not by halves."""
+    import zlib
+
+    monkeypatch.setattr(near_dedup, "word_key", lambda words: (7, zlib.crc32(b" ".join(words))))
+    base = [" ".join(f"{t}{i}" for i in range(60)) for t in ("a", "b")]
+    rows = [(1, base[0]), (2, base[0] + " more"), (3, base[1]), (4, base[1] + " more"), (5, "quite another text of a few words")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_classes(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_dedup_finds_what_lies_at_its_threshold(spark, percent):
     """Recall on pairs barely above the threshold, each alone, and on families whose members lie just below it."""
