@@ -28,9 +28,12 @@ from .common import fresh, slices, tidy
 
 #: Labelled documents of each class that training may see.
 PER_CLASS = 1500
-#: Windows of one document, and bytes of one window, that training may see.
-WINDOWS, WINDOW_BYTES = 64, 4096
-WINDOW, STRIDE = 32, 24
+#: Windows of one document that training may see.
+WINDOWS = 64
+#: Words of a window, words from one to the next, and bytes of a word: a longer one counts as several words.
+WINDOW, STRIDE, WORD_BYTES = 32, 16, 256
+#: Words of a text that are looked up at once.
+BLOCK = 1 << 14
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
 #: Distinct words whose projected inputs a task holds: 25 MB.
@@ -48,7 +51,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
+    words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
+    if words and max(map(len, words)) > WORD_BYTES:
+        return [w[at : at + WORD_BYTES] for w in words for at in range(0, len(w), WORD_BYTES)]
+    return words
 
 
 def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,13 +294,15 @@ class Scorer:
 
         for i, text in enumerate(texts):
             words = tokens(text)
-            before = self.place
-            new = sum(w not in before for w in set(words))
-            if self.size + new > HELD:
-                flush()  # ids of windows at hand die with the table
-            ids = self._ids(words)
-            for s in window_starts(len(ids)):
-                part = ids[s : s + WINDOW]
+            starts, begin, end = window_starts(len(words)), 0, 0
+            for s in starts:
+                if s + WINDOW > end:  # the next block of words
+                    begin, end = s, s + BLOCK
+                    block = words[begin:end]
+                    if self.size + sum(w not in self.place for w in set(block)) > HELD:
+                        flush()  # ids of windows at hand die with the table
+                    ids = self._ids(block)
+                part = ids[s - begin : s - begin + WINDOW]
                 full.append(part if len(part) == WINDOW else np.concatenate([part, np.zeros(WINDOW - len(part), np.int64)]))
                 owner.append(i)
                 if len(owner) >= 2048:
@@ -334,13 +342,13 @@ def sample_windows(docs: DataFrame, id_col: str, text_col: str, network: Network
                 else:
                     picked = range(len(starts))
                 parts = [b" ".join(words[s : s + WINDOW]) for s in starts[picked].tolist()]
-                rows.append((doc, y, [x for x in parts if len(x) <= WINDOW_BYTES], len(starts) <= most))
+                rows.append((doc, y, parts, len(starts) <= most))
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["q_id", "q_y", "windows", "whole"])
 
     typed = docs.select(F.col(id_col).cast("long"), "q_y", F.coalesce(F.col(text_col), F.lit("")))
     found = typed.mapInArrow(run, "q_id long, q_y int, windows array<binary>, whole boolean").collect()
-    texts = sorted({(r.q_id, r.q_y, tuple(map(bytes, r.windows)), r.whole) for r in found if r.windows})
+    texts = sorted((r.q_id, r.q_y, tuple(map(bytes, r.windows)), r.whole) for r in found)
     return [(y, list(windows), whole) for _, y, windows, whole in texts]
 
 
@@ -353,7 +361,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len({y for _, y in ids}) < 2:
         return None
     few = docs.sparkSession.createDataFrame(ids, "q_id long, q_y int")
-    sample = docs.select(id_col, text_col).join(F.broadcast(few), F.col(id_col) == F.col("q_id"))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col)).join(F.broadcast(few), F.col(id_col) == F.col("q_id"))
+    # One text of each id, however often the id occurs.
+    sample = rows.groupBy(F.col("q_id").alias(id_col), "q_y").agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), F.col(text_col))).alias(text_col))
     windows = sample_windows(sample, id_col, text_col)
     # Evenly spaced windows may miss what a document is labelled toxic for, so long ones wait for a network if they can.
     whole = [v for v in windows if v[2]]

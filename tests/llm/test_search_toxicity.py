@@ -148,6 +148,31 @@ def plain_score(net, text):
     return sig(best)
 
 
+def test_long_words_and_repeated_ids_train_whole(spark, monkeypatch):
+    long = "z" * 1000 + " y"
+    assert [len(w) for w in toxicity.tokens(long)] == [256, 256, 256, 232, 1]
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, int(k % 2)) for k, i in enumerate(free)], "doc_id long, toxic int")
+    texts = [(i, ("bad " * 40 if k % 2 else "good " * 40) + "x" * 9000) for k, i in enumerate(free)]
+    table = spark.createDataFrame(texts + [(free[0], f"again {n}") for n in range(400)], "doc_id long, text string")
+    seen = []
+    find = toxicity.sample_windows
+    monkeypatch.setattr(toxicity, "sample_windows", lambda *a, **b: seen.append(find(*a, **b)) or seen[-1])
+    assert toxicity.train(table, labels) is not None
+    assert len(seen[0]) == len(free)  # one text of each id, none without windows
+    assert max(len(x) for _, w, _ in seen[0] for x in w) > 4096
+
+
+def test_blocks_of_words_change_no_score(monkeypatch):
+    net = toxicity.Network()
+    text = " ".join(f"w{i * i % 977}" for i in range(700))
+    whole = toxicity.Scorer(net).scores([text, "w1", None])
+    monkeypatch.setattr(toxicity, "BLOCK", 48)
+    monkeypatch.setattr(toxicity, "HELD", 60)
+    scorer = toxicity.Scorer(net)
+    assert np.allclose(scorer.scores([text, "w1", None]), whole) and scorer.size <= 60 + 48
+
+
 def test_scores_match_a_plain_scorer():
     net, r = toxicity.Network(seed=3), np.random.default_rng(9)
     words = [f"{a}{b}o" for a in "abcdefgh" for b in "mnpqrs"]
