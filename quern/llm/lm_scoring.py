@@ -10,9 +10,10 @@ minus one for each time it comes before another, and one as a first word. The ex
 its hash partition, each n-gram's occurrences are summed over the corpus and joined to its rows by a window, which is a
 count table and its join in one shuffle; the products are then summed by document. Words of a bounded table of frequent
 ones have their counts in every task and never travel. Heavy bigrams would send a large share of all documents to one
-partition: those above a 1 / HEAVY share of a task's bigrams, summed over tasks, include every bigram above 2 / HEAVY of the
-corpus, and fewer than HEAVY pass the same share of the corpus. They are dealt by document instead, and their counts are
-summed at the end and joined to the documents by broadcast.
+partition: those above a 1 / K share of a task's bigrams, summed over tasks, include every bigram above 2 / K of the corpus,
+and fewer than K pass the same share of the corpus. K is HEAVY or four times the number of partitions, whichever is more, so
+that no bigram is more than half a partition's share at any size. They are dealt by document instead, and their counts are
+summed at the end and joined to the documents by broadcast (fewer than K rows).
 
 Scored by its own corpus, a document holds no bigram that the corpus lacks, and nothing backs off. By another corpus it
 may: its n-grams are joined to that corpus's count table, and what the join does not find is scored by its word's count.
@@ -34,7 +35,7 @@ from .common import HOT, Memo, Scratch, most_frequent, partitions, slices, tidy
 
 #: Bits of the table of frequent words, and the backoff factor.
 FREQUENT_BITS, BACKOFF = 18, 0.4
-#: Bigrams above a 1 / HEAVY share of the corpus are dealt by document; fewer than HEAVY can be.
+#: Bigrams above a share of the corpus, 1 / HEAVY or less (see ``heavy_share``), are dealt by document.
 HEAVY = HOT
 #: Words and rows a task gathers before it passes them on; distinct words it remembers.
 GATHERED, ROWS_SENT, WORDS_HELD = 800_000, 100_000, 150_000
@@ -68,9 +69,14 @@ def bigram_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(_mix(before) * _P + word * _Q)
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+def heavy_share(n_parts: int) -> int:
+    """A bigram that is more than one in so many goes by document."""
+    return max(HEAVY, 4 * n_parts)
+
+
+def word_counts(docs: DataFrame, text_col: str, share: int = HEAVY) -> DataFrame:
     """Counts of the corpus: h, n and heavy. Rows with heavy false count words; the others count, in part, bigrams that are
-    frequent in a task."""
+    more than one in ``share`` in a task."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +87,11 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
             ends = np.cumsum([len(x) for x in held])[:-1]
             word, place, n = np.unique(h, return_inverse=True, return_counts=True)
             # A bigram can be heavy only if both of its words are.
-            often = (n * HEAVY > len(h))[place]
+            often = (n * share > len(h))[place]
             both = often[:-1] & often[1:]
             both[ends[ends > 0] - 1] = False
             g, m = np.unique(bigram_keys(h[:-1][both], h[1:][both]), return_counts=True)
-            g, m = g[m * HEAVY > len(h)], m[m * HEAVY > len(h)]
+            g, m = g[m * share > len(h)], m[m * share > len(h)]
             columns = [np.concatenate([word, g]).view(np.int64), np.concatenate([n, m]), np.arange(len(word) + len(g)) >= len(word)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "n", "heavy"])
 
@@ -124,13 +130,13 @@ def places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, at, -1)
 
 
-def model_of(words: DataFrame, frequent_bits: int = FREQUENT_BITS, with_heavy: bool = True) -> Model:
-    """``words`` is the written table of ``word_counts``."""
+def model_of(words: DataFrame, frequent_bits: int = FREQUENT_BITS, share: int | None = HEAVY) -> Model:
+    """``words`` is the written table of ``word_counts``; without a ``share``, no bigram is heavy."""
     singles = words.where(~F.col("heavy"))
     total = singles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     top = most_frequent(singles, "n", 1 << min(frequent_bits, FREQUENT_BITS)).select("h", "n").toArrow()
-    # Every bigram occurrence counts once at most here, so fewer than HEAVY pass.
-    heavy = words.where(F.col("heavy") & (F.col("n") * HEAVY > total)).select("h").collect() if with_heavy else []
+    # Every bigram occurrence counts once at most here, so fewer than ``share`` pass.
+    heavy = words.where(F.col("heavy") & (F.col("n") * share > total)).select("h").collect() if share else []
     column = lambda name: np.asarray(top.column(name).combine_chunks(), np.int64)
     return Model(column("h"), column("n"), np.array([r.h for r in heavy], np.int64), total)
 
@@ -138,7 +144,7 @@ def model_of(words: DataFrame, frequent_bits: int = FREQUENT_BITS, with_heavy: b
 #: Rows of two sorts. An n-gram of a document: key, row (the document), times, weight, for a heavy bigram its place (its key is
 #: its row then), and if asked for its words (before and word; before is null for a single word). And a document: doc, its
 #: number of words in times, and in base the part of its score that needs no other count; its weight is null, its key its row.
-EXPLODED = "key long, row long, times long, weight int, heavy short, doc long, base long"
+EXPLODED = "key long, row long, times long, weight int, heavy int, doc long, base long"
 WITH_WORDS = EXPLODED + ", before long, word long"
 
 
@@ -170,7 +176,7 @@ def explode_ngrams(docs: DataFrame, model: Model, id_col: str, text_col: str, wi
             join = lambda a, b, kind: pa.concat_arrays([pa.array(a, kind), pa.array(b, kind)])
             null = lambda size, kind: pa.nulls(size, kind)
             own = np.array([x[0] for x in documents], np.int64)
-            columns = [join(key, own, pa.int64()), join(rows, own, pa.int64()), join(times, [x[2] for x in documents], pa.int64()), pa.concat_arrays([pa.array(weight, pa.int32()), null(k, pa.int32())]), pa.concat_arrays([pa.array(heavy, pa.int16(), mask=heavy < 0), null(k, pa.int16())])]
+            columns = [join(key, own, pa.int64()), join(rows, own, pa.int64()), join(times, [x[2] for x in documents], pa.int64()), pa.concat_arrays([pa.array(weight, pa.int32()), null(k, pa.int32())]), pa.concat_arrays([pa.array(heavy, pa.int32(), mask=heavy < 0), null(k, pa.int32())])]
             columns += [pa.concat_arrays([null(n, pa.int64()), pa.array(x, pa.int64())]) for x in (doc, [x[3] for x in documents])]
             if with_words:
                 columns += [pa.concat_arrays([pa.array(x.view(np.int64), pa.int64(), mask=x == 0), null(k, pa.int64())]) for x in (before.astype(_U), word.astype(_U))]
@@ -225,9 +231,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "lm")
     source = docs if corpus is None else corpus
-    words = scratch.put(word_counts(source, text_col), "words")
+    share = heavy_share(partitions(docs.sparkSession))
+    words = scratch.put(word_counts(source, text_col, share), "words")
     # The joins with another corpus are split by adaptive execution where a bigram is heavy.
-    model = model_of(words, frequent_bits, with_heavy=corpus is None)
+    model = model_of(words, frequent_bits, share if corpus is None else None)
     if corpus is None:
         dealt = explode_ngrams(docs, model, id_col, text_col).repartition(partitions(docs.sparkSession), "key")
         count = F.sum("times").over(Window.partitionBy("key"))

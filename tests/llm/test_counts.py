@@ -191,11 +191,29 @@ def test_heavy_bigrams_are_counted_apart(spark):
     rows = [(i, f"to be or{i} not{i} so{i} on{i} and{i} on{i} till{i} it{i} ends{i} there{i}") for i in range(300)]
     table = lm_table(spark, rows)
     words = lm_scoring.word_counts(table, "text").persist()
-    assert len(lm_scoring.model_of(words).heavy) == 1 and len(lm_scoring.model_of(words, with_heavy=False).heavy) == 0
+    assert len(lm_scoring.model_of(words).heavy) == 1 and len(lm_scoring.model_of(words, share=None).heavy) == 0
     said = [(i, t.encode().split()) for i, t in rows]
     assert_scores(lm_scoring.score_documents(table), brute_scores(said, [ws for _, ws in said]))
 
 
+def test_what_is_heavy_follows_the_partitions(spark):
+    """A bigram that is one in 1,500 is cold with few partitions, and dealt by document with 1,000 (the other one is one in 4,500)."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1498)) + (" to be" if i < 8 else " u v")) for i in range(12)]
+    table = lm_table(spark, rows)
+    assert lm_scoring.heavy_share(4) == lm_scoring.HEAVY and lm_scoring.heavy_share(1000) == 4000
+    heavy = [len(lm_scoring.model_of(lm_scoring.word_counts(table, "text", n), share=n).heavy) for n in map(lm_scoring.heavy_share, (4, 1000))]
+    assert heavy == [0, 1]
+    said = [(i, t.encode().split()) for i, t in rows]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "700")
+        scored = lm_scoring.score_documents(table)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert_scores(scored, brute_scores(said, [ws for _, ws in said]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 CHAT = "conv_id long, turn long, role string, text string, step string"
 
 
