@@ -171,6 +171,7 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, shard_rows: int
     found = rows.unionByName(everywhere).groupBy("lang", "shard").applyInArrow(one, "lang string, source string, part string, item string, p long, q long, value long")
     keys = ["lang", "source", "part", "item"]
     merged = scratch.put(found.groupBy(*keys).agg(F.max("p").alias("p"), F.max("q").alias("q"), F.sum("value").alias("value")), "merged")
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    pair = F.col("part") == "pair"
-    return merged.withColumn("rank", rank).where(pair | (F.col("rank") <= top)).select(*keys, F.when(~pair, F.col("p")).alias("p"), F.when(~pair, F.col("q")).alias("q"), "value", "rank")
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    pairs = merged.where("part = 'pair'").withColumns({"rank": rank, "p": F.lit(None).cast("long"), "q": F.lit(None).cast("long")})
+    terms = merged.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= top)  # cut before the shuffle too
+    return pairs.unionByName(terms).select(*keys, "p", "q", "value", "rank")
