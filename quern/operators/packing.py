@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chat import length_weight
+from .joins import settled
 
 IGNORE = -100
 
@@ -40,12 +41,13 @@ class Buffers:
         return min(whole, default=max(room, default=None) if crowded else None)
 
     def add(self, sample, tokens: int, images: int) -> list[tuple[int, int, list]]:
-        """Packs that are ready once a sample has come in. A pack over the token limit is ready too; cut it later."""
+        """Packs that are ready once a sample has come in. A pack over the token limit is ready too; cut it later. A sample
+        with more images than a pack may have is a pack of its own."""
+        if images > self.limits.images:
+            return [(tokens, images, [sample])]
         i = self._choice(tokens, images)
         t, m, ids = self.open.pop(i) if i is not None else (0, 0, [])
         pack = (t + tokens, m + images, [*ids, sample])
-        if pack[1] > self.limits.images:
-            return []
         if pack[0] >= self.limits.tokens or pack[1] == self.limits.images:
             return [pack]
         place = next((j for j, p in enumerate(self.open) if p[1] < pack[1]), len(self.open))
@@ -61,47 +63,78 @@ class Buffers:
 
 
 PACK_SCHEMA = "shard int, pack long, place int, sample long, tokens int, images int, offset int"
+#: Shards whose open packs meet in one, and where the numbers of packs of the next meeting begin.
+MEET, LEVEL = 16, 1 << 40
 
 
-def pack_samples(samples: DataFrame, limits: Limits, shards: int, order: str = "sample") -> DataFrame:
-    """Samples (sample, tokens, images) dealt to shards, and packed in order within each: the pack, place in it and offset.
+def over_limit(samples: DataFrame, limits: Limits) -> DataFrame:
+    """Samples with more images than a pack may have: each is a pack of its own."""
+    return samples.where(F.col("images") > limits.images)
 
-    A shard is a stream: its samples pass one by one, and only its open buffers are held. More shards pack in parallel, and
-    change the packs but not the samples. With overflow, packs above the token limit come out and are cut by ``cut_packs``.
-    """
-    dealt = samples.select(F.col(order).cast("long").alias("sample"), F.col("tokens").cast("int"), F.col("images").cast("int"), F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"))
+
+def _pass(dealt: DataFrame, limits: Limits, shards: int, first: int) -> DataFrame:
+    """Packs of ``dealt`` (sample, tokens, images, shard), numbered from ``first`` in each shard; open says that a pack was
+    still open when its shard ended. Shard i is partition i."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, buffers, count, held = None, Buffers(limits), 0, {}
+        shard, buffers, count, held = None, Buffers(limits), first, {}
 
-        def rows(packs: list[tuple[int, int, list]]) -> list[tuple]:
+        def rows(packs: list[tuple[int, int, list]], open_: bool) -> list[tuple]:
             nonlocal count
             out = []
             for _, _, ids in packs:
                 offset = 0
                 for place, i in enumerate(ids):
-                    tokens, images = held.pop(i)
-                    out.append((shard, count, place, i, tokens, images, offset))
+                    sample, tokens, images = held.pop(i)
+                    out.append((shard, count, place, sample, tokens, images, offset, open_))
                     offset += tokens
                 count += 1
             return out
 
-        names = [f.split()[0] for f in PACK_SCHEMA.split(", ")]
+        names, at = [*(f.split()[0] for f in PACK_SCHEMA.split(", ")), "open"], 0
         for frame in frames:
             out: list[tuple] = []
-            for i, tokens, images, s in frame.itertuples(index=False):
+            for i, tokens, images, s in frame[["sample", "tokens", "images", "shard"]].itertuples(index=False):
                 if s != shard:
-                    out += rows(buffers.flush())
-                    shard, buffers, count = s, Buffers(limits), 0
-                if images <= limits.images:
-                    held[i] = (tokens, images)
-                    out += rows(buffers.add(i, tokens, images))
+                    out += rows(buffers.flush(), True)
+                    shard, buffers, count = s, Buffers(limits), first
+                held[at] = (i, tokens, images)  # rows may repeat a sample
+                out += rows(buffers.add(at, tokens, images), False)
+                at += 1
             if out:
                 yield pd.DataFrame(out, columns=names)
-        if out := rows(buffers.flush()):
+        if out := rows(buffers.flush(), True):
             yield pd.DataFrame(out, columns=names)
 
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "sample").mapInPandas(run, PACK_SCHEMA)
+    return dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "sample").mapInPandas(run, PACK_SCHEMA + ", open boolean")
+
+
+def pack_samples(samples: DataFrame, limits: Limits, shards: int, order: str = "sample") -> DataFrame:
+    """Samples (sample, tokens, images) dealt to shards, and packed in order within each: the pack, place in it and offset.
+
+    A shard is a stream: its samples pass one by one, and only its open buffers are held. Shards pack in parallel. Packs that
+    are open at the end of MEET neighbouring shards are packed together, whole, and so on up to one shard, so that more shards
+    do not mean more padding; what meets there is open buffers, never samples. Every sample is in a pack: one with more images
+    than a pack may have is alone in its pack. With overflow, packs above the token limit come out; ``cut_packs`` cuts them.
+    """
+    dealt = samples.select(F.col(order).cast("long").alias("sample"), F.col("tokens").cast("int"), F.col("images").cast("int"), F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"))
+    now, done, level = _pass(dealt, limits, shards, 0), [], 0
+    while shards > 1:
+        now = settled(now)
+        done.append(now.where("not open").drop("open"))
+        left, shards, level = now.where("open"), -(-shards // MEET), level + 1
+        whole = left.groupBy("shard", "pack").agg(F.sum("tokens").cast("int").alias("tokens"), F.sum("images").cast("int").alias("images"))
+        # An open pack of a shard is an item of the next one: shard and number make its name.
+        item = (F.col("shard").cast("long") * (1 << 20) + F.col("pack") % (1 << 20)).alias("sample")
+        met = _pass(whole.select(item, "tokens", "images", F.floor(F.col("shard") / MEET).cast("int").alias("shard")), replace(limits, overflow=False), shards, level * LEVEL)
+        moved = met.select(F.col("sample").alias("q_item"), F.col("shard").alias("q_shard"), F.col("pack").alias("q_pack"), F.col("place").alias("q_place"), F.col("offset").alias("q_offset"), "open")
+        parts = left.drop("open").withColumn("q_item", item).join(moved, "q_item")
+        place = (F.row_number().over(Window.partitionBy("q_shard", "q_pack").orderBy("q_place", "place")) - 1).cast("int")
+        now = parts.withColumn("place", place).select(F.col("q_shard").alias("shard"), F.col("q_pack").alias("pack"), "place", "sample", "tokens", "images", (F.col("offset") + F.col("q_offset")).cast("int").alias("offset"), "open")
+    out = now.drop("open")
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def cut_packs(packs: DataFrame, limit: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.packing import Limits, cut_packs
+from ..operators.packing import Limits
 from ..sources import writers
 from ..streaming import jobs
 from .registry import query
@@ -21,9 +21,17 @@ def _arriving(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(out)
 
 
-def _run(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def _in_turn(tables: list[DataFrame], name: str) -> DataFrame:
+    """A stream whose batches are ``tables``, one after the other, each in one file."""
+    spark, out = tables[0].sparkSession, writers.shared_folder(tables[0].sparkSession, name)
+    for i, table in enumerate(tables):
+        table.coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def _run(stream: DataFrame, mode: str, name: str, mark: str | None = None) -> DataFrame:
     """The stream's result once all has arrived: rows of all batches, or (complete) the last batch."""
-    spark, out, mark = stream.sparkSession, writers.shared_folder(stream.sparkSession, name), writers.shared_folder(stream.sparkSession, "marks")
+    spark, out, mark = stream.sparkSession, writers.shared_folder(stream.sparkSession, name), mark or writers.shared_folder(stream.sparkSession, "marks")
     write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -52,17 +60,31 @@ def append_arriving(t):
     return spark.read.schema(docs.schema).parquet(out).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id AS sample, (n_chars % 900 + 1)::BIGINT AS tokens, 1::BIGINT AS packs FROM documents WHERE doc_id % 3 <= 2")
+@query("""SELECT doc_id AS sample, (n_chars % 900 + 1)::BIGINT AS tokens, 1::BIGINT AS times, doc_id % 97 = 0 AS alone FROM documents""")
 def pack_arriving(t):
-    """Samples packed as they come, and a filler for each shard that closes what is open; fillers are left out."""
+    """Every sample once, in a pack that is out or, by the stream's own state, in one that is open. Those with more images than
+    a pack may have are alone in theirs."""
     limits = Limits(tokens=1000, images=3, buffers=4, overflow=False)
-    docs = t("documents").select(F.col("doc_id").alias("sample"), (F.col("n_chars") % 900 + 1).cast("int").alias("tokens"), F.lit(1).alias("images"))
-    packs = _run(jobs.pack_stream(_arriving(docs, "samples"), limits, 2, None), "append", "packs")
-    cut = cut_packs(packs, limits.tokens)
-    done = cut.groupBy("sample").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("packs"))
-    # What is still in open buffers stands in the state; it is bounded, and comes out with the next samples.
-    waiting = docs.join(done, "sample", "left_anti").select("sample", F.col("tokens").cast("long").alias("tokens"), F.lit(1).cast("long").alias("packs"))
-    held = waiting.count()
-    if held > 2 * limits.buffers * limits.images:
-        raise ValueError(f"{held} samples wait in open buffers")
-    return done.unionByName(waiting)
+    images = F.when(F.col("doc_id") % 97 == 0, 4).otherwise(1)
+    docs = t("documents").select(F.col("doc_id").alias("sample"), (F.col("n_chars") % 900 + 1).cast("int").alias("tokens"), images.alias("images"))
+    mark = writers.shared_folder(docs.sparkSession, "marks")
+    packs = _run(jobs.pack_stream(_arriving(docs, "samples"), limits, 2, None), "append", "packs", mark)
+    sizes = packs.groupBy("shard", "pack").agg(F.count("*").alias("k"), F.sum("images").alias("m"))
+    out = packs.join(sizes, ["shard", "pack"]).select("sample", "tokens", ((F.col("k") == 1) & (F.col("m") > limits.images)).alias("alone"))
+    both = out.unionByName(jobs.waiting(docs.sparkSession, mark).select("sample", "tokens", F.lit(False).alias("alone")))
+    return both.groupBy("sample").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("times"), F.bool_or("alone").alias("alone"))
+
+
+@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*)::BIGINT AS n, (count(*) FILTER (value > 120))::BIGINT AS "right" FROM events
+WHERE ts < (SELECT date_trunc('day', max(ts) - INTERVAL 1 HOUR) FROM events) GROUP BY ALL""")
+def scores_by_day(t):
+    """Days that the watermark has closed, each once; a last file repeats early rows, which come too late to count."""
+    # Event times without a zone, as instants, so that days don't follow the session's zone.
+    at = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz)))")
+    events = t("events").select(at.alias("ts"), "event_type", (F.col("value") > 120).alias("correct"))
+    cut = F.timestamp_micros(F.lit(events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]))
+    late = events.where(F.unix_micros("ts") < F.floor((F.unix_micros(cut) - 3_600_000_000) / 86_400_000_000) * 86_400_000_000)
+    rows = _in_turn([events.where(F.col("ts") <= cut), events.where(F.col("ts") > cut), late], "answers")
+    found = _run(jobs.running_scores(rows, ["event_type"], time="ts"), "append", "days")
+    day = F.expr("timestampadd(MICROSECOND, unix_micros(window_start), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return found.select(day.alias("day"), "event_type", "n", "right")

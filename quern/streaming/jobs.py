@@ -6,9 +6,9 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.packing import PACK_SCHEMA, Buffers, Limits
 from ..operators.routing import nearest
@@ -34,49 +34,89 @@ def running_scores(rows: DataFrame, by: list[str], correct: str = "correct", tim
     return timed.select(F.col("w.start").alias("window_start"), *by, "n", "right")
 
 
-STATE = "count long, open array<struct<tokens: int, images: int, ids: array<long>, sizes: array<int>, counts: array<int>>>"
+#: A pack that is open: what it holds, in the order in which samples came.
+OPEN = "tokens int, images int, ids array<long>, sizes array<int>, counts array<int>"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Packer(StatefulProcessor):
+    """Packs of one shard. State: a list with an entry for each open pack, the number of packs so far, and a timer."""
+
+    def __init__(self, limits: Limits, wait: int | None):
+        self.limits, self.wait = limits, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", OPEN)
+        self.count = handle.getValueState("count", "n long")
+
+    def _packed(self, shard: int, count: int, packs: list, held: dict) -> tuple[list[tuple], int]:
+        out = []
+        for _, _, places in packs:
+            offset = 0
+            for place, i in enumerate(places):
+                sample, tokens, images = held.pop(i)
+                out.append((shard, count, place, sample, tokens, images, offset))
+                offset += tokens
+            count += 1
+        return out, count
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        buffers, held, at = Buffers(self.limits), {}, 0
+        for tokens, images, ids, sizes, counts in self.open.get():
+            buffers.open.append((tokens, images, list(range(at, at + len(ids)))))
+            held |= {at + i: x for i, x in enumerate(zip(ids, sizes, counts, strict=True))}
+            at += len(ids)
+        count = self.count.get()[0] if self.count.exists() else 0
+        for frame in rows:
+            out: list[tuple] = []
+            for sample, tokens, images in frame.sort_values("sample")[["sample", "tokens", "images"]].itertuples(index=False):
+                held[at] = (int(sample), int(tokens), int(images))
+                more, count = self._packed(key[0], count, buffers.add(at, int(tokens), int(images)), held)
+                out, at = out + more, at + 1
+            yield pd.DataFrame(out, columns=PACK_NAMES)
+        self.count.update((count,))
+        self.open.put([(t, m, *([held[i][j] for i in ids] for j in range(3))) for t, m, ids in buffers.open])
+        if self.wait is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """What is open comes out, as the shard has heard nothing for a while."""
+        count, out = self.count.get()[0] if self.count.exists() else 0, []
+        for _, _, ids, sizes, counts in self.open.get():
+            held = dict(enumerate(zip(ids, sizes, counts, strict=True)))
+            more, count = self._packed(key[0], count, [(0, 0, list(held))], held)
+            out += more
+        self.open.clear()
+        self.count.update((count,))
+        yield pd.DataFrame(out, columns=PACK_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+PACK_NAMES = [f.split()[0] for f in PACK_SCHEMA.split(", ")]
 
 
 def pack_stream(samples: DataFrame, limits: Limits, shards: int, flush_after: str | None = "10 minutes") -> DataFrame:
-    """Packs of arriving samples (sample, tokens, images). Open buffers are the state of a shard and are bounded by
-    ``limits.buffers``; a shard that hears nothing for a while gives them out."""
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if flush_after else GroupStateTimeout.NoTimeout
-    wait = int(pd.Timedelta(flush_after).total_seconds() * 1000) if flush_after else 0
-    names = [f.split()[0] for f in PACK_SCHEMA.split(", ")]
-
-    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffers, count, held = Buffers(limits), 0, {}
-        if state.exists:
-            count, open_ = state.get
-            for t, m, ids, sizes, counts in open_:
-                buffers.open.append((t, m, list(ids)))
-                held |= {i: (n, c) for i, n, c in zip(ids, sizes, counts, strict=True)}
-        out: list[tuple] = []
-
-        def emit(packs: list[tuple[int, int, list]]) -> None:
-            nonlocal count
-            for _, _, ids in packs:
-                offset = 0
-                for place, i in enumerate(ids):
-                    tokens, images = held.pop(i)
-                    out.append((key[0], count, place, i, tokens, images, offset))
-                    offset += tokens
-                count += 1
-
-        if state.hasTimedOut:
-            emit(buffers.flush())
-        for frame in frames:
-            for i, tokens, images in frame.sort_values("sample")[["sample", "tokens", "images"]].itertuples(index=False):
-                if images <= limits.images:
-                    held[int(i)] = (int(tokens), int(images))
-                    emit(buffers.add(int(i), int(tokens), int(images)))
-        state.update((count, [(t, m, ids, [held[i][0] for i in ids], [held[i][1] for i in ids]) for t, m, ids in buffers.open]))
-        if wait and buffers.open:
-            state.setTimeoutDuration(wait)
-        yield pd.DataFrame(out, columns=names)
+    """Packs of arriving samples (sample, tokens, images). Open packs are the state of a shard, at most ``limits.buffers`` of
+    them; a shard that hears nothing for ``flush_after`` gives them out. ``waiting`` reads them from the state.
 
+    The state lies in Spark's RocksDB store, which the session is set to, as this operator needs it.
+    """
+    samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    wait = int(pd.Timedelta(flush_after).total_seconds() * 1000) if flush_after else None
     typed = samples.select(F.pmod(F.xxhash64("sample"), F.lit(shards)).cast("int").alias("shard"), F.col("sample").cast("long"), F.col("tokens").cast("int"), F.col("images").cast("int"))
-    return typed.groupBy("shard").applyInPandasWithState(run, PACK_SCHEMA, STATE, "append", timeout)
+    return typed.groupBy("shard").transformWithStateInPandas(Packer(limits, wait), PACK_SCHEMA, "append", "None" if wait is None else "ProcessingTime")
+
+
+def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Samples in open packs, from the state of a stream of ``pack_stream``: shard, sample, tokens, images."""
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    one = F.explode(F.arrays_zip("list_element.ids", "list_element.sizes", "list_element.counts"))
+    return state.select(F.col("key.shard").alias("shard"), one.alias("x")).select("shard", F.col("x.ids").alias("sample"), F.col("x.sizes").alias("tokens"), F.col("x.counts").alias("images"))
 
 
 def append_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str):
