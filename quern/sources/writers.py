@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import append_once
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local session that names none gets a
@@ -35,13 +37,10 @@ def write_once(rows: DataFrame, path: str) -> None:
     rows.write.mode("ignore").parquet(path)
 
 
-def append_missing(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Rows whose key the table at ``path`` does not hold yet are added to it."""
-    spark = rows.sparkSession
-    if exists(spark, path):
-        done = spark.read.schema(rows.schema).parquet(path).select(*keys).distinct()
-        rows = rows.join(done, keys, "left_anti")
-    rows.write.mode("append").parquet(path)
+def append_missing(rows: DataFrame, path: str, keys: list[str], batch: str | None = None) -> None:
+    """Rows whose key the table at ``path`` does not hold yet are added to it, all of them or none (see ``commits``); a batch
+    that has a name is added once."""
+    append_once(rows, path, keys, batch)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -76,7 +77,10 @@ class Packer(StatefulProcessor):
                 out, at = out + more, at + 1
             yield pd.DataFrame(out, columns=PACK_NAMES)
         self.count.update((count,))
-        self.open.put([(t, m, *([held[i][j] for i in ids] for j in range(3))) for t, m, ids in buffers.open])
+        if buffers.open:
+            self.open.put([(t, m, *([held[i][j] for i in ids] for j in range(3))) for t, m, ids in buffers.open])
+        else:  # the store takes no empty list
+            self.open.clear()
         if self.wait is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
@@ -120,5 +124,8 @@ def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def append_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Micro-batches appended to the table at ``path``, without rows whose key it already holds."""
-    return rows.writeStream.foreachBatch(lambda batch, _: append_missing(batch.dropDuplicates(keys), path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Micro-batches appended to the table at ``path``, without rows whose key it already holds. A batch has a name by its
+    checkpoint and number, so one that a crash makes Spark run again is added once."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    add = lambda batch, i: append_missing(batch, path, keys, f"{name}-{i}")
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
