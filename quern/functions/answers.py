@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .basics import before_first, char_at, col, contains, count_of, number, squeeze, strip, words
+from .basics import before_first, char_at, col, contains, count_of, let, number, squeeze, strip, words
 
 # The normaliser's articles, number words, punctuation and contractions.
 ARTICLES = ["a", "an", "the"]
@@ -50,18 +50,23 @@ def normalize_answer(answer: Column | str) -> Column:
     follows; number words to digits; articles out; contractions with their apostrophes."""
     a = F.lower(col(answer))
     a = F.replace(F.replace(a, F.lit(","), F.lit("")), F.lit("?"), F.lit(""))
-    a = strip(F.regexp_replace(strip(F.replace(a, F.lit("'s"), F.lit(" 's"))), r"[\n\t]", " "))
-    # A mark next to a space goes, any other becomes a space; the test looks at the text as it came in.
-    given, out = a, a
-    for p in PUNCTUATION:
-        if p in ",?":
-            continue
-        beside = contains(given, p + " ") | contains(given, " " + p)
-        out = F.replace(out, F.lit(p), F.when(beside, "").otherwise(" "))
+    return let(strip(F.regexp_replace(strip(F.replace(a, F.lit("'s"), F.lit(" 's"))), r"[\n\t]", " ")), _normalized)
+
+
+def _normalized(a: Column) -> Column:
+    # A mark next to a space goes, any other becomes a space; the test looks at the text as it came in, so all marks change at once.
+    marks = [p for p in PUNCTUATION if p not in ",?"]
+    held = F.filter(F.array(*map(F.lit, marks)), lambda p: F.contains(a, p))
+    apart = let(held, lambda h: F.array_join(F.filter(h, lambda p: ~(F.contains(a, F.concat(p, F.lit(" "))) | F.contains(a, F.concat(F.lit(" "), p)))), ""))
+    out = let(apart, lambda s: F.call_function("translate", a, F.concat(s, F.lit("".join(marks))), F.repeat(F.lit(" "), F.char_length(s))))
     out = F.regexp_replace(out, r"\.(?!\d)", "")
-    numbers, short = _map(NUMBERS), _map(CONTRACTIONS)
-    said = F.filter(F.transform(words(out), lambda w: F.coalesce(F.element_at(numbers, w), w)), lambda w: ~w.isin(*ARTICLES))
-    return F.array_join(F.transform(said, lambda w: F.coalesce(F.element_at(short, w), w)), " ")
+    said = F.filter(F.transform(words(out), lambda w: _looked_up(NUMBERS, w)), lambda w: ~w.isin(*ARTICLES))
+    return F.array_join(F.transform(said, lambda w: _looked_up(CONTRACTIONS, w)), " ")
+
+
+def _looked_up(pairs: dict[str, str], w: Column) -> Column:
+    """The word that ``pairs`` has for ``w``, else ``w``. A map is searched from its front, so only words that a set holds get there."""
+    return F.when(w.isin(*pairs), F.element_at(_map(pairs), w)).otherwise(w)
 
 
 def short_answer(response: Column | str) -> Column:

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from .basics import col, count_of, let, squeeze, strip, word_set, words
 
 # The reference's word lists.
-QUANTITY_WORDS = (
-    "most least fewest more less fewer largest smallest greatest larger smaller greater highest lowest higher lower increase decrease "
-    "minimum maximum max min mean average median total sum add subtract difference quotient gap half double twice triple square cube root "
-    "approximate approximation triangle rectangle circle sphere cylinder cone pyramid multiply divide percentage percent ratio proportion fraction rate"
-).split()
+QUANTITY_WORDS = [
+    "most", "least", "fewest", "more", "less", "fewer", "largest", "smallest", "greatest", "larger", "smaller", "greater",
+    "highest", "lowest", "higher", "lower", "increase", "decrease", "minimum", "maximum", "max", "min", "mean", "average",
+    "median", "total", "sum", "add", "subtract", "difference", "quotient", "gap", "half", "double", "twice", "triple",
+    "square", "cube", "root", "approximate", "approximation", "triangle", "rectangle", "circle", "sphere", "cylinder",
+    "cone", "pyramid", "multiply", "divide", "percentage", "percent", "ratio", "proportion", "fraction", "rate",
+]
 BOOL_WORDS = ["Yes", "No", "True", "False", "yes", "no", "true", "false", "YES", "NO", "TRUE", "FALSE"]
-NUMBER_WORDS = (
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
-    "thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
-).split()
+NUMBER_WORDS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
+    "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty",
+    "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion",
+]
 
 
 def ngrams(items: Column, n: int) -> Column:
@@ -26,19 +29,27 @@ def ngrams(items: Column, n: int) -> Column:
     return let(items, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
+def ngram_hashes(items: Column, n: int) -> Column:
+    """A 64-bit hash of each run of ``n`` neighbours; words are hashed once, runs by the hashes of their words."""
+    runs = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n)))
+    hashed = F.transform(items, lambda w: F.xxhash64(w))
+    return let(hashed, lambda h: F.when(F.size(h) >= n, runs(h)).otherwise(F.array().cast("array<bigint>")))
+
+
 def sentence_repetition(text: Column | str, n: int) -> Column:
     """Distinct n-grams that occur more than once, as a share of all n-grams; 0 where there are none.
 
-    One pass over the sorted n-grams: a value counts when it is met for the second time.
+    One pass over the sorted hashes of n-grams: a value counts when it is met for the second time. Two of a million n-grams
+    share a hash with a chance of 3e-8.
     """
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("again"))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("again"))
 
     def step(s: Column, g: Column) -> Column:
         run = F.when(s["last"] == g, s["run"] + 1).otherwise(F.lit(1))
         return F.struct(g.alias("last"), run.alias("run"), (s["again"] + (run == 2).cast("int")).alias("again"))
 
     share = lambda grams: F.aggregate(grams, start, step, lambda s: s["again"].cast("double")) / F.size(grams).cast("double")
-    return let(F.sort_array(ngrams(words(text), n)), lambda grams: F.when(F.size(grams) > 0, share(grams)).otherwise(0.0))
+    return let(F.sort_array(ngram_hashes(words(text), n)), lambda grams: F.when(F.size(grams) > 0, share(grams)).otherwise(0.0))
 
 
 def truncate_prefix(text: Column | str, share: float) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import repeat_factors, with_counts
+from .joins import repeat_factors, settled, with_counts
 
 
 def row_number(order: str | list[str], by: list[str] | None = None) -> Column:
@@ -16,24 +16,26 @@ def row_number(order: str | list[str], by: list[str] | None = None) -> Column:
     return (F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1).cast("long")
 
 
-def numbered(rows: DataFrame, order: str, buckets: int = 1024, name: str = "rn", by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
-    """``rows`` with their rank from 0 over the whole table, or in each group of ``by``, in the order of the integer column
-    ``order`` and then ``ties``; together they should be unique.
+def numbered(rows: DataFrame, order: Column | str, name: str = "rn", by: Sequence[str] = (), ties: Sequence[Column | str] = ()) -> DataFrame:
+    """``rows`` with their rank from 0 over the whole table, or in each group of ``by``, in the order of ``order`` and then
+    ``ties``; together they should be unique.
 
-    A row's rank is its rank within a range of the column plus the counts of the ranges before; ranges follow approximate
-    quantiles, so no task sees all rows, nor all of a large group.
+    Spark divides the rows into sorted ranges, as many as their size asks for, also inside a group or a value that many rows
+    share. The rows are written once with their place in their range; a rank is that place, plus the rows of the ranges
+    before, less those before the group.
     """
-    cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 100_000).alias("q")).first().q or []
-    cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    placed = rows.withColumn("q_b", place)
-    sizes = placed.groupBy(*by, "q_b").agg(F.count("*").alias("q_n"))
-    earlier = Window.partitionBy(*by).orderBy("q_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*by, "q_b", F.coalesce(F.sum("q_n").over(earlier), F.lit(0)).alias("q_before"))
-    inside = placed.withColumn("q_r", F.row_number().over(Window.partitionBy(*by, "q_b").orderBy(order, *ties)))
-    # Without groups there is a row per range; with them, both sides lie by group and range.
-    joined = inside.join(before if by else F.broadcast(before), [*by, "q_b"])
-    return joined.withColumn(name, F.col("q_before") + F.col("q_r") - 1).drop("q_b", "q_r", "q_before")
+    keys = [*by, order, *ties]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("q_at", F.monotonically_increasing_id())
+    placed = settled(placed.withColumn("q_range", F.shiftright("q_at", 33)).withColumn("q_place", F.col("q_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("q_range").agg(F.count("*").alias("q_n"))
+    earlier = Window.orderBy("q_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = sizes.select("q_range", F.coalesce(F.sum("q_n").over(earlier), F.lit(0)).alias("q_before"))
+    ranked = placed.join(F.broadcast(before), "q_range").withColumn(name, F.col("q_before") + F.col("q_place"))
+    if by:
+        key = F.struct(*by)
+        first = ranked.groupBy(key.alias("q_key")).agg(F.min(name).alias("q_first"))
+        ranked = ranked.join(first, key == F.col("q_key")).withColumn(name, F.col(name) - F.col("q_first"))
+    return ranked.select(*(c for c in rows.columns if c != name), name)
 
 
 def _hash_ranked(rows: DataFrame, order: str, by: list[str], seed: int) -> DataFrame:

@@ -55,7 +55,7 @@ def repeat_factor(t):
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents)
 SELECT doc_id, rn FROM r WHERE rn >= 3 AND (rn - 3) % greatest(n // 100, 1) = 0 AND (rn - 3) // greatest(n // 100, 1) < 100""")
 def stride_sample(t):
-    rows = mixture.numbered(t("documents").select("doc_id"), "doc_id", 64)
+    rows = mixture.numbered(t("documents").select("doc_id"), "doc_id")
     total = rows.count()
     return rows.where(mixture.stride_sample(F.col("rn"), F.lit(total), 100, 3)).select("doc_id", "rn")
 
@@ -68,7 +68,7 @@ def sqrt_weights(t):
 
 
 def _sharded(t, shard):
-    rows = mixture.numbered(t("orders").select("o_orderkey"), "o_orderkey", 64)
+    rows = mixture.numbered(t("orders").select("o_orderkey"), "o_orderkey")
     total = F.lit(rows.count())
     return rows.withColumn("shard", shard(F.col("rn"), total)).where("shard is not null").groupBy("shard").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 

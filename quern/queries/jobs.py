@@ -183,7 +183,7 @@ def lengths_by_chars(t):
 @query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) - 1 AS rn FROM orders""")
 def sorted_scores(t):
     ordered = mixture.sorted_rows(t("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", descending=True)
-    return mixture.numbered(ordered.withColumn("at", F.monotonically_increasing_id()), "at", 64).select("o_orderkey", "rn")
+    return mixture.numbered(joins.settled(ordered.withColumn("at", F.monotonically_increasing_id())), "at").select("o_orderkey", "rn")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS line_no FROM documents) WHERE line_no < 7")
@@ -195,7 +195,7 @@ def first_of_files(t):
 @query("SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS keys, true AS mixed, least(50, count(*))::BIGINT AS sampled FROM documents")
 def shuffled_rows(t):
     docs = t("documents").select("doc_id")
-    placed = mixture.numbered(mixture.shuffled(docs, "doc_id").withColumn("at", F.monotonically_increasing_id()), "at", 64)
+    placed = mixture.numbered(joins.settled(mixture.shuffled(docs, "doc_id").withColumn("at", F.monotonically_increasing_id())), "at")
     sampled = mixture.sample_rows(docs, 50, "doc_id").distinct().count()
     return placed.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("keys"), (F.abs(F.corr("rn", "doc_id")) < 0.3).alias("mixed"), F.lit(sampled).cast("long").alias("sampled"))
 

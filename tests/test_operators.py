@@ -73,8 +73,8 @@ def test_joins(spark):
 
 def test_mixture(spark):
     rows = spark.range(10).select(F.lit("d").alias("dataset"), F.col("id").alias("line_no"))
-    assert [r.rn for r in mixture.numbered(rows, "line_no", 4).orderBy("line_no").collect()] == list(range(10))
-    count = lambda shard: sorted(r["count"] for r in mixture.numbered(rows, "line_no", 4).withColumn("s", shard).where("s is not null").groupBy("s").count().collect())
+    assert [r.rn for r in mixture.numbered(rows, "line_no").orderBy("line_no").collect()] == list(range(10))
+    count = lambda shard: sorted(r["count"] for r in mixture.numbered(rows, "line_no").withColumn("s", shard).where("s is not null").groupBy("s").count().collect())
     assert count(mixture.shard_balanced(F.col("rn"), F.lit(10), 3)) == [3, 3, 4]
     assert count(mixture.shard_truncated(F.col("rn"), F.lit(10), 3)) == [3, 3, 3]
     assert count(mixture.shard_stride(F.col("rn"), 3)) == [3, 3, 4]
@@ -87,7 +87,7 @@ def test_mixture(spark):
     assert mixture.draw_with_replacement(rows.limit(0), quota, "line_no").count() == 0
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, mixture.draw_with_replacement(rows.repartition(3), quota, "line_no").collect()))
     groups = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(7)], "g string, i long")
-    ranks = mixture.numbered(groups.where("g is not null"), "i", 3, by=["g"]).collect()
+    ranks = mixture.numbered(groups.where("g is not null"), "i", by=["g"]).collect()
     assert all(r.rn == r.i for r in ranks) and len(ranks) == 14
     cursors = spark.createDataFrame([("d", 8, 15), ("none", 2, 5)], "dataset string, position long, quota long")
     taken, after = mixture.take_from_cursors(rows, cursors)
