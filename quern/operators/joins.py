@@ -29,25 +29,33 @@ def first_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
+def feature_keys(features: DataFrame, value: str, feature_path: str = "path", order: str = "line_no", drop_prefix: bool = False) -> DataFrame:
+    """(q_kind, q_key, q_value): what each kind of key of a feature's path stands for. 0 is the path as it is, 1 the path once
+    normalised (the last feature counts), 2 the base name (the first one does). One aggregate for all kinds."""
+    path, at = F.col(feature_path), F.col(order)
+    each = [F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate((path, normalize_path(path, drop_prefix), basename(path)))]
+    flat = features.select(at.alias("q_order"), F.col(value).alias("q_value"), F.explode(F.array(*each)).alias("k")).where("k.key is not null")
+    picked = flat.groupBy(F.col("k.kind").alias("q_kind"), F.col("k.key").alias("q_key")).agg(F.max_by(F.struct("q_value"), "q_order").alias("last"), F.min_by(F.struct("q_value"), "q_order").alias("first"))
+    return picked.select("q_kind", "q_key", F.when(F.col("q_kind") == 2, F.col("first.q_value")).otherwise(F.col("last.q_value")).alias("q_value"))
+
+
 def path_cascade(rows: DataFrame, features: DataFrame, value: str, path: str = "image", feature_path: str = "path", order: str = "line_no", drop_prefix: bool = False) -> DataFrame:
     """``rows`` with ``value`` of the feature whose path is equal, else equal once normalised, else of the same base name.
 
     Equal paths: the last feature counts; base names: the first. Rows without a match have null; empty paths match nothing.
-    The features shrink to one row per key before each hash join, so no key has many rows on that side.
+    Distinct paths, not rows, meet the features, in one join by kind and key; the least kind that matches counts. Rows then
+    find their path's value, which is a join by the path alone.
     """
-    f = features.select(F.col(feature_path).alias("q_path"), F.col(order).alias("q_order"), F.col(value).alias("q_value"))
-    p = F.when(F.col(path) != "", F.col(path))
-    keys: list[tuple[str, Column, Column, object]] = [
-        ("exact", F.col("q_path"), p, last_by),
-        ("normal", normalize_path("q_path", drop_prefix), normalize_path(p, drop_prefix), last_by),
-        ("base", basename("q_path"), basename(p), first_by),
-    ]
-    out = rows
-    for name, of_feature, of_row, pick in keys:
-        side = pick(f.select(of_feature.alias(f"q_{name}"), "q_order", "q_value"), [f"q_{name}"], "q_order").select(f"q_{name}", F.col("q_value").alias(f"q_value_{name}"))
-        out = out.join(side, of_row == side[f"q_{name}"], "left")
-    found = F.coalesce(*(F.col(f"q_value_{n}") for n, *_ in keys))
-    return out.select(*(rows[c] for c in rows.columns), found.alias(value))
+    keys = feature_keys(features, value, feature_path, order, drop_prefix)
+    asked = rows.select(F.col(path).alias("q_path")).where("q_path <> ''").distinct()
+    p = F.col("q_path")
+    each = [F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate((p, normalize_path(p, drop_prefix), basename(p)))]
+    flat = asked.select("q_path", F.explode(F.array(*each)).alias("k")).select("q_path", F.col("k.kind").alias("q_kind"), F.col("k.key").alias("q_key"))
+    # A feature whose value is null still ends the search of its kind only, as the next kind may have one.
+    met = flat.join(keys.where("q_value is not null"), ["q_kind", "q_key"])
+    found = met.groupBy("q_path").agg(F.min_by("q_value", "q_kind").alias("q_value"))
+    out = rows.join(found, F.col(path) == found["q_path"], "left")
+    return out.select(*(rows[c] for c in rows.columns if c != value), F.col("q_value").alias(value))
 
 
 def by_position(left: DataFrame, right: DataFrame, line: str = "line_no") -> DataFrame:

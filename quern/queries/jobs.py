@@ -174,9 +174,9 @@ def even_shards(t):
     return packing.even_split(rows, 4).groupBy("mega", "shard").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, length(text) AS chars, {_TOKENS} AS n FROM documents WHERE text IS NOT NULL) SELECT d.doc_id, f.n::BIGINT AS length FROM d JOIN (SELECT chars, arg_min(n, doc_id) AS n FROM d GROUP BY chars) f USING (chars)""")
+@query(f"""WITH d AS (SELECT doc_id, length(text) AS chars, {_TOKENS} AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) SELECT d.doc_id, f.n::BIGINT AS length FROM d JOIN (SELECT chars, arg_min(n, doc_id) AS n FROM d GROUP BY chars) f USING (chars)""")
 def lengths_by_chars(t):
-    rows = t("documents").where("text is not null").select("doc_id", F.col("doc_id").alias("line_no"), "text")
+    rows = t("documents").select("doc_id", F.col("doc_id").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
     return packing.estimated_lengths(rows, "text", token_count("text"), by_chars=True).select("doc_id", "length")
 
 

@@ -87,6 +87,17 @@ def encoded_by_template(t):
     return _conversations(t).select("conv_id", *(F.sha2(chat.encoder(n)("conversations"), 256).alias(n) for n in ("joined", "tagged", "unknown")))
 
 
+@query("""WITH c AS (SELECT conv_id, list(struct_pack(r := role, v := text) ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, sha256(CASE WHEN t[1].r = 'system' THEN '' ELSE '[[system: Be brief.]]: ' END ||
+  array_to_string(list_transform(t, lambda x: '[[' || CASE x.r WHEN 'user' THEN 'Q' WHEN 'assistant' THEN 'A' ELSE x.r END || ': ' || x.v || ']]: '), '')) AS rendered, true AS known FROM c""")
+def registered_template(t):
+    """A template of a user's own, found by its name from then on."""
+    from .texts import _conversations
+
+    chat.register_template(chat.Template("asked", "Be brief.", start="[[", end="]]", separator=": ", roles=(("human", "Q"), ("gpt", "A"))))
+    return _conversations(t).select("conv_id", F.sha2(chat.encoder("asked")("conversations"), 256).alias("rendered"), F.lit("asked" in chat.TEMPLATES).alias("known"))
+
+
 @query("""SELECT p_partkey, greatest(1, floor(12.0 / (p_size % 9 + 1)))::INTEGER AS shared, greatest(1, least(6, floor(24.0 / (p_size % 9 + 1))))::INTEGER AS whole FROM part""")
 def tile_budgets(t):
     n = F.col("p_size") % 9 + 1
