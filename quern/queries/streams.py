@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import settled
+from ..operators.mixture import numbered
 from ..operators.packing import Limits
 from ..sources import writers
-from ..streaming import jobs
+from ..streaming import cursors, jobs
 from .registry import query
 from .routing import _centroids, _routed
 
@@ -88,3 +90,16 @@ def scores_by_day(t):
     found = _run(jobs.running_scores(rows, ["event_type"], time="ts"), "append", "days")
     day = F.expr("timestampadd(MICROSECOND, unix_micros(window_start), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
     return found.select(day.alias("day"), "event_type", "n", "right")
+
+
+@query("""WITH r AS (SELECT coalesce(source, '') AS dataset, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS line_no, count(*) OVER (PARTITION BY coalesce(source, '')) AS n FROM documents),
+x AS (SELECT dataset, line_no, unnest(range(0, 40)) * n + line_no AS place FROM r)
+SELECT dataset, line_no::BIGINT AS line_no, count(*)::BIGINT AS times FROM x WHERE place < 40 GROUP BY ALL""")
+def cursors_resumed(t):
+    """Forty rows of each source in two runs, the second of which goes on where the first one stopped."""
+    docs = t("documents").select(F.coalesce("source", F.lit("")).alias("dataset"), "doc_id")
+    rows, out = settled(numbered(docs, "doc_id", name="line_no", by=["dataset"]).select("dataset", "line_no")), writers.shared_folder(docs.sparkSession, "turns")
+    for quota in (25, 15):
+        cursors.take_next(rows, rows.select("dataset").distinct().withColumn("quota", F.lit(quota)), out)
+    taken = docs.sparkSession.read.schema("dataset string, line_no long").parquet(out)
+    return taken.groupBy("dataset", "line_no").agg(F.count("*").alias("times"))

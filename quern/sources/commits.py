@@ -73,7 +73,7 @@ def recover(spark: SparkSession, path: str) -> dict[str, dict]:
     done = records(folder)
     for batch in folder.names("_staging"):
         if batch in done:
-            _publish(folder, batch, done[batch])
+            publish(folder, batch, done[batch])
         else:
             folder.drop(f"_staging/{batch}")
             folder.drop(f"_keys/{batch}")
@@ -81,7 +81,7 @@ def recover(spark: SparkSession, path: str) -> dict[str, dict]:
     return done
 
 
-def _publish(folder: Folder, batch: str, record: dict) -> None:
+def publish(folder: Folder, batch: str, record: dict) -> None:
     for staged, name in record["files"].items():
         folder.move(f"_staging/{batch}/{staged}", name)
     folder.drop(f"_staging/{batch}")
@@ -144,4 +144,4 @@ def append_once(rows: DataFrame, path: str, keys: list[str], batch: str | None =
     size = _write_filter(spark.read.schema(rows.schema).parquet(f"{path}/_staging/{batch}").select(*keys), path, batch)
     record = {"files": {n: f"{batch}-{i:05d}.parquet" for i, n in enumerate(staged)}, "filter": size}
     folder.put(f"_commits/{batch}", json.dumps(record))
-    _publish(folder, batch, record)
+    publish(folder, batch, record)

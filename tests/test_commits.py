@@ -14,11 +14,11 @@ def held(spark, path):
     return sorted(r.k if r.k is not None else -1 for r in spark.read.parquet(path).collect())
 
 
-@pytest.mark.parametrize("step", ["put", "_publish", "move"])
+@pytest.mark.parametrize("step", ["put", "publish", "move"])
 def test_a_crash_neither_loses_nor_doubles_rows(spark, tmp_path, monkeypatch, step):
     path = str(tmp_path / "t")
     commits.append_once(table(spark, [1, 2]), path, ["k"], "a")
-    owner = commits if step == "_publish" else commits.Folder
+    owner = commits if step == "publish" else commits.Folder
     real = getattr(owner, step)
 
     def broken(*a):
@@ -56,3 +56,29 @@ def test_empty_batches_and_null_keys(spark, tmp_path):
     for _ in range(2):
         writers.append_missing(nulls, path, ["k"])
     assert held(spark, path) == [-1, 7]
+
+
+@pytest.mark.parametrize("step", ["put", "publish"])
+def test_cursors_go_on_after_a_crash(spark, tmp_path, monkeypatch, step):
+    from quern.streaming import cursors
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(d, i) for d, n in (("a", 5), ("b", 7)) for i in range(n)], "dataset string, line_no long")
+    quotas = spark.createDataFrame([("a", 4), ("b", 3)], "dataset string, quota int")
+    cursors.take_next(rows, quotas, path)
+    owner = commits if step == "publish" else commits.Folder
+    real = getattr(owner, step)
+
+    def broken(*a):
+        raise KeyboardInterrupt(step)
+
+    monkeypatch.setattr(owner, step, broken)
+    with pytest.raises(KeyboardInterrupt):
+        cursors.take_next(rows, quotas, path)
+    monkeypatch.setattr(owner, step, real)
+    while cursors.cursors(spark, path)[0] < 3:
+        cursors.take_next(rows, quotas.where("dataset = 'a'") if cursors.cursors(spark, path)[0] == 2 else quotas, path)
+    commits.recover(spark, path)
+    got = sorted((r.dataset, r.line_no) for r in spark.read.parquet(path).collect())
+    assert got == sorted([("a", i % 5) for i in range(12)] + [("b", i) for i in range(6)])
+    assert {r.dataset: r.position for r in cursors.cursors(spark, path)[1].collect()} == {"a": 2, "b": 6}
