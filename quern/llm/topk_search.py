@@ -3,8 +3,8 @@
 The tree lives in the Euclidean metric, and a ball bounds the inner product: for x within r of c, <q, x> <= <q, c> + |q| * r.
 Vectors are ranged by their two nearest pivots (of a bounded sample), so that neighbours lie in the same part, at most
 ``PART_ROWS`` of them. Each part is loaded by itself, ``CHUNK_ROWS`` vectors at a time: a node is split between two members
-that lie far apart, again and again, until pages of ``PAGE_ROWS`` are left, so that depth and number of nodes grow with the
-data. A node keeps its centre, its covering radius, its smallest id and its distance to the centre above; a page also keeps
+that lie far apart, again and again, until pages of ``PAGE_ROWS`` are left. More data makes more parts, each with a ball of
+its own, not deeper trees. A node keeps its centre, its covering radius, its smallest id and its distance to the centre above; a page also keeps
 its members' distances to the centre, in order.
 
 A query first meets its own neighbours, where its part is loaded, and takes the k-th best score there along. It then goes to
