@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,25 +189,66 @@ def mean_words(rows: DataFrame, text: str = "text", by: tuple[str, ...] = ()) ->
     return rows.groupBy(*by).agg(F.avg(F.size(words(text))).alias("mean_words"))
 
 
+def gram_hits(texts: pa.Array, most: int, words: int = 1 << 18) -> tuple[list[int], list[int]]:
+    """For each n up to ``most``, the n-grams of texts of role 0 that others of their row have too, clipped at the most that one
+    role has, and all n-grams of role 0. ``texts``: a list of (role, words) in each row; rows are taken by ``words`` at a time."""
+    hit, every = [0] * most, [0] * most
+    sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+    flat = texts.flatten()
+    lists = flat.field("words")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.r_[0, np.cumsum(sizes)]  # texts before each row
+    before = np.r_[0, np.cumsum(lengths)][ends]  # words before each row
+    roles, a = flat.field("role").to_numpy(zero_copy_only=False), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + words, "right")) - 1)
+        part = slice(ends[a], ends[b])
+        code = lists[part].flatten().dictionary_encode()
+        code, n = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(code.dictionary)
+        length = lengths[part]
+        row = np.repeat(np.repeat(np.arange(b - a), sizes[a:b]), length)
+        role = np.repeat(roles[part], length)
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(code))  # words from here to the text's end
+        at, gram = np.arange(len(code)), row
+        for i in range(most):
+            stays = left[at] > i
+            at = at[stays]
+            if not len(at):
+                break
+            # Numbers of n-grams within their row: those of one word less with the word that follows.
+            kinds, gram = np.unique(gram[stays] * n + code[at + i], return_inverse=True)
+            by = role[at]
+            have, may = np.bincount(gram[by == 0], minlength=len(kinds)), np.zeros(len(kinds), np.int64)
+            for r in np.unique(by[by > 0]):
+                may = np.maximum(may, np.bincount(gram[by == r], minlength=len(kinds)))
+            hit[i] += int(np.minimum(have, may).sum())
+            every[i] += int(have.sum())
+        a = b
+    return hit, every
+
+
 def bleu(rows: DataFrame, key: str = "id", pred: str = "pred", truths: str = "gts", most: int = 4) -> DataFrame:
     """Corpus BLEU over words [a-z0-9]+ of the lower-cased text: clipped n-gram precisions, with the brevity penalty of the
     references nearest in length (the shorter of two)."""
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
-    rows = rows.select(F.col(key).alias("k"), tokens(F.col(pred)).alias("p"), F.transform(F.col(truths), tokens).alias("ts"))
-    nearest = F.array_min(F.transform("ts", lambda t: F.struct(F.abs(F.size(t) - F.size("p")).alias("d"), F.size(t).alias("n"))))["n"]
-    lengths = rows.agg(F.sum(F.size("p")).alias("c"), F.sum(nearest).alias("r"))
-
-    def run_of(items: Column, n: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(items, i, n), " ").alias("g")))
-        return F.when(F.size(items) >= n, runs).otherwise(F.array().cast("array<struct<n: int, g: string>>"))
-
-    def grams(items: Column) -> Column:
-        return F.concat(*(run_of(items, n) for n in range(1, most + 1)))
-
-    mine = rows.select("k", F.explode(grams(F.col("p"))).alias("g")).groupBy("k", "g.n", "g.g").agg(F.count("*").alias("have"))
-    theirs = rows.select("k", F.posexplode("ts").alias("t", "words")).select("k", "t", F.explode(grams(F.col("words"))).alias("g")).groupBy("k", "t", "g.n", "g.g").agg(F.count("*").alias("c")).groupBy("k", "n", "g").agg(F.max("c").alias("may"))
-    hits = mine.join(theirs, ["k", "n", "g"], "left").groupBy("n").agg(F.sum(F.least("have", F.coalesce("may", F.lit(0)))).alias("hit"), F.sum("have").alias("all"))
-    every = hits.unionByName(lengths, allowMissingColumns=True)
+    # The texts of a key meet in one row, whose n-grams are counted where they are; only sums by n leave a task.
+    keyed = rows.groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct(F.col(pred).alias("p"), F.col(truths).alias("ts"))).alias("s"))
+    split = keyed.select("k", F.transform("s", lambda x: F.struct(tokens(x["p"]).alias("p"), F.transform(x["ts"], tokens).alias("ts"))).alias("s"))
+    nearest = lambda x: F.array_min(F.transform(x["ts"], lambda t: F.struct(F.abs(F.size(t) - F.size(x["p"])).alias("d"), F.size(t).alias("n"))))["n"]
+    total = lambda of: F.aggregate("s", F.lit(None).cast("long"), lambda a, x: F.coalesce(a + of(x), a, of(x).cast("long")))
+    said = F.transform("s", lambda x: F.struct(F.lit(0).alias("role"), x["p"].alias("words")))
+    none = F.array().cast("array<struct<role: int, words: array<string>>>")
+    given = F.flatten(F.transform("s", lambda x: F.coalesce(F.transform(x["ts"], lambda t, i: F.struct((i + 1).alias("role"), t.alias("words"))), none)))
+    texts = split.select(F.when(F.col("k").isNull(), said).otherwise(F.concat(said, given)).alias("texts"), total(lambda x: F.size(x["p"])).alias("c"), total(nearest).alias("r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = gram_hits(batch.column(0), most)
+            c, r = (pc.sum(batch.column(i)).as_py() for i in (1, 2))
+            columns = [[*range(1, most + 1), None], [*found[0], None], [*found[1], None], [None] * most + [c], [None] * most + [r]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["n", "hit", "all", "c", "r"])
+
+    every = texts.mapInArrow(run, "n long, hit long, all long, c long, r long").groupBy("n").agg(*(F.sum(c).alias(c) for c in ("hit", "all", "c", "r")))
     row = every.agg(F.count_if(F.col("hit") > 0).alias("orders"), F.avg(F.when(F.col("hit") > 0, F.ln(F.col("hit") / F.col("all")))).alias("mean"), F.max("c").alias("c"), F.max("r").alias("r"))
     brevity = F.when(F.col("c") > F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("r"), F.col("c"))))
     return row.select(F.coalesce(F.when(F.col("orders") == most, brevity * F.exp("mean")), F.lit(0.0)).alias("bleu"), F.col("c").alias("pred_words"), F.col("r").alias("truth_words"))
