@@ -94,14 +94,21 @@ def weighted_quota(weights: DataFrame, total: int) -> DataFrame:
     return weights.withColumn("quota", F.rint(F.col("weight") * total).cast("long"))
 
 
+#: Draws that one row stands for before they are made.
+DRAWS = 1 << 16
+
+
 def draw_with_replacement(rows: DataFrame, quotas: DataFrame, order: str, seed: int = 42) -> DataFrame:
     """Each dataset's quota of draws: a seeded hash of the draw's number picks a row, each as likely at every draw, so some
     rows come several times and some not at all. ``order`` is a unique integer column; a dataset without rows gives none."""
     ranked = numbered(rows, order, name="q_rn", by=["dataset"])
-    sizes = rows.groupBy("dataset").agg(F.count("*").alias("q_n"))
-    draws = quotas.select("dataset", "quota").join(sizes, "dataset").where("quota > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)))
-    picked = draws.withColumn("q_rn", F.pmod(F.xxhash64(F.lit(seed), "dataset", "draw"), F.col("q_n"))).select("dataset", "q_rn", "draw")
-    return ranked.join(picked, ["dataset", "q_rn"]).select(*rows.columns, "draw")
+    sizes = rows.groupBy(F.col("dataset").alias("q_d")).agg(F.count("*").alias("q_n"))
+    met = quotas.select("dataset", F.col("quota").cast("long").alias("quota")).join(sizes, F.col("dataset").eqNullSafe(F.col("q_d"))).where("quota > 0")
+    # In blocks, so that no array is as long as a quota.
+    blocks = met.withColumn("q_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(DRAWS).cast("long"))))
+    draws = blocks.withColumn("draw", F.explode(F.sequence("q_from", F.least(F.col("q_from") + DRAWS, F.col("quota")) - 1)))
+    picked = draws.select("q_d", F.pmod(F.xxhash64(F.lit(seed), "dataset", "draw"), F.col("q_n")).alias("q_at"), "draw")
+    return ranked.join(picked, F.col("dataset").eqNullSafe(F.col("q_d")) & (F.col("q_rn") == F.col("q_at"))).select(*rows.columns, "draw")
 
 
 def sample_rows(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

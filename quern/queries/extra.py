@@ -77,7 +77,8 @@ def draw_with_replacement(t):
     rows = t("documents").select(F.col("source").alias("dataset"), F.col("doc_id").alias("line_no"))
     sizes = rows.groupBy("dataset").agg(F.count("*").alias("rows"))
     drawn = mixture.draw_with_replacement(rows, sizes.select("dataset", F.lit(100).cast("long").alias("quota")), "line_no")
-    return sizes.join(drawn.groupBy("dataset").agg(F.count("*").alias("drawn")), "dataset")
+    counts = drawn.groupBy(F.col("dataset").alias("q_dataset")).agg(F.count("*").alias("drawn"))
+    return sizes.join(counts, F.col("dataset").eqNullSafe(F.col("q_dataset"))).drop("q_dataset")
 
 
 @query("""SELECT l_linenumber, round(avg(greatest(0, least(x + q, u + 20) - greatest(x, u))), 6) AS overlap FROM (SELECT l_linenumber, l_partkey % 50 AS x, l_quantity AS q, l_partkey % 41 AS u FROM lineitem) GROUP BY l_linenumber""")

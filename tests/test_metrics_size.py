@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import metrics
+from quern.operators import metrics, mixture
+from quern.queries import QUERIES
 
 
 def grams(words, n):
@@ -37,3 +38,20 @@ def test_bleu_counts_ngrams_in_place(spark):
     assert row.truth_words >= sum(near)
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert metrics.bleu(table.limit(0)).first().bleu == 0
+
+
+def test_draws_repeat_at_any_size(spark, tmp_path):
+    """A hundred draws of 40,000 rows mostly differ; a source without a name is one too."""
+    source = F.when(F.col("id") % 40 == 39, None).otherwise(F.concat(F.lit("s"), F.col("id") % 4))
+    spark.range(160_000).select(F.col("id").alias("doc_id"), source.alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["draws_repeat"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(s, 100, True, True) for s in (None, "s0", "s1", "s2", "s3")], key=str)
+    assert sorted(r.drawn for r in QUERIES["draw_with_replacement"](spark, str(tmp_path)).collect()) == [100] * 5
+
+
+def test_draws_in_blocks_are_the_draws(spark, monkeypatch):
+    rows = spark.range(10).select(F.lit("d").alias("dataset"), F.col("id").alias("line_no"))
+    quota = spark.createDataFrame([("d", 23)], "dataset string, quota long")
+    whole = sorted(map(tuple, mixture.draw_with_replacement(rows, quota, "line_no").collect()))
+    monkeypatch.setattr(mixture, "DRAWS", 5)
+    assert sorted(map(tuple, mixture.draw_with_replacement(rows, quota, "line_no").collect())) == whole and len(whole) == 23
