@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ from .routing import NEAR, TILE_VALUES, best_of_tile, in_order, nearest, unit, v
 #: Parts of a cosine of 1 in which balanced assignment counts.
 UNIT = 1_000_000
 
+#: Values of all centroids up to which the driver adds the sums of tasks itself, without a shuffle.
+SMALL_SUMS = 1 << 14
+
 
 @dataclass
 class Clusters:
@@ -57,70 +61,156 @@ def first_centroids(rows: DataFrame, k: int, seed: int, key: str, vector: str) -
 
 
 class Rounds:
-    """Rounds of assignment that remember, for each row, its cluster and how near and how far others were.
+    """Rounds of assignment that know, for each row, its cluster and how near and how far others were at an earlier round.
 
     By the triangle inequality a row stays where it is while the bound of the distance to its own centroid lies below the
-    bound of the distance to any other; bounds grow and shrink by what centroids moved. Vectors are written once as a table in
-    buckets of a row number, bounds after each round likewise, so that both meet without a shuffle.
+    bound of the distance to any other; since that round, both have changed by what centroids moved at most. Unit vectors,
+    clusters and bounds are written as a table, vectors as bytes; a round computes with the rows whose gap between both bounds
+    the centroids may have crossed, and changes the table's sums by those that go elsewhere. The table is written anew, with
+    the bounds of that round, when as many rows were in doubt as it has, then twice as many and so on: a few times in all.
     """
 
-    def __init__(self, rows: DataFrame, vector: str, buckets: int | None = None):
+    def __init__(self, rows: DataFrame, vector: str, key: str | None = None):
         self.spark = rows.sparkSession
-        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.root, self.names = shared_folder(self.spark, f"rounds-{uuid.uuid4().hex[:12]}"), []
-        self.vectors = self._put(rows.select(F.monotonically_increasing_id().alias("q_row"), F.col(vector).cast("array<double>").alias("q_v")))
-        self.state: DataFrame | None = None
-        self.looked = self.seen = 0
-
-    def _put(self, table: DataFrame) -> DataFrame:
-        name = f"q_{uuid.uuid4().hex}"
-        table.write.bucketBy(self.buckets, "q_row").sortBy("q_row").format("parquet").option("path", f"{self.root}/{len(self.names)}").saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
-
-    def assign(self, now: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        spread = rows.repartition(F.xxhash64(key)) if key else rows
+        self.source = spread.select(F.col(vector).cast("array<double>").alias("q_v"))
+        self.root, self.tables = shared_folder(self.spark, f"rounds-{uuid.uuid4().hex[:12]}"), 0
+        self.table: DataFrame | None = None
+        self.looked = self.seen = self.doubted = self.size = 0
+
+    def assign(self, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums of unit vectors and numbers of rows by cluster, with every row at its nearest centroid of ``now``."""
-        moved = np.zeros(len(now)) if before is None else np.sqrt(((now - before) ** 2).sum(axis=1))
-        sent = self.spark.sparkContext.broadcast((now, moved))
-        last = self.vectors.withColumns({"q_c": F.lit(-1), "q_up": F.lit(0.0), "q_low": F.lit(0.0)}) if self.state is None else self.vectors.join(self.state.drop("q_looked"), "q_row")
+        if self.table is None or self.doubted >= self.size << (self.tables - 1):
+            self._write(now)
+            return self.sums, self.n
+        sums, n, looked, read = self._moved(now)
+        self.looked += looked
+        self.doubted += read
+        self.seen += self.size
+        return self.sums + sums, self.n + n
+
+    def _write(self, now: np.ndarray) -> None:
+        first, width = self.table is None, now.shape[1]
+        sent = self.spark.sparkContext.broadcast((now, np.zeros(len(now)) if first else self._shift(now)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, moved = sent.value
             for batch in batches:
-                at, x = vectors_of(batch.column(1), now.shape[1])
-                at, x = at[own := (x * x).sum(axis=1) > 0], unit(x[own])
-                c, up, low = (batch.column(i).to_numpy(zero_copy_only=False)[at] for i in (2, 3, 4))
-                c, up, low = bounded_step(x, c.astype(np.int64), up, low, now, moved)
-                row = batch.column(0).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([row, pa.array(c[0]), pa.array(up), pa.array(low), pa.array(c[1])], ["q_row", "q_c", "q_up", "q_low", "q_looked"])
-
-        self.state = self._put(last.select("q_row", "q_v", "q_c", "q_up", "q_low").mapInArrow(run, "q_row long, q_c long, q_up double, q_low double, q_looked boolean"))
-        width = now.shape[1]
+                if first:
+                    _, x = vectors_of(batch.column(0), width)
+                    x = unit(x[(x * x).sum(axis=1) > 0])
+                    c, up, low = np.full(len(x), -1), np.zeros(len(x)), np.zeros(len(x))
+                else:
+                    x, c, up, low = _bounds_of(batch, width)
+                (c, looked), up, low = bounded_step(x, c, up, low, now, moved)
+                yield pa.RecordBatch.from_arrays([_packed(x), pa.array(c.astype(np.int32)), pa.array(up), pa.array(low), pa.array(looked)], ["q_v", "q_c", "q_up", "q_low", "q_looked"])
+
+        rows = self.source if first else self.table.select("q_v", "q_c", "q_up", "q_low")
+        placed = rows.mapInArrow(run, "q_v binary, q_c int, q_up double, q_low double, q_looked boolean")
+        path = f"{self.root}/{self.tables}"
+        placed.write.parquet(path)
+        self.table, self.tables = self.spark.read.schema(placed.schema).parquet(path), self.tables + 1
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, n, looked = np.zeros((len(sent.value[0]), width)), np.zeros(len(sent.value[0]), np.int64), 0
+            sums, looked = np.zeros(sent.value[0].shape), 0
+            n = np.zeros(len(sums), np.int64)
             for batch in batches:
-                at, x = vectors_of(batch.column(0), width)
                 c = batch.column(1).to_numpy(zero_copy_only=False)
-                np.add.at(sums, c[at], unit(x))
+                _add(sums, c, _unpacked(batch.column(0), width))
                 n += np.bincount(c, minlength=len(n))
                 looked += int(batch.column(2).to_numpy(zero_copy_only=False).sum())
-            full = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(list(sums[full]), pa.list_(pa.float64())), pa.array(n[full]), pa.array([looked] + [0] * (len(full) - 1) if len(full) else [], pa.int64())], ["c", "s", "n", "looked"])
+            yield _sums_batch(sums, n, looked, int(n.sum()))
+
+        self.sums, self.n, looked, self.size = self._total(self.table.select("q_v", "q_c", "q_looked").mapInArrow(partial, _SUMS), now)
+        self.epoch, self.doubted = now, 0
+        self.looked += looked
+        self.seen += self.size
 
-        parts = self.vectors.join(self.state, "q_row").select("q_v", "q_c", "q_looked").mapInArrow(partial, "c long, s array<double>, n long, looked long")
-        flat = parts.select("c", "n", "looked", F.posexplode("s").alias("pos", "x"))
-        found = flat.groupBy("c", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("looked").alias("looked"))
-        sums, n = np.zeros(now.shape), np.zeros(len(now), np.int64)
-        for r in found.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"), F.max("n").alias("n"), F.max("looked").alias("looked")).collect():
-            sums[r.c], n[r.c] = [x.x for x in r.s], r.n
-            self.looked += r.looked
-        self.seen += int(n.sum())
-        return sums, n
+    def _shift(self, now: np.ndarray) -> np.ndarray:
+        """How far each centroid is from where it was when the table was written."""
+        return np.sqrt(((now - self.epoch) ** 2).sum(axis=1))
 
-    def end(self) -> None:
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    def _moved(self, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """What sums and numbers gain since the table was written, the rows that were compared with all centroids, and those read."""
+        moved = self._shift(now)
+        most = np.sort(moved)[::-1]
+        # A row's own centroid and the farthest moved of the others.
+        crossed = float(most[:2].sum()) + 2 * NEAR
+        sent, width = self.spark.sparkContext.broadcast((now, moved)), now.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, moved = sent.value
+            sums, n, looked, read = np.zeros(now.shape), np.zeros(len(now), np.int64), 0, 0
+            for batch in batches:
+                x, was, up, low = _bounds_of(batch, width)
+                near = np.flatnonzero(low - up <= crossed)
+                x, was, up, low = x[near], was[near], up[near], low[near]
+                (c, doubt), _, _ = bounded_step(x, was.copy(), up, low, now, moved)
+                looked, read = looked + int(doubt.sum()), read + len(x)
+                went = np.flatnonzero(c != was)
+                _add(sums, c[went], x[went])
+                _add(sums, was[went], -x[went])
+                n += np.bincount(c[went], minlength=len(n)) - np.bincount(was[went], minlength=len(n))
+            yield _sums_batch(sums, n, looked, read)
+
+        # Tested in the function: a threshold in the plan would be compiled anew each round.
+        return self._total(self.table.select("q_v", "q_c", "q_up", "q_low").mapInArrow(run, _SUMS), now)
+
+    def _total(self, parts: DataFrame, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Partial sums of tasks together. Clusters that no row of a task came to or left are not sent; the driver adds small ones."""
+        sums, rows = np.zeros(now.shape), np.zeros(len(now), np.int64)
+        if now.size <= SMALL_SUMS:
+            found = parts.toArrow()
+            c, n, looked, read = (found.column(v).to_numpy() for v in ("c", "n", "looked", "read"))
+            real = c >= 0
+            np.add.at(rows, c[real], n[real])
+            if real.any():
+                _add(sums, c[real], pc.list_flatten(found.column("s")).to_numpy().reshape(-1, now.shape[1]))
+            return sums, rows, int(looked.sum()), int(read.sum())
+        found = parts.select("c", "n", "looked", "read", F.posexplode_outer("s").alias("pos", "x")).groupBy("c", "pos").agg(*(F.sum(v).alias(v) for v in ("x", "n", "looked", "read"))).toArrow()
+        c, pos, x, n, looked, read = (found.column(v).to_numpy() for v in ("c", "pos", "x", "n", "looked", "read"))
+        real = c >= 0
+        c = c[real]
+        sums[c, pos[real].astype(np.int64)], rows[c] = x[real], n[real]
+        return sums, rows, int(looked[~real].sum()), int(read[~real].sum())
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of ``x`` as bytes, which pass between Spark and Python whole, not value by value."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (8 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, width))
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.float64).reshape(len(column), width)
+
+
+def _bounds_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    c, up, low = (np.array(batch.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2, 3))
+    return _unpacked(batch.column(0), width), c.astype(np.int64), up, low
+
+
+_SUMS = "c long, s array<double>, n long, looked long, read long"
+
+
+def _add(sums: np.ndarray, c: np.ndarray, x: np.ndarray) -> None:
+    """Adds each row of ``x`` to the row of ``sums`` that ``c`` names."""
+    order = np.argsort(c, kind="stable")
+    if len(order):
+        first = np.flatnonzero(np.r_[True, c[order][1:] != c[order][:-1]])
+        sums[c[order][first]] += np.add.reduceat(x[order], first, axis=0)
+
+
+def _sums_batch(sums: np.ndarray, n: np.ndarray, looked: int, read: int) -> pa.RecordBatch:
+    """A row for each cluster with a sum or a number, and one of cluster -1 with what was looked at and read."""
+    full = np.flatnonzero((n != 0) | (sums != 0).any(axis=1))
+    zeros = [0] * len(full)
+    s = pa.array([*sums[full], None], pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array([*full.tolist(), -1], pa.int64()), s, pa.array([*n[full].tolist(), 0], pa.int64()), pa.array([*zeros, looked], pa.int64()), pa.array([*zeros, read], pa.int64())], ["c", "s", "n", "looked", "read"])
 
 
 def bounded_step(x: np.ndarray, c: np.ndarray, up: np.ndarray, low: np.ndarray, now: np.ndarray, moved: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
@@ -156,23 +246,21 @@ def spherical_kmeans(rows: DataFrame, k: int, iterations: int = 100, runs: int =
     rows = rows.select(key, vector)
     best: Clusters | None = None
     for run in range(runs):
-        now, before, done = first_centroids(rows, k, seed + run, key, vector), None, 0
-        bounds = Rounds(rows, vector) if now.size <= TILE_VALUES else None
+        now, done = first_centroids(rows, k, seed + run, key, vector), 0
+        bounds = Rounds(rows, vector, key) if now.size <= TILE_VALUES else None
         for _ in range(iterations):
             done += 1
             if bounds:
-                sums, n = bounds.assign(now, before)
+                sums, n = bounds.assign(now)
                 means = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-8)
                 new = np.where((n > 0)[:, None], means, now)
             else:
                 found = {r.cluster: r.centroid for r in update_centroids(nearest(rows, _frame(spark, now), vector).where("cluster is not null"), vector=vector).collect()}
                 new = np.array([found.get(i, now[i]) for i in range(len(now))])
             moved = float(np.abs(new - now).max())
-            now, before = new, now
+            now = new
             if moved < 1e-9:
                 break
-        if bounds:
-            bounds.end()
         assigned = nearest(rows, _frame(spark, now), vector, similarity="q_s")
         total = assigned.agg(F.coalesce(F.sum("q_s"), F.lit(0.0))).first()[0]
         if best is None or total > best.similarity:

@@ -4,10 +4,11 @@ import collections
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import metrics, mixture
+from quern.operators import clustering, metrics, mixture, routing
 from quern.queries import QUERIES
 
 
@@ -55,3 +56,23 @@ def test_draws_in_blocks_are_the_draws(spark, monkeypatch):
     whole = sorted(map(tuple, mixture.draw_with_replacement(rows, quota, "line_no").collect()))
     monkeypatch.setattr(mixture, "DRAWS", 5)
     assert sorted(map(tuple, mixture.draw_with_replacement(rows, quota, "line_no").collect())) == whole and len(whole) == 23
+
+
+def test_kmeans_rounds_write_few_tables(spark):
+    """Thirty rounds on one cloud write five tables at most and shuffle nothing after the first; sums are those of all rows."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(2000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).cache()
+    x = routing.unit(x)
+    now = clustering.first_centroids(rows, 5, 42, "vec_id", "embedding")
+    for small in (clustering.SMALL_SUMS, 0):
+        bounds, at = clustering.Rounds(rows, "embedding", "vec_id"), now
+        clustering.SMALL_SUMS, kept = small, clustering.SMALL_SUMS
+        for _ in range(30 if small else 4):
+            sums, n = bounds.assign(at)
+            nearest = (x @ at.T).argmax(axis=1)
+            assert n.tolist() == np.bincount(nearest, minlength=5).tolist()
+            assert np.abs(sums - np.array([x[nearest == i].sum(axis=0) for i in range(5)])).max() < 1e-9
+            at = routing.unit(sums)
+        clustering.SMALL_SUMS = kept
+        assert bounds.tables <= 5
