@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +17,20 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def tokenizer(encode: Callable[[str], list[int]] | None = None):
-    """A pandas function from text to ids. Without ``encode``, ids are hashes of words and marks."""
+    """An Arrow function from text to ids. Without ``encode``, ids are hashes of words and marks. One text at a time is a
+    Python string; ids are kept in four bytes each."""
 
-    @F.pandas_udf("array<int>")
-    def tokenize(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def tokenize(texts: pa.Array) -> pa.Array:
         import zlib
 
-        of = encode or (lambda t: [zlib.crc32(w.encode()) & 0x7FFFFFFF for w in TOKEN.findall(t)])
-        return texts.map(lambda t: of(t) if t is not None else [])
+        of = encode or (lambda t: (zlib.crc32(w[0].encode()) & 0x7FFFFFFF for w in TOKEN.finditer(t)))
+        ids, ends = array("i"), array("i", [0])
+        for text in texts:
+            if text.is_valid:
+                ids.extend(of(text.as_py()))
+            ends.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32)) if ids else pa.array([], pa.int32()))
 
     return tokenize
 
