@@ -151,11 +151,14 @@ def rule_scores(rows: DataFrame, yes_no_tasks: list[str], contain_tasks: list[st
 
 
 def useful_scores(rows: DataFrame, left_out: tuple[str, ...] = ("count", "area")) -> DataFrame:
-    """Score by type, over all, and over all types but the ones left out; to four places."""
+    """Score by type, over all, and over all types but the ones left out; to four places. Equal answers are graded once."""
+    rows = rows.groupBy("type", "pred", "gt").agg(F.count("*").alias("q_n"))
     ok = F.when(F.col("type").isin(*left_out), A.count_bucket("pred") == A.count_bucket("gt")).otherwise(A.first_part_equals("pred", "gt"))
-    rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)).cast("double"))
+    right = F.sum(F.when(ok, F.col("q_n")).otherwise(F.lit(0)))
+    types = rows.groupBy("type").agg(right.alias("right"), F.sum("q_n").alias("q_n"))
     keys = F.array(F.col("type"), F.lit("total"), F.when(~F.col("type").isin(*left_out), "useful"))
-    return rows.select(F.explode(keys).alias("type"), "ok").where("type is not null").groupBy("type").agg(F.round(F.avg("ok"), 4).alias("score"), F.count("*").alias("n"))
+    each = types.select(F.explode(keys).alias("type"), "right", "q_n").where("type is not null")
+    return each.groupBy("type").agg(F.round(ratio(F.sum("right"), F.sum("q_n")), 4).alias("score"), F.sum("q_n").alias("n"))
 
 
 def summed_abilities(rows: DataFrame, ability: str = "ability", score: str = "score") -> DataFrame:
